@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, jaccard, langid, mix, packing, quality, secrets, substrings
+from . import chat, embeddings, jaccard, langid, licences, mix, packing, quality, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pack": packing.op5_pack,
         "op6_embedding_dedup": embeddings.op6_embedding_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_licence_scan": licences.op8_licence_scan,
         "op9_language_id": langid.op9_language_id,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
