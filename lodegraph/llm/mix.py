@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents, n_words, without
+from .common import documents, n_words, stored, without
 
 WEIGHTS = (5, 2, 1)
 
@@ -74,7 +74,7 @@ def mix_sources(
     })
     d = d.withColumn("mx_class", magnitude(F.col("size")))
     keys = ["mx_null", "mx_src", "mx_class", "mx_part"]
-    cells = d.groupBy(*keys).agg(F.count("*").alias("mx_n"), F.sum("size").alias("mx_size"))
+    cells = stored(d.groupBy(*keys).agg(F.count("*").alias("mx_n"), F.sum("size").alias("mx_size")))
     # Ranks: within (source, class) over parts, then within the source over classes; both tables are small.
     classes = cells.groupBy("mx_null", "mx_src", "mx_class").agg(
         F.sum("mx_n").alias("mx_n"), F.sum("mx_size").alias("mx_size")
