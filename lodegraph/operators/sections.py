@@ -88,7 +88,7 @@ def pending_captions(elements: DataFrame) -> DataFrame:
     return marks.withColumn("caption", F.when(before == "caption", text)).filter(visual).select("doc_id", "id", "caption")
 
 
-def last_header(elements: DataFrame, header: Column, value: str) -> Column:
+def last_header(header: Column, value: str) -> Column:
     """As-of: the value of the latest header at or before each element."""
     return F.last(F.when(header, F.col(value)), ignorenulls=True).over(_upto("doc_id"))
 

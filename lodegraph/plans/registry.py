@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import documents, retrieval  # noqa: F401
 from .base import QUERIES, SQL
 
 

@@ -159,10 +159,10 @@ def _register_matrix(mode: str) -> None:
 def _register_diffusion(mode: str, alpha: float, steps: int) -> None:
     name = f"diffusion_{mode.replace('+', '_')}_a{int(alpha * 100):02d}_T{steps}"
 
-    @query(f"WITH {_p_sql(mode)}, {_steps_sql(steps, f'{1 - alpha} * z.x', alpha)} SELECT qid, id, round(x, 9) AS refined FROM z{steps}", name=name)
+    @query(f"WITH {_p_sql(mode)}, {_steps_sql(steps, f'{1 - alpha} * z.x', alpha)} SELECT qid, id, round(x, 12) AS refined FROM z{steps}", name=name)
     def f(spark, sf_dir):
         short = shortlist(spark, sf_dir)
-        return graph.diffuse(short, matrix(spark, sf_dir, short, mode), alpha, steps).select("qid", "id", F.round("refined", 9).alias("refined"))
+        return graph.diffuse(short, matrix(spark, sf_dir, short, mode), alpha, steps).select("qid", "id", F.round("refined", 12).alias("refined"))
 
 
 for _m in WEIGHT_MODES:
