@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_WEIGHTS, ROLE_MODIFIERS, VISUAL_MODIFIER, VISUAL_TYPES, WEIGHT_MODES
-from ..session import ship
+from ..session import cut, ship
 
 
 def _choose(c: Column, table: dict[str, float], default: float) -> Column:
@@ -86,7 +86,9 @@ def diffuse(candidates: DataFrame, p: DataFrame, alpha: float = 0.3, steps: int
 def page_rank(candidates: DataFrame, p: DataFrame, alpha: float = 0.3, steps: int = 10) -> DataFrame:
     """``refined``: s <- alpha q + (1 - alpha) Pt s from s = q, ``steps`` times, as joins."""
     d = candidates.withColumn("refined", F.col("score"))
-    for _ in range(steps):
+    for i in range(steps):
+        if i and i % 2 == 0:  # each step names the last one twice: plans would double with every step
+            d = cut(d)
         d = _step(d, p, alpha * F.col("score"), 1 - alpha, "refined")
     return d
 
@@ -102,8 +104,12 @@ def page_rank_until(
     ship(candidates.sparkSession)
 
     def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if s.empty:
+            return pd.DataFrame(columns=["qid", "id", "refined"])
+        if e.empty:  # without edges there are no columns either
+            e = pd.DataFrame({"src": [], "dst": [], "p": []})
         at = {x: i for i, x in enumerate(s["id"])}
-        src, dst = e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)
+        src, dst = (e[k].map(at).to_numpy(float).astype(int) for k in ("src", "dst"))
         q = s["score"].to_numpy(float)
         now = q.copy()
         for _ in range(max_iter):

@@ -88,6 +88,8 @@ def assign_greedily(elements: DataFrame, figures: DataFrame, least: float = 0.6)
     ship(elements.sparkSession)
 
     def run(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if e.empty or f.empty:  # a side that lacks the document has no columns
+            return pd.DataFrame(columns=["doc_id", "id", "file", "similarity"])
         free, out = list(f.sort_values("ord").itertuples(index=False)), []
         for x in e.sort_values("ord").itertuples(index=False):
             score = [(SequenceMatcher(None, x.text[:200], y.text[:200]).ratio(), -i) for i, y in enumerate(free) if y.type == x.type and x.text and y.text]
@@ -97,6 +99,7 @@ def assign_greedily(elements: DataFrame, figures: DataFrame, least: float = 0.6)
         return pd.DataFrame(out, columns=["doc_id", "id", "file", "similarity"])
 
     need = ["doc_id", "type", "text", "ord"]
+    figures = figures.select(*[F.col(c).alias(c) for c in ("file", *need)])  # columns of their own, should both be one table's
     kind = elements.schema["doc_id"].dataType.simpleString()
     return elements.select("id", *need).groupBy("doc_id").cogroup(figures.select("file", *need).groupBy("doc_id")).applyInPandas(
         run, f"doc_id {kind}, id string, file string, similarity double")

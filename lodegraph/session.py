@@ -6,13 +6,17 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch for Python, so that long texts don't add up; set only where the session leaves it open.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: it is sent to them once for an application."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(4 << 20))
     app, home = spark.sparkContext.applicationId, Path(__file__).parent
     if app in _shipped or not home.is_dir():
         return
@@ -32,3 +36,17 @@ def local(cpus: int = 8, memory: str = "20g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and forget how: its rows are kept in the shared folder, which outlives executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
