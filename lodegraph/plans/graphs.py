@@ -124,6 +124,6 @@ def sphere(spark, sf_dir):
 
 
 @query("""SELECT id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0, 1)) ELSE printf('%.1f MB', round(n / 1048576.0, 1)) END AS size
-FROM (SELECT id, CAST(price AS BIGINT) * q AS n FROM element)""")
+FROM (SELECT id, CAST(floor(price) AS BIGINT) * q AS n FROM element)""")
 def sizes_as_text(spark, sf_dir):
-    return source(spark, sf_dir, "element").select("id", stats.bytes_text(F.col("price").cast("long") * F.col("q")).alias("size"))
+    return source(spark, sf_dir, "element").select("id", stats.bytes_text(F.floor("price") * F.col("q")).alias("size"))
