@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mix_sources": mix.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op4_format_chat": chat.ORACLE,
-            "op6_embedding_dedup": embeddings.ORACLE}
+            "op6_embedding_dedup": embeddings.ORACLE, "op10_jaccard_join": jaccard.ORACLE}

@@ -262,3 +262,14 @@ def test_embedding_recall(spark):
             pairs += (np.triu(m @ m.T, 1) >= 0.93).sum()
         found = embeddings.link_vectors(df).agg(F.sum("n_links")).first()[0] / 2
         assert 0.9 * pairs <= found <= pairs
+
+
+@pytest.mark.parametrize(("query", "sql"), [(jaccard.op10_jaccard_join, jaccard.ORACLE), (embeddings.op6_embedding_dedup, embeddings.ORACLE)])
+def test_groups_sql(spark, query, sql):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cur = con.execute(sql)
+    assert sorted(map(tuple, query(spark, sf).select(*[c[0] for c in cur.description]).collect())) == sorted(cur.fetchall())
