@@ -39,14 +39,14 @@ def _role_sql(roles, c: str) -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains({c}, '{w}')''' for w in words)} THEN '{r}'" for r, words in roles) + " ELSE 'other' END"
 
 
-@query(f"WITH {_HEADINGS} SELECT title, {_role_sql(text.ROLES_DOCLING, 'n')} AS docling, {_role_sql(text.ROLES_SPIQA, 'lower(title)')} AS spiqa, "
+@query(f"WITH {_HEADINGS} SELECT title, {_role_sql(text.ROLES_LAYOUT, 'n')} AS layout, {_role_sql(text.ROLES_PAPERS, 'lower(title)')} AS papers, "
        f"{_role_sql(text.ROLES_CONTENT_LIST, 'lower(title)')} AS listed, {_role_sql(text.ROLES_EXTRACTOR, 'lower(title)')} AS extracted, "
        f"{_role_sql(text.ROLES_LATEX, 'lower(title)')} AS latex FROM heading")
 def section_role(spark, sf_dir):
     t = F.col("title")
     raw = lambda r: text.role(t, r, normalise=False)
     return elements(spark, sf_dir).select("title").distinct().select(
-        "title", text.role(t).alias("docling"), raw(text.ROLES_SPIQA).alias("spiqa"), raw(text.ROLES_CONTENT_LIST).alias("listed"),
+        "title", text.role(t).alias("layout"), raw(text.ROLES_PAPERS).alias("papers"), raw(text.ROLES_CONTENT_LIST).alias("listed"),
         raw(text.ROLES_EXTRACTOR).alias("extracted"), raw(text.ROLES_LATEX).alias("latex"))
 
 
@@ -71,7 +71,7 @@ def label_parse(spark, sf_dir):
         "caption", text.anchored_label(c).alias("anchored"), text.inline_label(c).alias("inline"), text.caption_label(c).alias("shaped"))
 
 
-_ROLE_WORDS = "|".join(w for _, ws in text.ROLES_DOCLING for w in ws)
+_ROLE_WORDS = "|".join(w for _, ws in text.ROLES_LAYOUT for w in ws)
 
 
 @query(rf"""SELECT DISTINCT title, length(trim(title)) BETWEEN 3 AND 120 AND regexp_matches(trim(title), '(?i)^\s*(?:(?:[1-9]\d?\.?)+\s+[A-Z]|(?:section|sec\.?|appendix|app\.?)\s+[A-Z\d]|(?:{_ROLE_WORDS}))') AS heading,
