@@ -148,3 +148,9 @@ def test_chat_unknown_layout(spark):
 
 def test_fingerprint_is_of_paths():
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b", "a"]) == hashlib.sha256(b"a\nb").hexdigest()[:16]
+
+
+def test_empty_tables(spark, odd):
+    assert quality.quality(odd.limit(0)).count() == 0
+    assert secrets.find_secrets(odd.limit(0)).count() == 0
+    assert secrets.redact(secrets.find_secrets(odd.limit(0))).columns[:2] == ["doc_id", "text"]
