@@ -67,10 +67,13 @@ def describe(n: int):
 def tokens_of(n: int, num: int, den: int):
     """(doc_id, text) -> (token, c1): the tokens that a prefix may hold. A set that a task has met is not told again."""
 
+    def told(token, owner):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(owner))], names=["token", "c1"])
+
     def f(batches):
         met: set[int] = set()
         for batch in batches:
-            token, owner = [], []
+            token, owner, size = [], [], 0
             for text in batch["text"].to_pylist():
                 s = shingles(text or "", n).view(np.int64)
                 s.sort()
@@ -81,8 +84,12 @@ def tokens_of(n: int, num: int, den: int):
                 t = s[: max(int(in_first(s).sum()), prefix_length(len(s), num, den))]
                 token.append(t)
                 owner.append(np.full(len(t), c1))
+                size += len(t)
+                if size >= 1 << 18:
+                    yield told(token, owner)
+                    token, owner, size = [], [], 0
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(owner))], names=["token", "c1"])
+                yield told(token, owner)
 
     return f
 
