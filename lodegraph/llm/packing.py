@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,8 @@ from .common import documents, salted_rank, stored, without
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBER = 300_000
+REMEMBER = 500_000
 _known: dict[str, bytes] = {}
-_end = re.compile(r"([a-z])([.,]) ")
 
 
 @lru_cache(2)
@@ -33,24 +32,51 @@ def _tokenizer(name: str):
     return t
 
 
+@lru_cache(2)
+def _word_ends(name: str) -> np.ndarray:
+    """Which ids end a word."""
+    vocabulary = _tokenizer(name).get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, i in vocabulary.items():
+        ends[i] = token.endswith("</w>")
+    return ends
+
+
+def _learn(words: list[str], name: str) -> None:
+    """Encode words into ``_known``. Words of letters only end with one word end each, so they are encoded together;
+    marks behind a letter or digit are a word of their own to the vocabulary, and are encoded apart."""
+    stem = {w: s if (s := w.rstrip(punctuation)) and s[-1].isalnum() else w for w in words}
+    new = [w for w in dict.fromkeys([*stem.values(), *(w[len(s) :] for w, s in stem.items() if s != w)]) if w not in _known]
+    plain = [w for w in new if w.isalpha() and w.lower().isalpha()]
+    for at in range(0, len(plain), 2048):
+        part = plain[at : at + 2048]
+        ids = np.array(_tokenizer(name).encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        data, last = ids.tobytes(), 0
+        for w, end in zip(part, (4 * np.flatnonzero(_word_ends(name)[ids]) + 4).tolist(), strict=True):
+            _known[w], last = data[last:end], end
+    odd = [w for w in new if w not in _known]
+    for w, e in zip(odd, _tokenizer(name).encode_batch(odd, add_special_tokens=False), strict=True):
+        _known[w] = np.array(e.ids, "<u4").tobytes()
+    for w, s in stem.items():
+        if s != w:
+            _known[w] = _known[s] + _known[w[len(s) :]]
+
+
 def token_ids(text: str, name: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
     The vocabulary lower-cases, drops white space and never joins across it, so a text's ids are its words' ids one
-    after the other, and each word is encoded once. A stop behind a letter is a token of its own in any case.
+    after the other, and each word is encoded once.
     """
-    if text.isascii():
-        text = _end.sub(r"\1 \2 ", text.lower())
+    if "\u0130" not in text and "\u03a3" not in text:  # letters that lower otherwise in a word than alone
+        text = text.lower()
     words = text.split()
     new = [w for w in dict.fromkeys(words) if w not in _known]
     if new:
-        if len(_known) + len(new) > REMEMBER:
+        if len(_known) + 2 * len(new) > REMEMBER:
             _known.clear()
             new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, _tokenizer(name).encode_batch(part, add_special_tokens=False), strict=True):
-                _known[w] = np.array(e.ids, "<u4").tobytes()
+        _learn(new, name)
     return b"".join(map(_known.__getitem__, words))
 
 
