@@ -156,13 +156,19 @@ def _register_matrix(mode: str) -> None:
         return matrix(spark, sf_dir, shortlist(spark, sf_dir), mode).select("qid", "src", "dst", F.round("p", 6).alias("p"))
 
 
+def _told(name: str, digits: int):
+    """``name`` rounded as a binary number, as the SQL engine does; Spark's ``round`` goes by the shortest decimal, so
+    that the two part at ties such as 0.0332896715625."""
+    return (F.round(F.col(name) * F.lit(10.0**digits)) / F.lit(10.0**digits)).alias(name)
+
+
 def _register_diffusion(mode: str, alpha: float, steps: int) -> None:
     name = f"diffusion_{mode.replace('+', '_')}_a{int(alpha * 100):02d}_T{steps}"
 
     @query(f"WITH {_p_sql(mode)}, {_steps_sql(steps, f'{1 - alpha} * z.x', alpha)} SELECT qid, id, round(x, 12) AS refined FROM z{steps}", name=name)
     def f(spark, sf_dir):
         short = shortlist(spark, sf_dir)
-        return graph.diffuse(short, matrix(spark, sf_dir, short, mode), alpha, steps).select("qid", "id", F.round("refined", 12).alias("refined"))
+        return graph.diffuse(short, matrix(spark, sf_dir, short, mode), alpha, steps).select("qid", "id", _told("refined", 12))
 
 
 for _m in WEIGHT_MODES:
@@ -175,7 +181,7 @@ for _a, _t in ((0.0, 2), (0.3, 1), (0.3, 3), (0.5, 2), (0.7, 2)):
 @query(f"WITH {_p_sql('full')}, {_steps_sql(6, '0.3 * z.score', 0.7)} SELECT qid, id, round(x, 6) AS refined FROM z6")
 def ppr_fixed6(spark, sf_dir):
     short = shortlist(spark, sf_dir)
-    return graph.page_rank(short, matrix(spark, sf_dir, short), 0.3, 6).select("qid", "id", F.round("refined", 6).alias("refined"))
+    return graph.page_rank(short, matrix(spark, sf_dir, short), 0.3, 6).select("qid", "id", _told("refined", 6))
 
 
 @query(f"WITH {_p_sql('full')}, {_steps_sql(30, '0.3 * z.score', 0.7)} SELECT qid, id, round(x, 4) AS refined FROM z30")
