@@ -65,6 +65,31 @@ def test_quality_keeps_prose_and_drops_noise(spark, small):
     assert sum(r.kept for r in prose) >= 0.97 * len(prose)
 
 
+def test_quality_drops_long_texts_without_common_words(spark, small):
+    """Letters and marks as in prose, but none of its common words and hardly a short one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    en = [w for (t,) in docs.filter("lang = 'en'").select("text").collect() for w in (t or "").split()]
+    long = sorted({w for w in en if w.isalpha() and w.islower() and len(w) > 5})
+    texts = [" ".join(long[i::7][:k]) + "." for i, k in enumerate((60, 120, 300))]
+    lost = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.quality(docs.union(lost)).collect()}
+    for i, t in enumerate(texts):
+        r = out[-1 - i]
+        assert r.n_words == len(t.split()) >= 50 and not r.base_failed
+        assert r.common_distance is not None and r.common_distance > 0.3 and not r.kept
+    assert all((r.common_distance is None) == (r.n_words < 50) for r in out.values())
+
+
+def test_quality_counts_all_words(spark):
+    """Common words of any length are counted; all other words, those with marks too, are the rest."""
+    text = "because of, (of) the #1 because a-b " * 10 + "x " * 9
+    r = quality.quality(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), n_common=2)
+    ref = quality.references(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), 2)
+    row = ref.filter("qr_lang = 'en'").first()
+    assert row.qr_common == ["because", "of"] and row.qr_ref_common == [20.0, 10.0, 49.0]
+    assert r.first().n_words == 79 and r.first().common_distance == pytest.approx(0)
+
+
 def test_secret_base_spans(spark, small, odd):
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
         for r in secrets.find_secrets(docs).collect():
