@@ -17,7 +17,7 @@ SEED = 5
 RUN = 16
 #: Windows that are combined before the shuffle at one time.
 CHUNK = 1_000_000
-RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("marks", pa.binary()), ("mask", pa.int32())])
+RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("marks", pa.binary())])
 
 
 def runs_of(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def combined(part: list) -> pa.RecordBatch:
     window = np.concatenate([p[2] for p in part])
     base = np.cumsum([0, *[len(p[2]) for p in part]])
     start = np.concatenate([p[3] + b for p, b in zip(part, base, strict=False)])
-    pos = np.concatenate([p[3] for p in part]).astype(np.int32)
+    pos = np.concatenate([p[3] for p in part]).astype(np.int64)
     anchor = np.concatenate([p[1] for p in part])[start]
     size = np.diff(np.append(start, len(window)))
     inside = (np.arange(len(window)) - np.repeat(start, size)).astype(np.uint64)
@@ -51,12 +51,12 @@ def combined(part: list) -> pa.RecordBatch:
     least = doc[order][fresh][np.cumsum(fresh) - 1]
     settled = np.empty(len(doc), bool)
     settled[order] = doc[order] > least
-    mask = np.where(settled, (1 << size) - 1, 0).astype(np.int32)
+    at = pos << RUN | np.where(settled, (1 << size) - 1, 0)
     key = np.where(settled, mixed(doc.astype(np.uint64) * np.uint64(31) + pos.astype(np.uint64)), anchor).view(np.int64)
-    marks = window.astype(np.uint32)[~np.repeat(settled, size)]
-    ends = np.append(0, np.cumsum(np.where(settled, 0, size) * 4)).astype(np.int32)
+    marks = window[~np.repeat(settled, size)]
+    ends = np.append(0, np.cumsum(np.where(settled, 0, size) * 8)).astype(np.int32)
     binary = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(marks)])
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos), binary, pa.array(mask)], schema=RUNS)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at), binary], schema=RUNS)
 
 
 def find_runs(n: int):
@@ -83,21 +83,19 @@ def extend(batches):
     Runs of one anchor are laid side by side: a window repeats if a smaller document has it. Only windows of the last
     anchor and their documents are carried from batch to batch.
     """
-    last, seen_mark, seen_doc = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    last, seen_mark, seen_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        key, doc, pos = batch["key"].to_numpy(), batch["doc"].to_numpy(), batch["pos"].to_numpy()
-        mask = batch["mask"].to_numpy().astype(np.int64)
+        key, doc, at = batch["key"].to_numpy(), batch["doc"].to_numpy(), batch["at"].to_numpy().copy()
         ends = np.frombuffer(batch["marks"].buffers()[1], np.int32)[batch["marks"].offset :][: len(key) + 1]
-        mark = np.frombuffer(batch["marks"].buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint32)
-        size = np.diff(ends) // 4
+        mark = np.frombuffer(batch["marks"].buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+        size = np.diff(ends) // 8
         group = np.cumsum(np.append(np.array([len(key) > 0 and key[0] != last], bool), key[1:] != key[:-1])[: len(key)])
         row = np.repeat(np.arange(len(key)), size)
         all_mark = np.concatenate([seen_mark, mark])
         all_doc = np.concatenate([seen_doc, doc[row]])
-        place = np.concatenate([np.zeros(len(seen_mark), np.int64), group[row]]).astype(np.uint64)
-        full = place << np.uint64(32) | all_mark
-        order = np.lexsort((all_doc, full))
-        fresh = np.append(True, full[order][1:] != full[order][:-1])[: len(order)]
+        place = np.concatenate([np.zeros(len(seen_mark), np.int64), group[row]])
+        order = np.lexsort((all_doc, all_mark, place))
+        fresh = np.append(True, (all_mark[order][1:] != all_mark[order][:-1]) | (place[order][1:] != place[order][:-1]))[: len(order)]
         heads = order[fresh]
         least = all_doc[heads][np.cumsum(fresh) - 1]
         again = np.empty(len(order), bool)
@@ -105,20 +103,19 @@ def extend(batches):
         again = again[len(seen_mark) :]
         if len(row):
             bit = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            np.bitwise_or.at(mask, row[again], 1 << bit[again])
+            np.bitwise_or.at(at, row[again], 1 << bit[again])
         if len(key):
             end = heads[place[heads] == group[-1]]
             last, seen_mark, seen_doc = key[-1], all_mark[end], all_doc[end]
-        hit = mask > 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(pos[hit].astype(np.int64) << RUN | mask[hit])], names=["doc", "at"])
+        hit = at & (1 << RUN) - 1 > 0
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(at[hit])], names=["doc", "at"])
 
 
 def repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     """(sd_doc, sd_at): where each document repeats windows of ``n`` words of a document with a smaller id."""
     ship(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        find_runs(n), "key long, doc long, pos int, marks binary, mask int")
+        find_runs(n), "key long, doc long, at long, marks binary")
     dealt = found.repartition("key").sortWithinPartitions("key", "doc")
     return dealt.mapInArrow(extend, "doc long, at long").groupBy(F.col("doc").alias("sd_doc")).agg(
         F.collect_list("at").alias("sd_at"))
@@ -132,7 +129,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13) -> DataFrame:
 
     Seeds are hashes of five words, winnowed so that each window of ``n`` words has an anchor; windows around equal
     anchors are compared, which extends a seed both ways, and repeated windows that touch are one passage. Windows are
-    held equal if the 64-bit hash of the anchor and a 32-bit one of all their words are.
+    held equal if the 64-bit hash of the anchor and the 64-bit one of all their words are.
 
     Null text has no words. A null id is no smaller one: such rows lose nothing and take nothing. Rows with one id are
     not smaller than each other; what any of them repeats is cut, by position, from all of them. Extra columns stay,

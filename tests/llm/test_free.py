@@ -73,6 +73,20 @@ def test_substrings(spark, docs):
         assert sum(s.end - s.start for s in r.repeats) == r.n_removed and all(s.end - s.start >= 13 for s in r.repeats)
 
 
+def test_substrings_many_windows_of_one_anchor():
+    """Windows around one phrase that are all distinct, so many that 32 bits of their hashes are equal by chance."""
+    n, r = 400_000, np.random.default_rng(7)
+    anchor, window = np.full(1, 5, np.uint64), r.integers(0, 1 << 63, n).astype(np.uint64)
+    window = np.unique(window)
+    assert len(np.unique(window.astype(np.uint32))) < len(window)
+    part = [(i, anchor, window[i : i + 1], np.zeros(1, np.int64)) for i in range(len(window))]
+    again = [(len(window) + i, anchor, window[i : i + 1], np.zeros(1, np.int64)) for i in range(0, 1000, 10)]
+    for batches in ([part, again], [part + again]):
+        rows = [substrings.combined(p) for p in batches]
+        found = [d for b in substrings.extend(iter(rows)) for d in b["doc"].to_pylist()]
+        assert sorted(found) == [p[0] for p in again]
+
+
 def test_substrings_odd_ids(spark):
     t = " ".join(map(str, range(20)))
     out = substrings.dedup_substrings(spark.createDataFrame([(None, t), (5, t), (5, t), (9, t + " end")], SCHEMA)).collect()
