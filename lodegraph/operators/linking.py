@@ -58,21 +58,26 @@ def best_box(truth: DataFrame, elements: DataFrame, least: float = 0.5) -> DataF
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Sequence similarity of the first 200 characters of two texts, in Arrow batches."""
+    """Sequence similarity of the first 200 characters of two texts, in Arrow batches; equal pairs of a batch once."""
 
     @F.pandas_udf("double")
     def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, (p or "")[:200], (q or "")[:200]).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        pairs = [((p or "")[:200], (q or "")[:200]) for p, q in zip(x, y, strict=True)]
+        known = {pair: SequenceMatcher(None, *pair).ratio() for pair in set(pairs)}
+        return pd.Series([known[pair] for pair in pairs], dtype="float64")
 
     return f(a, b)
 
 
-def fuzzy_captions(figures: DataFrame, captions: DataFrame, least: float = 0.3) -> DataFrame:
+def fuzzy_captions(figures: DataFrame, captions: DataFrame, least: float = 0.3, block: int = 512) -> DataFrame:
     """(doc_id, file, id, similarity): for each figure the caption of its document that is most alike.
 
     Three tenths for an equal label, seven for the similarity of the texts; the first of equals; at least ``least``.
+    Captions are dealt into blocks of ``block`` places, so that the pairs of a long document are not one task's.
     """
-    d = figures.select("doc_id", "file", F.col("text").alias("wanted"), F.col("label").alias("named")).join(captions, "doc_id")
+    captions = captions.withColumn("fc_block", F.floor(F.col("ord") / block))
+    d = figures.select("doc_id", "file", F.col("text").alias("wanted"), F.col("label").alias("named"))
+    d = d.join(captions.select("doc_id", "fc_block").distinct(), "doc_id").join(captions, ["doc_id", "fc_block"])
     same = F.coalesce((F.col("named") == F.col("label")).cast("double"), F.lit(0.0))
     empty = (F.coalesce("wanted", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")
     score = F.when(empty, same).otherwise(0.3 * same + 0.7 * ratio(F.col("wanted"), F.col("text")))

@@ -484,7 +484,7 @@ def token_f1(spark, sf_dir):
 
 @query()
 def caption_fuzzy_match(spark, sf_dir):
-    d = elements(spark, sf_dir).filter("ord <= 60")
+    d = elements(spark, sf_dir)
     body, label = text.normal_caption(F.col("caption")), text.inline_label(F.col("caption"))
     figures = d.filter("type = 'figure'").select("doc_id", F.col("id").alias("file"), body.alias("text"), label.alias("label"))
     return linking.fuzzy_captions(figures, d.filter("type = 'caption'").select("doc_id", "id", "ord", body.alias("text"), label.alias("label")))
