@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text
 from lodegraph.operators import linking
-from lodegraph.plans import documents, registry
+from lodegraph.plans import documents, graphs, registry
 
 
 def plain_captions(figures, captions, least=0.3):
@@ -46,3 +46,16 @@ def test_fuzzy_captions_in_blocks(spark):
     for block in (1, 7, 512):
         got = {(r.doc_id, r.file): (r.id, round(r.similarity, 12)) for r in linking.fuzzy_captions(f, c, block=block).collect()}
         assert got == {k: (i, round(s, 12)) for k, (i, s) in plain_captions(figures, captions).items()} and got
+
+
+def test_graph_files_hold_all_documents(spark, small, monkeypatch):
+    """Both round trips write the graphs of all documents; the whole one gives them all back."""
+    want = {}
+    for r in documents.elements(spark, small).select(F.col("doc_id").cast("string").alias("doc_id"), "id").collect():
+        want.setdefault(r.doc_id, []).append(r.id)
+    written, write = [], graphs.files.write_graphs
+    monkeypatch.setattr(graphs.files, "write_graphs", lambda n, e, path: (written.append(n.select("doc_id").distinct().count()), write(n, e, path)))
+    out = registry.queries()["graph_file_round_trip_all"](spark, small).collect()
+    assert {r.doc_id: (r.n_nodes, r.first, r.last) for r in out} == {k: (len(v), min(v), max(v)) for k, v in want.items()}
+    registry.queries()["graph_file_round_trip"](spark, small)
+    assert written == [len(want)] * 2
