@@ -511,6 +511,6 @@ def shuffled_roles(spark, sf_dir):
 @query()
 def hard_pool(spark, sf_dir):
     vec, edge = source(spark, sf_dir, "vec"), source(spark, sf_dir, "edge")
-    anchors = vec.filter("id < 50").select("doc_id", F.col("id").alias("anchor"))
-    near = edge.select(F.col("src").alias("anchor"), F.col("dst").alias("id")).filter("anchor < 50").join(vec.select("id"), "id").distinct()
+    anchors = vec.filter("id % 50 = 0").select("doc_id", F.col("id").alias("anchor"))
+    near = edge.select(F.col("src").alias("anchor"), F.col("dst").alias("id")).filter("anchor % 50 = 0").join(vec.select("id"), "id").distinct()
     return linking.hard_pool(anchors, vec.select("doc_id", "id"), near.select("anchor", "id"))

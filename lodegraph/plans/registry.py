@@ -19,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieval_metrics_propagated(spark, sf_dir)
+    """Propagated retrieval of the whole query set, evaluated."""
+    return QUERIES["retrieval_metrics_propagated_whole"](spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text
 from lodegraph.operators import linking
 from lodegraph.plans import documents, graphs, registry
+from lodegraph.plans.base import source
 
 
 def plain_captions(figures, captions, least=0.3):
@@ -59,3 +60,14 @@ def test_graph_files_hold_all_documents(spark, small, monkeypatch):
     assert {r.doc_id: (r.n_nodes, r.first, r.last) for r in out} == {k: (len(v), min(v), max(v)) for k, v in want.items()}
     registry.queries()["graph_file_round_trip"](spark, small)
     assert written == [len(want)] * 2
+
+
+def test_searches_ask_all_queries(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = [r.id for r in source(spark, sf, "vec").select("id").collect()]
+    asked = {i for i in ids if i % 50 == 0}
+    top = registry.queries()["cosine_topk_global_whole"](spark, sf).collect()
+    assert {r.qid for r in top} == asked and len(top) == 20 * len(asked)
+    assert {r.qid for r in registry.queries()["cosine_topk_whole"](spark, sf).collect()} == asked
+    assert {r.anchor for r in registry.queries()["hard_pool"](spark, sf).collect()} == asked
+    assert {f"{k}_whole" for k, sql in registry.oracle_sql().items() if "FROM ask " in sql or "FROM ask," in sql} <= registry.queries().keys()
