@@ -37,40 +37,53 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(1))
 
 
-def references(docs: DataFrame, n_common: int = 24, max_langs: int = 64) -> DataFrame:
-    """(qr_lang, qr_ref_classes, qr_common, qr_ref_common, qr_pattern) from all of ``docs``, by their ``lang``.
+def references(docs: DataFrame, n_common: int = 24) -> DataFrame:
+    """(qr_lang, qr_place, qr_ref_classes, qr_common, qr_ref_common, qr_pattern) from all of ``docs``, by their ``lang``.
 
-    The ``max_langs`` languages with most characters have a reference each, and all documents together have the one
-    named '' for the rest: at most ``max_langs`` + 1 rows of fixed width, so the table may be broadcast.
+    Every language has a reference, and all documents together have the one of a null language. Rows are of fixed width;
+    ``qr_place`` is 0 for the latter and numbers the others from that with most characters on.
     """
-    d = class_counts(docs.select(F.coalesce("lang", F.lit("")).alias("qr_lang"), F.col("text").alias("qr_text")))
-    sums = [F.sum(F.col("qr_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    by_lang = d.filter("qr_text IS NOT NULL").groupBy("qr_lang").agg(*sums)
-    size = sum((F.col(f"c{i}") for i in range(len(CLASSES) + 1)), F.lit(0.0))
-    by_lang = by_lang.withColumn("qr_size", size).withColumn(
-        "qr_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("qr_size"), "qr_lang"))
+    d = class_counts(docs.select(F.col("lang").alias("qr_lang"), F.col("text").alias("qr_text")))
+    names = [f"c{i}" for i in range(len(CLASSES) + 1)]
+    by_lang = d.filter("qr_text IS NOT NULL").groupBy("qr_lang").agg(
+        *[F.sum(F.col("qr_classes")[i]).alias(c) for i, c in enumerate(names)])
+    size = sum((F.col(c) for c in names), F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(size.desc(), "qr_lang"))
+    rows = by_lang.filter("qr_lang IS NOT NULL").withColumn("qr_place", place).select("qr_lang", "qr_place", *names).union(
+        by_lang.agg(*[F.sum(c).alias(c) for c in names]).select(F.lit(None).cast("string"), F.lit(0), *names)
     )
-    kept = by_lang.filter((F.col("qr_place") <= max_langs) & (F.col("qr_lang") != ""))
-    pooled = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    rows = kept.select("qr_lang", *[f"c{i}" for i in range(len(CLASSES) + 1)]).union(
-        pooled.select(F.lit("").alias("qr_lang"), "*")
-    )
-    rows = rows.select("qr_lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("qr_ref_classes"))
+    rows = rows.select("qr_lang", "qr_place", F.array(*names).alias("qr_ref_classes"))
     words = d.select("qr_lang", F.explode(plain_words(F.col("qr_text"))).alias("w")).groupBy("qr_lang", "w").count()
-    words = words.select(F.explode(F.array_distinct(F.array("qr_lang", F.lit("")))).alias("qr_lang"), "w", "count")
+    words = words.select(F.explode(F.array_distinct(F.array("qr_lang", F.lit(None)))).alias("qr_lang"), "w", "count")
     words = stored(words.groupBy("qr_lang", "w").agg(F.sum("count").alias("n")))
-    total = words.groupBy("qr_lang").agg(F.sum("n").alias("all"))
+    total = words.groupBy(F.col("qr_lang").alias("of")).agg(F.sum("n").alias("all"))
     top = Window.partitionBy("qr_lang").orderBy(F.desc("n"), "w")
     words = words.filter("w <> ''").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= n_common)
-    words = words.groupBy("qr_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("x")).join(total, "qr_lang")
+    words = words.groupBy("qr_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("x"))
+    words = words.join(total, F.col("qr_lang").eqNullSafe(F.col("of")))
     rest = F.col("all") - F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     words = words.select(
-        "qr_lang", F.transform("x", lambda x: x["w"]).alias("qr_common"),
+        "of", F.transform("x", lambda x: x["w"]).alias("qr_common"),
         F.concat(F.transform("x", lambda x: x["n"].cast("double")), F.array(rest.cast("double"))).alias("qr_ref_common"),
     )
     either = F.concat(F.lit(f"{START}(?:"), F.array_join("qr_common", "|"), F.lit(f"){END}"))
     words = words.withColumn("qr_pattern", either)
-    return rows.join(words, "qr_lang", "left")
+    return rows.join(words, F.col("qr_lang").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def with_references(d: DataFrame, ref: DataFrame, most: int = 64) -> DataFrame:
+    """``d`` with the reference of each row's ``lang``.
+
+    Those of the ``most`` languages with most characters and of null are broadcast; only if there are more languages,
+    rows in the others are joined by ``lang``.
+    """
+    same = F.col("lang").eqNullSafe(F.col("qr_lang"))
+    ref = stored(ref)
+    if ref.count() <= most + 1:
+        return d.join(F.broadcast(ref), same, "left").drop("qr_lang", "qr_place")
+    large = ref.filter(F.col("qr_place") <= most)
+    rare = d.join(F.broadcast(large.select("qr_lang")), same, "left_anti").join(ref.filter(F.col("qr_place") > most), same, "left")
+    return d.join(F.broadcast(large), same).unionByName(rare).drop("qr_lang", "qr_place")
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -142,24 +155,20 @@ def quality(
 ) -> DataFrame:
     """Documents with their counts, ``base_failed``, two distances and ``kept``.
 
-    A document is compared with its language's reference (with that of all documents if its language has none): the
+    A document is compared with its language's reference (with that of all documents if its language is null): the
     histogram of character classes from ``min_chars`` characters on, that of the ``n_common`` most frequent words and
     all others from ``min_words`` words on; below these guards a distance is null and does not speak against a document.
 
     The bound of 0.3 on the latter is from distances of all rows of sf0.1: of those of ``min_words`` words or more that pass
     the base rules, 17 of 3,233 labelled quality 1 and 226 of 290 labelled quality 0 lie above it.
 
-    Null text counts as empty and fails the base rules, as does any text under ten words. Null and rare languages use
-    the reference of all. Rows that repeat and rows with equal ids are judged each by itself; extra columns stay, those
-    named like an output are replaced. An empty table gives an empty table.
+    Null text counts as empty and fails the base rules, as does any text under ten words. Rows that repeat and rows with
+    equal ids are judged each by itself; extra columns stay, those named like an output are replaced. An empty table
+    gives an empty table.
     """
     d = without(docs, *OUTPUTS)
     ref = references(d.select("lang", "text"), n_common)
-    known = ref.select(F.col("qr_lang").alias("qr_known"))
-    d = d.withColumn("qr_text", F.coalesce("text", F.lit("")))
-    d = d.join(F.broadcast(known), F.col("lang") == F.col("qr_known"), "left")
-    d = d.withColumn("qr_lang", F.coalesce("qr_known", F.lit(""))).drop("qr_known")
-    d = d.join(F.broadcast(ref), "qr_lang", "left")
+    d = with_references(d.withColumn("qr_text", F.coalesce("text", F.lit(""))), ref)
     d = class_counts(base_counts(d))
     d = d.withColumn("qr_seen", F.regexp_extract_all(F.lower("qr_text"), F.col("qr_pattern"), F.lit(0)))
     d = d.withColumn("qr_joined", F.concat(F.lit(" "), F.array_join("qr_seen", "  "), F.lit(" ")))
@@ -179,7 +188,7 @@ def quality(
     fine = F.coalesce(F.col("class_distance") <= max_class, F.lit(True)) & F.coalesce(
         F.col("common_distance") <= max_common, F.lit(True))
     d = d.withColumn("kept", ~F.col("base_failed") & fine)
-    return d.drop("qr_lang", "qr_text", "qr_ref_classes", "qr_common", "qr_ref_common", "qr_classes", "qr_pattern",
+    return d.drop("qr_text", "qr_ref_classes", "qr_common", "qr_ref_common", "qr_classes", "qr_pattern",
                   "qr_seen", "qr_joined", "qr_found", "qr_hist")
 
 

@@ -90,6 +90,20 @@ def test_quality_counts_all_words(spark):
     assert r.first().n_words == 79 and r.first().common_distance == pytest.approx(0)
 
 
+def test_quality_has_a_reference_for_every_language(spark):
+    """A language's only document is as its reference, however many languages there are; null has that of all."""
+    text = "".join(chr(0x3B1 + i % 20) * 3 + " " for i in range(80))
+    docs = [(i, f"word{i} plain text of some length " * (90 - i) + ". ! ?" * i, f"l{i}") for i in range(70)]
+    docs += [(100, text, "el"), (101, text, None), (102, text, ""), (103, None, "no")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert len(out) == len(docs)
+    for i in [*range(70), 100, 102]:
+        assert out[i].class_distance == pytest.approx(0) and out[i].common_distance == pytest.approx(0, abs=1e-6)
+    assert out[101].class_distance > 0.3 and out[101].common_distance > 0.3 and not out[101].kept
+    assert out[103].class_distance is None and out[103].base_failed
+
+
 def test_secret_base_spans(spark, small, odd):
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
         for r in secrets.find_secrets(docs).collect():
