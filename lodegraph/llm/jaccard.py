@@ -285,9 +285,23 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
 
 def dedup_near(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id."""
-    gone = jaccard_groups(docs, **options).filter("NOT kept").select("doc_id").distinct()
-    return without(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay: of each component the one with the smallest doc_id.
+
+    Should a doc_id repeat, rows are told apart by id and text: of rows equal in both one stays, and rows of one id with
+    different texts are placed each by its own text, numbered in the order of ids, so that one row of a component stays.
+    Rows without a doc_id stay.
+    """
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        gone = jaccard_groups(docs, **options).filter("NOT kept").select("doc_id").distinct()
+        return without(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn("dn_text", F.coalesce(F.sha2("text", 256), F.lit("")))
+    keys = keyed.select("doc_id", "dn_text").distinct().orderBy("doc_id", "dn_text")
+    keys = stored(keys.withColumn("dn_id", F.monotonically_increasing_id()))
+    rows = stored(keyed.join(keys, ["doc_id", "dn_text"]).dropDuplicates(["dn_id"]))
+    gone = jaccard_groups(rows.select(F.col("dn_id").alias("doc_id"), "text"), **options).filter("NOT kept")
+    kept = rows.join(gone.select(F.col("doc_id").alias("dn_id")).distinct(), "dn_id", "left_anti").select(*docs.columns)
+    return kept.union(docs.filter("doc_id IS NULL"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

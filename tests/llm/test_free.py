@@ -287,3 +287,13 @@ def test_groups_sql(spark, query, sql):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(sql)
     assert sorted(map(tuple, query(spark, sf).select(*[c[0] for c in cur.description]).collect())) == sorted(cur.fetchall())
+
+
+def test_dedup_near_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(3, a), (5, a + " end"), (5, b), (5, b), (6, c), (6, c + " end"), (7, None), (None, c), (None, c), (9, "z")]
+    out = jaccard.dedup_near(spark.createDataFrame(docs, SCHEMA).repartition(3))
+    got = [tuple(r) for r in out.collect()]
+    six = [t for i, t in got if i == 6]
+    assert len(six) == 1 and six[0] in (c, c + " end")
+    assert sorted((r for r in got if r[0] != 6), key=repr) == sorted([(3, a), (5, b), (7, None), (None, c), (None, c), (9, "z")], key=repr)
