@@ -19,18 +19,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a local master gets a local folder, and
+    any other an error, as executors elsewhere could not read what one of them wrote."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(told or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
+#: Tables that this process has stored, by application.
+_tables: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: computed once, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back: computed once, survives lost executors.
+
+    The table stays for as long as results read it; ``drop_stored`` removes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove the tables that operators of this session have stored, once their results are no longer read."""
+    paths = _tables.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -69,25 +92,48 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], salt: Column,
     )
 
 
+#: Parts that the rows of one key are dealt into where something is told to all of them.
+SALTS = 32
+
+
+def with_group(df: DataFrame, key: str, spread: str, first: dict[str, Column], combine: dict) -> DataFrame:
+    """``df`` with aggregates of each row's ``key``, without bringing a key's rows into one task.
+
+    A key is dealt into ``SALTS`` parts by ``spread``: ``first`` aggregates a part, ``combine`` the parts of a key, and
+    the result goes back to each part. Rows without a key go.
+    """
+    d = df.withColumn("wg_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = d.groupBy(key, "wg_part").agg(*[c.alias(n) for n, c in first.items()])
+    whole = Window.partitionBy(key)
+    parts = parts.select(key, "wg_part", *[combine[n](n).over(whole).alias(n) for n in first])
+    return d.join(parts, [key, "wg_part"]).drop("wg_part")
+
+
+def join_spread(df: DataFrame, told: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``df`` with what ``told`` has for its keys, null where it has nothing: a left join in which a key that very many rows
+    have is no one task's work, as it is told to ``SALTS`` parts of them. ``told`` has a key once."""
+    d = df.withColumn("js_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = d.select(*keys, "js_part").distinct().join(told, keys)
+    return d.join(parts, [*keys, "js_part"], "left").drop("js_part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): the smallest id reachable from each id in an undirected edge list, for ids that have an edge.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges stand still. Each step is a
-    minimum per node (combined before the shuffle) and an equi-join, and is written to the shared folder.
+    minimum per node, told to the node's edges part by part, so that a node with very many edges is not one task's work;
+    each is written to the shared folder.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = stored(e.filter("u <> v").distinct())
+    least = ({"m": F.min("v")}, {"m": F.min})
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .filter("u <> v").distinct()
-        )
-        e = stored(small)
+        large = with_group(both, "u", "v", *least).filter("v > u")
+        large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_group(large, "u", "v", *least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = stored(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -95,3 +141,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     )
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named: the only element of an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(values: Column, combine, chunk: int = 256) -> Column:
+    """Running totals of an array under an associative ``combine``.
+
+    Totals run inside chunks, then over the chunks' last ones, which each chunk takes up from the one before; arrays grow
+    to ``chunk`` entries only (the one of chunks aside), so the work is in proportion to the array.
+    """
+
+    def running(part: Column) -> Column:
+        step = lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, combine(F.element_at(a, -1), x)).otherwise(x)))
+        return F.aggregate(part, F.slice(part, 1, 0), step)
+
+    def taken_up(inner: Column) -> Column:
+        def joined(totals: Column) -> Column:
+            whole = lambda c, i: F.when(i == 0, c).otherwise(F.transform(c, lambda x: combine(F.get(totals, i - 1), x)))
+            return F.flatten(F.transform(inner, whole))
+
+        return F.when(F.size(inner) == 1, inner[0]).otherwise(bound(running(F.transform(inner, lambda c: F.element_at(c, -1))), joined))
+
+    def scan(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda i: F.slice(v, i * chunk + 1, chunk))
+        return F.when(F.size(v) == 0, v).otherwise(bound(F.transform(parts, running), taken_up))
+
+    return bound(values, scan)
