@@ -16,14 +16,16 @@ CLASSES = (
 SYMBOLS = "#*$%&|<>"
 #: Where a word starts, and what may follow its letters.
 START, END = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D.,;:!?])"
-#: One match a word; its group holds the letters of a word that is all letters but for a mark behind them.
-LETTERS = START + r"(?=[^\x20\x09-\x0D])(\p{L}++" + END + ")?"
+#: The letters of a word that is all letters but for a mark behind them.
+LETTERS = r"^(\p{L}++)" + END
 
 
 def class_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
-    """Adds ``qr_classes``, the characters of each class; each pattern runs over what the ones before it left."""
+    """Adds ``qr_classes``, the characters of each class, and ``qr_symbols``; each pattern runs over what was left."""
     left, lengths = text, [F.length(text)]
-    for i, (_, pattern) in enumerate(CLASSES):
+    for i, (name, pattern) in enumerate(CLASSES):
+        if name == "stop":  # no symbol is among what is gone by now, and little of the text is left
+            d = d.withColumn("qr_symbols", F.regexp_count(left, F.lit(f"[{SYMBOLS}]")).cast("long"))
         d = d.withColumn(f"qr_left{i}", F.regexp_replace(left, pattern, ""))
         left = f"qr_left{i}"
         lengths.append(F.length(left))
@@ -32,30 +34,39 @@ def class_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
     return d.drop(*[f"qr_left{i}" for i in range(len(CLASSES))])
 
 
-def plain_words(text: Column) -> Column:
-    """An entry for each word of any length: its letters in lower case, '' for words that hold anything else."""
-    return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(1))
+def letters_of(word: Column) -> Column:
+    """The letters of a word in lower case, of any length; '' for a word that holds anything else."""
+    return F.regexp_extract(F.lower(word), LETTERS, 1)
 
 
 def references(docs: DataFrame, n_common: int = 24) -> DataFrame:
     """(qr_lang, qr_place, qr_ref_classes, qr_common, qr_ref_common, qr_pattern) from all of ``docs``, by their ``lang``.
 
-    Every language has a reference, and all documents together have the one of a null language. Rows are of fixed width;
-    ``qr_place`` is 0 for the latter and numbers the others from that with most characters on.
+    Every language has a reference, and all documents together have the one of a null language: both are rolled up from
+    one table of classes and one of words. Rows are of fixed width; ``qr_place`` is 0 for the null language and numbers
+    the others from that with most characters on.
     """
-    d = class_counts(docs.select(F.col("lang").alias("qr_lang"), F.col("text").alias("qr_text")))
+    d = docs.filter("text IS NOT NULL").select(F.col("lang").alias("qr_lang"), F.col("text").alias("qr_text"))
     names = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    by_lang = d.filter("qr_text IS NOT NULL").groupBy("qr_lang").agg(
-        *[F.sum(F.col("qr_classes")[i]).alias(c) for i, c in enumerate(names)])
-    size = sum((F.col(c) for c in names), F.lit(0.0))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(size.desc(), "qr_lang"))
+    # Words are counted as they stand; classes and letters are looked at for distinct ones only. White space is the rest.
+    words = d.select("qr_lang", F.explode(F.regexp_extract_all("qr_text", F.lit(WORD), F.lit(0))).alias("raw"))
+    words = class_counts(words.groupBy("qr_lang", "raw").agg(F.count("*").alias("n")), "raw")
+    words = words.groupBy("qr_lang", letters_of(F.col("raw")).alias("w")).agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("qr_classes")[i]).alias(c) for i, c in enumerate(names)])
+    words = stored(words)
+    pooled = stored(words.groupBy("w").agg(F.sum("n").alias("n")))
+    sizes = d.groupBy("qr_lang").agg(F.sum(F.length("qr_text")).cast("double").alias("size"))
+    by_lang = sizes.join(words.groupBy(F.col("qr_lang").alias("of")).agg(*[F.sum(c).alias(c) for c in names]), F.col("qr_lang").eqNullSafe(F.col("of")), "left")
+    space = names[[name for name, _ in CLASSES].index("space")]
+    by_lang = by_lang.select("qr_lang", "size", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    by_lang = stored(by_lang.withColumn(space, F.col("size") - sum((F.col(c) for c in names if c != space), F.lit(0.0))))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "qr_lang"))
     rows = by_lang.filter("qr_lang IS NOT NULL").withColumn("qr_place", place).select("qr_lang", "qr_place", *names).union(
         by_lang.agg(*[F.sum(c).alias(c) for c in names]).select(F.lit(None).cast("string"), F.lit(0), *names)
     )
     rows = rows.select("qr_lang", "qr_place", F.array(*names).alias("qr_ref_classes"))
-    words = d.select("qr_lang", F.explode(plain_words(F.col("qr_text"))).alias("w")).groupBy("qr_lang", "w").count()
-    words = words.select(F.explode(F.array_distinct(F.array("qr_lang", F.lit(None)))).alias("qr_lang"), "w", "count")
-    words = stored(words.groupBy("qr_lang", "w").agg(F.sum("count").alias("n")))
+    words = words.filter("qr_lang IS NOT NULL").select("qr_lang", "w", "n").unionByName(
+        pooled.select(F.lit(None).cast("string").alias("qr_lang"), "w", "n"))
     total = words.groupBy(F.col("qr_lang").alias("of")).agg(F.sum("n").alias("all"))
     top = Window.partitionBy("qr_lang").orderBy(F.desc("n"), "w")
     words = words.filter("w <> ''").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= n_common)
@@ -66,7 +77,9 @@ def references(docs: DataFrame, n_common: int = 24) -> DataFrame:
         "of", F.transform("x", lambda x: x["w"]).alias("qr_common"),
         F.concat(F.transform("x", lambda x: x["n"].cast("double")), F.array(rest.cast("double"))).alias("qr_ref_common"),
     )
-    either = F.concat(F.lit(f"{START}(?:"), F.array_join("qr_common", "|"), F.lit(f"){END}"))
+    # The first letters stand in front, where most characters of a text fail at once.
+    firsts = F.array_join(F.array_distinct(F.transform("qr_common", lambda w: F.substring(w, 1, 1))), "")
+    either = F.concat(F.lit("(?=["), firsts, F.lit(f"]){START}(?:"), F.array_join("qr_common", "|"), F.lit(f"){END}"))
     words = words.withColumn("qr_pattern", either)
     return rows.join(words, F.col("qr_lang").eqNullSafe(F.col("of")), "left").drop("of")
 
@@ -105,28 +118,24 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def base_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a column of texts without nulls.
+    """n_words, n_dup_lines and n_repeat_words of a column of texts without nulls.
 
     Windows of five words are compared by a 64-bit hash of the words. Texts that repeat none, nearly all, end at a hash
     set; the others sort their windows, so no text costs more than n log n.
     """
     d = d.withColumn("qr_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    window = lambda i: F.xxhash64(*[F.get("qr_words", i + k) for k in range(5)])
-    d = d.withColumn("qr_windows", F.when(
-        F.size("qr_words") >= 5, F.transform(F.sequence(F.lit(0), F.size("qr_words") - 5), window)
-    ).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("qr_hashes", F.transform("qr_words", lambda w: F.xxhash64(w)))
+    window = lambda h, i: F.xxhash64(h, *[F.get("qr_hashes", i + k) for k in range(1, 5)])
+    d = d.withColumn("qr_windows", F.transform(F.slice("qr_hashes", 1, F.greatest(F.size("qr_hashes") - 4, F.lit(0))), window))
     d = d.withColumns({"qr_lines": lines, "qr_n": F.size("qr_windows")})
     d = d.withColumn("qr_sorted", F.when(
         F.size(F.array_distinct("qr_windows")) < F.col("qr_n"),
         F.sort_array(F.transform("qr_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     ))
-    same = lambda i, j: (F.get("qr_sorted", i)["h"] == F.get("qr_sorted", j)["h"])
-    again = F.sort_array(F.transform(
-        F.filter(F.transform("qr_sorted", lambda x, i: F.struct(
-            x["i"].alias("i"),
-            (F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False))).alias("twice"),
-        )), lambda x: x["twice"]), lambda x: x["i"]))
+    same = lambda x, j: F.coalesce(x["h"] == F.get("qr_sorted", j)["h"], F.lit(False))
+    twice = F.filter("qr_sorted", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    again = F.sort_array(F.transform(twice, lambda x: x["i"]))
     d = d.withColumn("qr_again", F.coalesce(again, F.array().cast("array<int>")))
     covered = F.aggregate(
         F.transform("qr_again", lambda s, k: F.least(F.lit(5), F.coalesce(F.get("qr_again", k + 1) - s, F.lit(5)))),
@@ -134,11 +143,9 @@ def base_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
     )
     return d.withColumns({
         "n_words": F.size("qr_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-    }).drop("qr_words", "qr_lines", "qr_windows", "qr_n", "qr_sorted", "qr_again")
+    }).drop("qr_words", "qr_hashes", "qr_lines", "qr_windows", "qr_n", "qr_sorted", "qr_again")
 
 
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
@@ -170,6 +177,8 @@ def quality(
     ref = references(d.select("lang", "text"), n_common)
     d = with_references(d.withColumn("qr_text", F.coalesce("text", F.lit(""))), ref)
     d = class_counts(base_counts(d))
+    spaces = F.col("qr_classes")[[name for name, _ in CLASSES].index("space")].cast("long")
+    d = d.withColumns({"word_chars": F.length("qr_text").cast("long") - spaces, "n_symbols": F.col("qr_symbols")})
     d = d.withColumn("qr_seen", F.regexp_extract_all(F.lower("qr_text"), F.col("qr_pattern"), F.lit(0)))
     d = d.withColumn("qr_joined", F.concat(F.lit(" "), F.array_join("qr_seen", "  "), F.lit(" ")))
     found = F.transform("qr_common", lambda w: (
@@ -188,7 +197,7 @@ def quality(
     fine = F.coalesce(F.col("class_distance") <= max_class, F.lit(True)) & F.coalesce(
         F.col("common_distance") <= max_common, F.lit(True))
     d = d.withColumn("kept", ~F.col("base_failed") & fine)
-    return d.drop("qr_text", "qr_ref_classes", "qr_common", "qr_ref_common", "qr_classes", "qr_pattern",
+    return d.drop("qr_text", "qr_ref_classes", "qr_common", "qr_ref_common", "qr_classes", "qr_symbols", "qr_pattern",
                   "qr_seen", "qr_joined", "qr_found", "qr_hist")
 
 
