@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import scanned
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
 
@@ -30,7 +34,7 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the paths it must have, and SQL for its turns as an array of (role, text) structs.
+    """A layout: its paths, those of them that may be missing, and SQL for its turns as an array of (role, text) structs.
 
     ``rows`` marks the layout with one row per turn, whose SQL gives one turn and whose rows are gathered by ``key``.
     """
@@ -38,65 +42,106 @@ class Mapping:
     name: str
     paths: tuple[str, ...]
     turns: str
+    optional: tuple[str, ...] = ()
     rows: bool = False
     key: str = "conv_id"
     order: str = "turn"
 
+    def fingerprints(self) -> list[str]:
+        """Of the paths with all, some or none of the optional ones."""
+        must = [p for p in self.paths if p not in self.optional]
+        some = [c for k in range(len(self.optional), -1, -1) for c in combinations(self.optional, k)]
+        return [fingerprint([*must, *c]) for c in some]
+
 
 def _turn(role: str, text: str) -> str:
     return f"named_struct('role', {role}, 'text', {text})"
 
 
-#: Declared layouts. A layout is met by a table that has exactly these paths beside its id columns.
+#: Declared layouts. A row has a layout if the paths that hold a value in it are exactly these, beside ids and columns
+#: that no layout names.
 MAPPINGS = (
-    Mapping("turn rows", ("role", "text", "turn"), _turn("role", "text"), rows=True),
+    Mapping("turn rows", ("role", "text", "turn"), _turn("role", "text"), ("role", "text", "turn"), rows=True),
     Mapping("messages", ("messages[].content", "messages[].role"),
             "transform(messages, m -> " + _turn("m.role", "m.content") + ")"),
     Mapping("from and value", ("conversations[].from", "conversations[].value"),
             "transform(conversations, m -> " + _turn(
                 "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END", "m.value") + ")"),
     Mapping("prompt and response", ("prompt", "response"),
-            "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "response") + ")"),
+            "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "response") + ")", ("response",)),
     Mapping("prompt and completion", ("completion", "prompt"),
-            "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "completion") + ")"),
+            "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "completion") + ")", ("completion",)),
     Mapping("instruction", ("input", "instruction", "output"),
             "array(" + _turn("'user'", "concat_ws('\\n', instruction, nullif(input, ''))") + ", "
-            + _turn("'assistant'", "output") + ")"),
+            + _turn("'assistant'", "output") + ")", ("input", "output")),
 )
 IDS = ("conv_id",)
 
 
-def choose(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS, ids: tuple[str, ...] = IDS) -> Mapping:
-    """The mapping whose fingerprint a table's schema has; else the one with most paths that are all there."""
-    have = [p for p in paths_of(schema) if p not in ids]
-    known = {fingerprint(list(m.paths)): m for m in mappings}
-    if (exact := known.get(fingerprint(have))) is not None:
-        return exact
-    inside = [m for m in mappings if set(m.paths) <= set(have)]
+def fitting(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS, ids: tuple[str, ...] = IDS) -> list[Mapping]:
+    """The mappings whose paths a table has, those with most paths first. None is an error."""
+    have = {p for p in paths_of(schema) if p not in ids}
+    inside = sorted((m for m in mappings if set(m.paths) <= have), key=lambda m: (-len(m.paths), m.name))
     if not inside:
-        raise ValueError(f"no mapping has the fingerprint {fingerprint(have)} of {have}")
-    return max(inside, key=lambda m: (len(m.paths), m.name))
+        raise ValueError(f"no mapping has the fingerprint {fingerprint(list(have))} of {sorted(have)}")
+    return inside
+
+
+def row_layout(schema: T.StructType, mappings: list[Mapping]) -> Column:
+    """The name of each row's layout: that of the mapping with the fingerprint of the row's own paths.
+
+    A row's paths are the nested field paths under its columns that are not null, of columns that some mapping names. A row
+    with another fingerprint has the mapping with most paths of which all that must be there are; one without any: null.
+    """
+    named = {p.split(".")[0].split("[")[0] for m in mappings for p in m.paths}
+    own = [f for f in schema.fields if f.name in named]
+    known = {p for m in mappings for p in m.paths}
+    parts = [F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*[F.lit(p) for p in paths_of(T.StructType([f])) if p in known]))
+             .otherwise(F.array().cast("array<string>")) for f in own]
+    told = F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(F.concat(*parts))), "\n"), 256), 1, 16)
+    out = F.lit(None).cast("string")
+    for m in reversed(mappings):
+        must = [F.col(f"`{p.split('.')[0].split('[')[0]}`").isNotNull() for p in m.paths if p not in m.optional]
+        if must:
+            out = F.when(reduce(lambda a, b: a & b, must), m.name).otherwise(out)
+    for m in reversed(mappings):
+        out = F.when(told.isin(*m.fingerprints()), m.name).otherwise(out)
+    return out
 
 
 def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turns) of a table of any declared layout.
+    """(conv_id, turns) of a table of any declared layout, or of rows of several of them.
+
+    Each row is told apart by the fingerprint of its own field paths; where only one mapping fits the table, that is the
+    mapping of all rows. Rows without a layout have no turn.
 
     Nulls: a null role or text is empty, a null array of messages has no turn, rows with a null id form one
     conversation in the row layout. Turns go by ``turn`` (null first), ties by role and text; repeated rows are turns of
-    their own. Extra columns are ignored. Gathering turns is by conversation: one conversation must fit in a task, as
-    its formatted text must.
+    their own. Extra columns are ignored. A conversation of turn rows and one of another layout are two, should they share
+    an id. An empty table gives no conversation. Gathering turns is by conversation: one conversation must fit in a task,
+    as its formatted text must; nothing but turns of one conversation is gathered.
     """
-    m = choose(df.schema, mappings)
+    found = fitting(df.schema, mappings)
+    d = df.withColumn("ct_layout", row_layout(df.schema, found) if len(found) > 1 else F.lit(found[0].name))
     clean = lambda t: F.struct(
         F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")
     )
-    if not m.rows:
-        turns = F.transform(F.coalesce(F.expr(m.turns), F.array().cast(f"array<{TURN}>")), clean)
-        return df.select("conv_id", turns.alias("turns"))
-    one = df.select(F.col(m.key).alias("conv_id"), F.col(m.order).alias("ct_at"), F.expr(m.turns).alias("ct"))
-    one = one.select("conv_id", F.struct("ct_at", *[clean(F.col("ct"))[c].alias(c) for c in ("role", "text")]).alias("t"))
-    turns = F.transform(F.sort_array(F.collect_list("t")), clean)
-    return one.groupBy("conv_id").agg(turns.alias("turns"))
+    out = []
+    whole = [m for m in found if not m.rows]
+    if whole:
+        turns = F.lit(None).cast(f"array<{TURN}>")
+        for m in whole:
+            turns = F.when(F.col("ct_layout") == m.name, F.expr(m.turns).cast(f"array<{TURN}>")).otherwise(turns)
+        turns = F.transform(F.coalesce(turns, F.array().cast(f"array<{TURN}>")), clean)
+        own = F.col("ct_layout").isNull() | F.col("ct_layout").isin(*[m.name for m in whole])
+        out.append(d.filter(own).select("conv_id", turns.alias("turns")))
+    for m in found:
+        if m.rows:
+            one = d.filter(F.col("ct_layout") == m.name).select(F.col(m.key).alias("conv_id"), F.col(m.order).alias("ct_at"), F.expr(m.turns).alias("ct"))
+            one = one.select("conv_id", F.struct("ct_at", *[clean(F.col("ct"))[c].alias(c) for c in ("role", "text")]).alias("t"))
+            turns = F.transform(F.sort_array(F.collect_list("t")), clean)
+            out.append(one.groupBy("conv_id").agg(turns.alias("turns")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def escape(c: Column) -> Column:
@@ -120,20 +165,15 @@ def format_chat(turns: DataFrame, learn: str = "assistant") -> DataFrame:
         (x["role"] == learn).alias("learn"),
     ))
     tail = F.lit(f"{CLOSE}\n")
-    lengths = F.transform("ct_parts", lambda p: F.struct(
-        F.length(p["head"]).cast("long").alias("head"), F.length(p["body"]).cast("long").alias("body"), p["learn"].alias("learn")
-    ))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    step = lambda a, p: F.struct(
-        (a["at"] + p["head"] + p["body"] + len(CLOSE) + 1).alias("at"),
-        F.when(p["learn"], F.concat(a["spans"], F.array(F.struct(
-            (a["at"] + p["head"]).alias("start"), (a["at"] + p["head"] + p["body"]).alias("end")
-        )))).otherwise(a["spans"]).alias("spans"),
-    )
+    size = lambda p: F.length(p["head"]).cast("long") + F.length(p["body"]) + len(CLOSE) + 1
+    ends = scanned(F.transform("ct_parts", size), lambda a, b: a + b)
+    learnt = F.filter(F.arrays_zip(F.col("ct_parts").alias("p"), ends.alias("end")), lambda z: z["p"]["learn"])
+    close = lambda z: z["end"] - len(CLOSE) - 1
+    loss = F.transform(learnt, lambda z: F.struct((close(z) - F.length(z["p"]["body"])).alias("start"), close(z).alias("end")))
     return turns.select("conv_id", parts.alias("ct_parts")).select(
         "conv_id",
         F.array_join(F.transform("ct_parts", lambda p: F.concat(p["head"], p["body"], tail)), "").alias("formatted"),
-        F.aggregate(lengths, start, step, lambda a: a["spans"]).alias("loss"),
+        loss.alias("loss"),
     )
 
 
