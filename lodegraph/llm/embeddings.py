@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .arrays import groups, roots, whole_groups
 from .blocks import in_blocks
-from .common import components, stored, without
+from .common import components, join_spread, stored, with_group, without
 
 #: Projections of a key, tables, and the width of a projection's cells. Two unit vectors at distance d fall into one
 #: cell of one projection with p = 1 - 2 N(-w/d) - 2 d / (sqrt(2 pi) w) (1 - exp(-w^2 / 2 d^2)); for cosine 0.93
-#: (d = 0.374) and w = 1 that is 0.70, and a pair meets in one of 16 tables of 5 with 1 - (1 - p^5)^16 = 0.95, for
-#: cosine 0.97 with 0.999. Unrelated vectors meet with 0.02. More rows want more projections and more tables.
-PROJECTIONS, TABLES, WIDTH = 5, 16, 1.0
+#: (d = 0.374) and w = 2 that is 0.85, and a pair meets in one of 20 tables of 12 with 1 - (1 - p^12)^20 = 0.95, for
+#: cosine 0.97 with 0.998. Unrelated vectors (d = 1.41, p = 0.49) meet with 0.004. More rows want more of both.
+PROJECTIONS, TABLES, WIDTH = 12, 20, 2.0
 
 
 def usable():
@@ -62,8 +62,8 @@ def link_vectors(
                        F.when(F.col("label").isNotNull() & usable(), F.transform("embedding", lambda x: x.cast("double") + 0.0)).alias("v"))
     good = d.filter("v IS NOT NULL")
     # A class is a vector under a label; its row is known by a hash of both with the vector's text behind it.
-    good = good.withColumn("class", F.xxhash64("label", "v", F.lit(3)))
-    classes = stored(good.groupBy("class", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    good = good.withColumns({"class": F.xxhash64("label", "v", F.lit(3)), "class2": F.xxhash64(F.lit(5), "v", "label")})
+    classes = stored(good.groupBy("class", "class2", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     classes = classes.withColumn("row", F.xxhash64("class", "label", "v"))
 
     def hashed(batches):
@@ -84,8 +84,8 @@ def link_vectors(
         hashed, f"row long, label {label}, copies long, v array<double>, keys array<bigint>"))
     light = table.select("row", "label", F.size("v").alias("n"), F.posexplode("keys").alias("table", "key"))
     light = light.select("row", "table", F.xxhash64("label", "n", "table", "key").alias("bucket"))
-    sizes = light.groupBy("bucket").count().filter("count > 1")
-    met = light.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    met = with_group(light, "bucket", "row", {"count": F.count("*")}, {"count": F.sum}).filter("count > 1")
+    met = met.withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     heavy = met.join(table.select("row", "copies", "v", "keys"), "row")
     heavy = in_blocks(heavy, F.col("bucket"), F.col("row"), F.col("blocks"))
 
@@ -116,14 +116,15 @@ def link_vectors(
     need = heavy.select("bk_key", "bk_block", "bk_low", "bk_high", "table", "row", "copies", "v", "keys")
     links = stored(need.mapInArrow(compare, "row long, links long, root long"))
     counts = links.groupBy("row").agg(F.sum("links").alias("others"))
-    ids = classes.select("row", "rep", "copies", "class", "label", "v")
-    whole = components(links, "row", "root")
-    least_id = whole.join(ids.select(F.col("row").alias("id"), "rep"), "id").groupBy("root").agg(F.min("rep").alias("least"))
-    found = ids.join(counts, "row", "left").join(whole.join(least_id, "root").select(F.col("id").alias("row"), "least"), "row", "left")
-    found = found.select("class", F.col("label").alias("of"), F.col("v").alias("w"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                         F.coalesce("least", "rep").alias("component"))
-    d = d.withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v", F.lit(3))))
-    d = d.join(found, (d["class"] == found["class"]) & (d["label"] == found["of"]) & (d["v"] == found["w"]), "left")
+    ids = classes.select("row", "rep", "copies", "class", "class2")
+    whole = components(links, "row", "root").join(ids.select(F.col("row").alias("id"), "rep"), "id")
+    whole = with_group(whole, "root", "id", {"least": F.min("rep")}, {"least": F.min})
+    found = ids.join(counts, "row", "left").join(whole.select(F.col("id").alias("row"), "least"), "row", "left")
+    found = found.select("class", "class2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component"))
+    # A class may have a third of all rows: it is told to them part by part. Two hashes of 64 bits stand for its vector.
+    d = d.select("vec_id", *[F.when(F.col("v").isNotNull(), h).alias(k) for k, h in (
+        ("class", F.xxhash64("label", "v", F.lit(3))), ("class2", F.xxhash64(F.lit(5), "v", "label")))])
+    d = join_spread(d, found, ["class", "class2"], "vec_id")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return d.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                     F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
