@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from ..session import ship
 from .arrays import groups, roots, whole_groups, windows, word_hashes
 from .blocks import in_blocks
-from .common import components, documents, stored, without
+from .common import components, documents, join_spread, stored, with_group, without
 
 #: Tokens whose hash lies in the first part of the hash space come first in the global order, by their frequency; the
 #: rest follow by hash. Frequencies are then needed of the first part only. The share is a little above the prefix.
@@ -264,9 +264,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
         F.first("matches").alias("matches"), F.first("base").alias("base"),
         F.sort_array(F.collect_list(F.struct("token", "place"))).alias("p"))
     candidates = listed.join(place, "c1").join(classes.select("c1", "c2", "n", "rep"), ["c1", "n"])
-    weight = candidates.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    candidates = with_group(candidates, "root", "c1", {"k": F.count("*"), "w": F.sum("n")}, {"k": F.sum, "w": F.sum})
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_TOKENS)).cast("int")
-    candidates = candidates.join(weight.withColumn("blocks", blocks).select("root", "blocks"), "root").select(
+    candidates = candidates.withColumn("blocks", blocks).select(
         "rep", "c1", "c2", "n", "matches", "base", "root", "blocks",
         F.transform("p", lambda x: x["token"]).alias("tokens"), F.transform("p", lambda x: x["place"]).alias("places"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
@@ -278,7 +278,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     whole = components(links).withColumnRenamed("id", "rep")
     reps = classes.select("n", "c1", "c2", "rep").join(whole, "rep", "left")
     reps = reps.select("n", "c1", "c2", F.coalesce("root", "rep").alias("found"))
-    out = told.join(reps, ["n", "c1", "c2"], "left")
+    out = join_spread(told, reps, ["n", "c1", "c2"], "doc_id")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
