@@ -12,83 +12,108 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import ship
-from .common import documents, without
+from .common import SALTS, documents, without
 
 UNKNOWN = "und"
-#: n-grams of one, two and three letters fall into slots of one table: where each kind starts, and the end.
-SLOTS = (0, 1024, 16384, 65536)
+#: Characters that are counted at one time.
 PIECE = 1 << 20
+#: Distinct n-grams whose counts a task holds before it passes them on.
+HELD = 1 << 21
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """Code point -> itself if it is a letter, else 0 (a word boundary)."""
-    table = np.zeros(0x110000, np.uint32)
+    table = np.zeros(0x110000, np.int64)
     for c in range(0x110000):
         if chr(c).isalpha():
             table[c] = c
     return table
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """Counts of a text's n-grams by slot. Long texts are counted in pieces that overlap by two letters."""
-    total = np.zeros(SLOTS[3], np.int64)
-    text = f" {text.lower()} "
+def packed(gram: str) -> int:
+    """An n-gram of up to three characters as one number, 21 bits each; a boundary is 0. Different n-grams differ."""
+    codes = [0 if c == " " else ord(c) for c in gram]
+    return len(gram) << 61 | sum(c << 21 * k for k, c in enumerate(reversed(codes)))
+
+
+def totals(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, in order, with the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, counts) of a text, exactly: one, two and three characters of words with a boundary at either end, at least
+    one of them a letter. Long texts are counted in pieces that overlap by two characters."""
+    parts, text = [], f" {text.lower()} "
     for at in range(0, len(text), PIECE):
-        c = _letters()[np.frombuffer(text[at : at + PIECE + 2].encode("utf-32-le", "replace"), np.uint32)]
+        own = text[at : at + PIECE + 2]
+        c = _letters()[np.frombuffer(own.encode("utf-32-le", "replace"), np.uint32)]
         n = min(PIECE, len(c))
-        a, b, z = c[:n], np.append(c, [0, 0])[1 : n + 1].astype(np.uint32), np.append(c, [0, 0])[2 : n + 2].astype(np.uint32)
-        two = a * np.uint32(2654435761) + b * np.uint32(2246822519)
-        three = two + z * np.uint32(3266489917)
-        two, three, one = (x ^ (x >> np.uint32(15)) for x in (two, three, a * np.uint32(2654435761)))
-        total += np.bincount((one % SLOTS[1])[a > 0], minlength=SLOTS[3])
-        total += np.bincount(((two % (SLOTS[2] - SLOTS[1])) + SLOTS[1])[(a | b) > 0], minlength=SLOTS[3])
-        total += np.bincount(((three % (SLOTS[3] - SLOTS[2])) + SLOTS[2])[(b > 0) & ((a | z) > 0)], minlength=SLOTS[3])
-    return total
-
-
-def top_grams(counts: np.ndarray, size: int) -> np.ndarray:
-    """Slots of the most frequent n-grams, most frequent first, ties by slot."""
-    slots = np.flatnonzero(counts)
-    key = counts[slots] * SLOTS[3] + (SLOTS[3] - 1 - slots)
-    if len(key) > size:
-        best = np.argpartition(key, len(key) - size)[len(key) - size :]
-        slots, key = slots[best], key[best]
-    return slots[np.argsort(-key)]
-
-
-def fit_profiles(docs: DataFrame, size: int = 300, max_langs: int = 1000) -> dict[str, list[int]]:
-    """{lang: its ``size`` most frequent slots}, counted over all documents with a text and a ``lang``.
-
-    At most ``max_langs`` profiles of fixed size reach the driver; more languages are an error.
+        a, b, z = (np.append(c, [0, 0])[k : k + n] for k in range(3))
+        one, two, three = a > 0, (a > 0) | (b > 0), b > 0
+        two &= (np.arange(n) + at) < len(text) - 1
+        three &= (np.arange(n) + at) < len(text) - 2
+        pair = a << 21 | b
+        grams = np.concatenate([a[one] | 1 << 61, pair[two] | 2 << 61, (pair[three] << 21 | z[three]) | 3 << 61])
+        grams.sort()
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+        parts.append((grams[first], np.diff(np.append(first, len(grams)))))
+    return parts[0] if len(parts) == 1 else totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def top_grams(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams, most frequent first, ties by their number."""
+    if len(grams) > size:
+        least = np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.lexsort((grams, -counts))][:size]
+
+
+def fit_profiles(docs: DataFrame, size: int = 300, max_langs: int = 100_000) -> dict[str, list[int]]:
+    """{lang: its ``size`` most frequent n-grams}, counted over all documents with a text and a ``lang``.
+
+    Counts are summed per task, as many as ``HELD`` at a time, then per n-gram of a language. Only profiles, of fixed size,
+    reach the driver; more than ``max_langs`` languages are an error. Ties go by the n-gram's number.
     """
 
+    def told(held):
+        for lang, parts in held.items():
+            grams, counts = totals(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
+
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        n = 0
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if lang not in sums:
-                    sums[lang] = np.zeros(SLOTS[3], np.int64)
-                    if len(sums) > max_langs:
-                        raise ValueError(f"more than {max_langs} languages")
-                sums[lang] += gram_counts(text)
-        for lang, total in sums.items():
-            slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(total[slots])],
-                names=["lang", "slot", "n"],
-            )
+                own = held.setdefault(lang, [])
+                own.append(gram_counts(text))
+                n += len(own[-1][0])
+                if n >= HELD:
+                    held = {k: [totals(*(np.concatenate(x) for x in zip(*v, strict=True)))] for k, v in held.items()}
+                    n = sum(len(v[0][0]) for v in held.values())
+                    if 2 * n >= HELD:
+                        yield from told(held)
+                        held, n = {}, 0
+        yield from told(held)
 
     ship(docs.sparkSession)
     known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sums = known.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "slot"))
-    rows = sums.withColumn("r", rank).filter(F.col("r") <= size).limit(size * max_langs + 1).collect()
+    d = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # The most frequent of each part of a language, then those of the language, so that no language is one task's work.
+    d = d.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
+    for by in (["lang", "part"], ["lang"]):
+        d = d.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= size)
+    rows = d.select("lang", "gram", "r").limit(size * max_langs + 1).collect()
     if len(rows) > size * max_langs:
         raise ValueError(f"more than {max_langs} languages")
     out: dict[str, list[int]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.r)):
-        out.setdefault(r.lang, []).append(r.slot)
+        out.setdefault(r.lang, []).append(r.gram)
     return out
 
 
@@ -100,21 +125,25 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300) -
     possible one. Ties go to the language that sorts first.
 
     Null text, text without a letter, and any text where no profile is known: ``und`` with score 0. Only ``text`` is
-    read; repeated rows get equal answers; extra columns stay, those named like an output are replaced.
+    read; repeated rows get equal answers; extra columns stay, those named like an output are replaced. An empty table gives
+    an empty table; a very long text is counted in pieces.
     """
     ship(docs.sparkSession)
     langs = sorted(profiles)
-    ranks = np.full((len(langs), SLOTS[3]), size, np.int32)
-    for i, lang in enumerate(langs):
-        ranks[i, profiles[lang]] = np.arange(len(profiles[lang]))
+    # Entries (n-gram, language, rank) by n-gram: as many as the profiles have.
+    entry = np.array([(g, i, r) for i, lang in enumerate(langs) for r, g in enumerate(profiles[lang][:size])], np.int64).reshape(-1, 3)
+    entry = entry[np.argsort(entry[:, 0], kind="stable")]
+    gram, of, rank = (np.ascontiguousarray(entry[:, k]) for k in range(3))
 
     def one(text: str | None) -> tuple[str, float]:
-        if text is None or not langs or not any(map(str.isalpha, text)):
+        top = top_grams(*gram_counts(text), size) if text is not None and langs else ()
+        if not len(top):
             return UNKNOWN, 0.0
-        top = top_grams(gram_counts(text), size)
-        place = np.arange(len(top))
-        missing = ranks[:, top] == size
-        far = np.where(missing, size, np.abs(ranks[:, top] - place)).sum(axis=1)
+        begin, end = np.searchsorted(gram, top), np.searchsorted(gram, top, "right")
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        saved = size - np.abs(rank[at] - np.repeat(np.arange(len(top)), n))
+        far = size * len(top) - np.bincount(of[at], saved, len(langs)).astype(np.int64)
         best = int(np.argmin(far))
         return langs[best], float(1 - far[best] / (size * len(top)))
 
