@@ -41,6 +41,12 @@ def source_targets(
     return t.select("mx_null", "mx_src", "source_size", target.alias("target"))
 
 
+def _part(doc_id: Column, text: Column, parts: int) -> Column:
+    """Which of the parts a document falls into: by a hash of its id, without one of its text."""
+    known = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), text), F.lit(""))
+    return F.conv(F.substring(F.md5(known), 1, 8), 16, 10).cast("long") % parts
+
+
 def magnitude(size: Column) -> Column:
     """Digits of a size and its two leading ones: documents of one class differ by a tenth at most."""
     text = size.cast("string")
@@ -53,7 +59,7 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 7,
-    parts: int = 251,
+    parts: int = 1024,
 ) -> DataFrame:
     """Documents with ``size``, ``source_size``, ``target`` and ``copies``, the times that the mix takes each.
 
@@ -63,14 +69,16 @@ def mix_sources(
     from counts of (source, size class, part), so no source is gathered in one task.
 
     Null text has size 0 and empty text too; a source of size 0 takes nothing. Null sources form one source, the last.
-    Null ids share a part. Rows that repeat are documents of their own. Input columns named like an output are replaced.
+    Rows without an id are dealt by their texts. Documents of one size are no tie: they stand by part and id. Rows that
+    repeat are documents of their own. A very long text is a size like others. The table of sources, one row each, is
+    ranked in one task. Input columns named like an output are replaced.
     An empty table gives an empty mix.
     """
     d = without(docs, "size", "source_size", "target", "copies").withColumns({
         "size": n_words(F.col("text")),
         "mx_null": F.col("source").isNull(),
         "mx_src": F.coalesce(F.col("source"), F.lit("")),
-        "mx_part": F.coalesce(F.pmod(F.col("doc_id"), F.lit(parts)), F.lit(0)),
+        "mx_part": _part(F.col("doc_id"), F.col("text"), parts),
     })
     d = d.withColumn("mx_class", magnitude(F.col("size")))
     keys = ["mx_null", "mx_src", "mx_class", "mx_part"]
@@ -112,11 +120,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS n, coalesce(source, '') AS s,
+  SELECT doc_id, text, source IS NULL AS n, coalesce(source, '') AS s,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 k AS (SELECT *, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS c,
-             coalesce(((doc_id % 251) + 251) % 251, 0) AS p FROM d),
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || text, '')), 1, 8))::BIGINT % 1024 AS p FROM d),
 src AS (SELECT n, s, sum(size)::BIGINT AS source_size FROM d GROUP BY n, s),
 i AS (SELECT *, row_number() OVER (ORDER BY n, s) - 1 AS i FROM src),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(i % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS c FROM i),
