@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, without
+from .licence_texts import TEXTS
 
 #: Names of licences and passages that state them: short lines, standard notices, and what the full text of
-#: each holds. A passage that a kindred licence has with a word more is short, so that this word takes over a fifth of its
+#: each holds; whole texts are in licence_texts. A passage that a kindred licence has with a word more is short, so that this word takes over a fifth of its
 #: shingles; notices of the GNU licences name the family, as their version stands too far off.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -90,14 +91,14 @@ def _firsts(shingles: Column) -> Column:
     return F.array(*[first(b) for b in range(BANDS)])
 
 
-def templates(spark: SparkSession, lines: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def templates(spark: SparkSession, lines: tuple[tuple[str, str], ...] = TEMPLATES + TEXTS) -> DataFrame:
     """(lc_name, lc_line, lc_words, lc_set, lc_bands) of each line; as many rows as lines are given."""
     d = spark.createDataFrame(list(lines), "lc_name string, lc_line string").withColumn("lc_w", _words(F.col("lc_line")))
     d = d.withColumn("lc_set", F.array_distinct(_shingles("lc_w")))
     return d.select("lc_name", "lc_line", F.size("lc_w").alias("lc_words"), "lc_set", _bands(F.col("lc_set")).alias("lc_bands"))
 
 
-def scan_licences(docs: DataFrame, lines: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def scan_licences(docs: DataFrame, lines: tuple[tuple[str, str], ...] = TEMPLATES + TEXTS, least: float = 0.8) -> DataFrame:
     """Documents with ``licences``: the sorted names of templates that the text holds.
 
     A template of k words is sought in windows of 2 k words, k apart, so that any place of it lies whole in one. A window
@@ -114,7 +115,7 @@ def scan_licences(docs: DataFrame, lines: tuple[tuple[str, str], ...] = TEMPLATE
     rows = own.withColumn("lc_firsts", _firsts(F.col("lc_set"))).collect()  # as many as there are lines
     if short := [r.lc_line for r in rows if r.lc_words < SHINGLE]:
         raise ValueError(f"templates under {SHINGLE} words: {short}")
-    longs = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<bigint>")
+    longs = lambda x: F.expr(f"array({', '.join(f'{v}L' for v in x)})")
     known = F.array(*[F.struct(F.lit(r.lc_name).alias("name"), F.lit(r.lc_words).alias("words"), longs(r.lc_set).alias("set"),
                                longs(r.lc_bands).alias("bands"), longs(sorted(set(r.lc_firsts))).alias("firsts")) for r in rows])
     seeds = longs(sorted({h for r in rows for h in r.lc_firsts}))
