@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 from string import punctuation
@@ -20,6 +21,16 @@ CAPACITY = 2048
 #: Words whose ids a worker remembers before it forgets them all.
 REMEMBER = 500_000
 _known: dict[str, bytes] = {}
+_known_of = ""
+# What a vocabulary does to a text if the ids of its words, encoded apart, are those of the text.
+WORD_WISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"},
+}
 
 
 @lru_cache(2)
@@ -32,6 +43,14 @@ def _tokenizer(name: str):
     return t
 
 
+@lru_cache(2)
+def word_wise(name: str) -> bool:
+    """True for a vocabulary whose file says that words may be encoded apart; texts of any other are encoded whole."""
+    spec = json.loads(_tokenizer(name).to_str())
+    model = {k: spec["model"].get(k) for k in WORD_WISE["model"]}
+    return {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": model} == WORD_WISE
+
+
 @lru_cache(2)
 def _word_ends(name: str) -> np.ndarray:
     """Which ids end a word."""
@@ -65,9 +84,16 @@ def _learn(words: list[str], name: str) -> None:
 def token_ids(text: str, name: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
-    The vocabulary lower-cases, drops white space and never joins across it, so a text's ids are its words' ids one
-    after the other, and each word is encoded once.
+    A vocabulary that is ``word_wise`` lower-cases, drops white space and never joins across it, so a text's ids are its
+    words' ids one after the other, and each word is encoded once. Texts with separators that are white space to Python
+    only, and all texts of other vocabularies, are encoded whole.
     """
+    global _known_of
+    if not word_wise(name) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return np.array(_tokenizer(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if _known_of != name:
+        _known.clear()
+        _known_of = name
     if "\u0130" not in text and "\u03a3" not in text:  # letters that lower otherwise in a word than alone
         text = text.lower()
     words = text.split()
@@ -204,7 +230,9 @@ def pack_documents(
     """One row per piece of a document: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     Null text is empty: its document is the end id alone. Documents over ``capacity`` are cut, others never. Rows that
-    repeat, null ids too, are documents of their own. Extra columns are ignored. An empty table has no piece.
+    repeat, null ids too, are documents of their own; pieces of one length are a tie, which goes by document and piece. A
+    very long text is many pieces. Extra columns are ignored. An empty table has no piece. Any tokenizer file of the
+    library ``tokenizers`` will do; ids are those of the whole text.
     """
     return pack(pieces(docs, tokenizer, capacity, keep_ids), capacity)
 
