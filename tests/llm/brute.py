@@ -41,6 +41,78 @@ def secrets(text):
     return [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)]
 
 
+CLASSES = ("lower", "space", "upper", "stop", "digit", "letter", "symbol", "other")
+
+
+def class_of(c):
+    import unicodedata
+
+    if "a" <= c <= "z":
+        return "lower"
+    if c in " \t\n\x0b\x0c\r":
+        return "space"
+    if "A" <= c <= "Z":
+        return "upper"
+    if c in ".,;:!?'\"()-":
+        return "stop"
+    if "0" <= c <= "9":
+        return "digit"
+    kind = unicodedata.category(c)[0]
+    return "letter" if kind == "L" else "symbol" if kind in "SP" else "other"
+
+
+def letters(word):
+    m = re.match(r"([^\W\d_]+)(?![^.,;:!?])", word.lower())
+    return m[1] if m else ""
+
+
+def distance(p, q):
+    from math import log2, sqrt
+
+    if not sum(p) or not sum(q):
+        return None
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    part = lambda x, m: x * log2(x / m) if x else 0.0
+    return sqrt(max(0.0, sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q, strict=True))))
+
+
+def verdicts(docs, n_common=24, max_class=0.3, max_common=0.3, min_chars=200, min_words=50):
+    """{doc_id: (class distance, common distance, kept)} of (doc_id, text, lang)."""
+    classes, common = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang in docs:
+        for key in {lang, None}:
+            classes[key].update(map(class_of, text or ""))
+            common[key].update(map(letters, words(text)))
+    top = {k: [w for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0].encode()))[:n_common]] for k, c in common.items()}
+    out = {}
+    for i, text, lang in docs:
+        own, told = Counter(map(class_of, text or "")), Counter(map(letters, words(text)))
+        hist = lambda c: [*[c[w] for w in top[lang]], sum(c.values()) - sum(c[w] for w in top[lang])]  # noqa: B023, E731
+        a = distance([own[c] for c in CLASSES], [classes[lang][c] for c in CLASSES]) if len(text or "") >= min_chars else None
+        b = distance(hist(told), hist(common[lang])) if len(words(text)) >= min_words else None
+        fine = (a is None or a <= max_class) and (b is None or b <= max_common)
+        out[i] = (a, b, fine and not quality(text)[-1])
+    return out
+
+
+PARTS = {
+    "ident": r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    "endpoint": r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+""",
+    "opaque": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}",
+}
+NEEDS = {"ident": ("opaque", "hex"), "endpoint": ("opaque", "hex", "assign"), "opaque": ("access", "ident", "endpoint")}
+
+
+def all_secrets(text, scope=160):
+    """Base spans, and weak parts that overlap none of them and stand near a complement, pair by pair."""
+    base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in secrets(text))]
+    weak = [(m.start(), k, m.end()) for k, p in PARTS.items() for m in re.finditer(p, text or "", re.A)]
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+    found = [w for w in weak if any(q[1] in NEEDS[w[1]] and w[0] - scope <= q[2] and q[0] <= w[2] + scope for q in base + weak)]
+    order = (*KINDS, *PARTS)
+    return [f"{k}:{a}:{b}" for a, k, b in sorted(base + found, key=lambda s: (s[0], order.index(s[1]), s[2]))]
+
+
 def repeats(docs, n=13):
     """{doc_id: kept words} by removing words in windows that start in a document with a smaller id."""
     first = {}

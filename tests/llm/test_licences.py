@@ -67,3 +67,13 @@ def test_standard_notices(spark):
     df = spark.createDataFrame([(i, filler + t + " " + filler) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences.scan_licences(df).collect()}
     assert [got[i] for i in range(len(NOTICES))] == [want for _, want in NOTICES]
+
+
+def test_whole_texts(spark):
+    """Each text is found as what it is; of other names only those of its family."""
+    from lodegraph.llm.licence_texts import TEXTS
+
+    rows = [(i, f"Some words before. {t}\nAnd some behind it.") for i, (_, t) in enumerate(TEXTS)]
+    got = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(TEXTS):
+        assert name in got[i] and all(x.split("-")[0] == name.split("-")[0] for x in got[i]), (name, got[i])
