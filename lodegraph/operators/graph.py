@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,7 +92,7 @@ def page_rank(candidates: DataFrame, p: DataFrame, alpha: float = 0.3, steps: in
 
 
 def page_rank_until(
-    candidates: DataFrame, p: DataFrame, alpha: float = 0.3, max_iter: int = 30, tol: float = 1e-6
+    candidates: DataFrame, p: DataFrame, alpha: float = 0.3, max_iter: int = 30, tol: float = 1e-4
 ) -> DataFrame:
     """``refined`` as in ``page_rank``, stopping a query once no score moves by ``tol``.
 
@@ -154,14 +152,67 @@ def relevance(anchors: DataFrame, edges: DataFrame, gamma: float = 0.5, max_hops
     return found.groupBy("doc_id", "anchor", "id").agg(F.max("relevance").alias("relevance"))
 
 
-def variants() -> Iterator[tuple[str, str, dict]]:
-    """Named ways to propagate: (name, weight mode, options of ``diffuse`` or ``page_rank_until`` with a method)."""
-    yield "no_prop", "full", {"method": "none"}
-    for mode in WEIGHT_MODES:
-        yield f"w{mode.replace('+', '_')}_a03_T2", mode, {"method": "diffusion", "alpha": 0.3, "steps": 2}
-    for alpha in (0.1, 0.5, 0.7):
-        yield f"wfull_a{str(alpha).replace('.', '')}_T2", "full", {"method": "diffusion", "alpha": alpha, "steps": 2}
-    for steps in (1, 3):
-        yield f"wfull_a03_T{steps}", "full", {"method": "diffusion", "alpha": 0.3, "steps": steps}
-    for alpha in (0.15, 0.3, 0.5, 0.85):
-        yield f"ppr_a{str(alpha).replace('.', '')}", "full", {"method": "ppr", "alpha": alpha}
+# Named ways to propagate, (name, method, weight mode, alpha, steps); steps are at most those of a PageRank.
+VARIANTS = (
+    ("no_prop", "none", "full", 0.0, 0),
+    ("uniform_a01_T2", "diffusion", "uniform", 0.1, 2),
+    ("uniform_a03_T1", "diffusion", "uniform", 0.3, 1),
+    ("uniform_a03_T2", "diffusion", "uniform", 0.3, 2),
+    ("uniform_a03_T3", "diffusion", "uniform", 0.3, 3),
+    ("uniform_a05_T2", "diffusion", "uniform", 0.5, 2),
+    ("wbase_a03_T2", "diffusion", "base", 0.3, 2),
+    ("wbase_role_a03_T2", "diffusion", "base+role", 0.3, 2),
+    ("wbase_vis_a03_T2", "diffusion", "base+visual", 0.3, 2),
+    ("wfull_a03_T2", "diffusion", "full", 0.3, 2),
+    ("wfull_a01_T2", "diffusion", "full", 0.1, 2),
+    ("wfull_a05_T2", "diffusion", "full", 0.5, 2),
+    ("wfull_a07_T2", "diffusion", "full", 0.7, 2),
+    ("wfull_a03_T1", "diffusion", "full", 0.3, 1),
+    ("wfull_a03_T3", "diffusion", "full", 0.3, 3),
+    ("ppr_a015", "ppr", "full", 0.15, 30),
+    ("ppr_a030", "ppr", "full", 0.3, 30),
+    ("ppr_a050", "ppr", "full", 0.5, 30),
+    ("ppr_a070", "ppr", "full", 0.7, 30),
+    ("ppr_a085", "ppr", "full", 0.85, 30),
+    ("ppr_unif_a030", "ppr", "uniform", 0.3, 30),
+    ("ppr_unif_a050", "ppr", "uniform", 0.5, 30),
+    ("prop_a03_T2", "diffusion", "full", 0.3, 2),
+    ("prop_a01_T2", "diffusion", "full", 0.1, 2),
+    ("prop_a05_T2", "diffusion", "full", 0.5, 2),
+    ("prop_a07_T2", "diffusion", "full", 0.7, 2),
+    ("prop_a03_T1", "diffusion", "full", 0.3, 1),
+    ("prop_a03_T3", "diffusion", "full", 0.3, 3),
+)
+
+
+def sweep(candidates: DataFrame, p: DataFrame, variants: tuple = VARIANTS, tol: float = 1e-4) -> DataFrame:
+    """(qid, id, rank, variant, refined) of a shortlist under all variants at once.
+
+    ``p`` is (qid, mode, src, dst, p), the transitions of each weight mode. A query's shortlist and edges are one small
+    group, in which all variants are runs of the same matrices; what the variants share is not computed anew.
+    """
+    ship(candidates.sparkSession)
+
+    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if s.empty:
+            return pd.DataFrame(columns=["qid", "id", "rank", "variant", "refined"])
+        at, q, moved = {x: i for i, x in enumerate(s["id"])}, s["score"].to_numpy(float), {}
+        for mode, g in e.groupby("mode") if not e.empty else ():
+            m = np.zeros((len(q), len(q)))
+            m[g["dst"].map(at).to_numpy(int), g["src"].map(at).to_numpy(int)] = g["p"].to_numpy(float)
+            moved[mode] = m
+        out = []
+        for name, method, mode, alpha, steps in variants:
+            m, now = moved.get(mode, np.zeros((len(q), len(q)))), q
+            for _ in range(steps):
+                new = alpha * q + (1 - alpha) * (m @ now) if method == "ppr" else (1 - alpha) * now + alpha * (m @ now)
+                stop, now = method == "ppr" and np.abs(new - now).max(initial=0.0) < tol, new
+                if stop:
+                    break
+            out.append(s[["qid", "id", "rank"]].assign(variant=name, refined=now))
+        return pd.concat(out)
+
+    d = candidates.select("qid", "id", "rank", "score")
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    grouped = d.groupBy("qid").cogroup(p.select(F.col("qid").alias("of"), "mode", "src", "dst", "p").groupBy("of"))
+    return grouped.applyInPandas(run, f"qid {kinds['qid']}, id {kinds['id']}, rank {kinds['rank']}, variant string, refined double")

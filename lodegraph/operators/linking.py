@@ -141,8 +141,8 @@ def linked_captions(elements: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def hash_order(seed: int, *names: str) -> Column:
-    """A seeded order of rows that is the same on every run."""
-    return F.xxhash64(F.lit(seed), *names)
+    """A seeded order of rows that is the same on every run and in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(n).cast("string") for n in names]))
 
 
 def shuffled_roles(nodes: DataFrame, seed: int = 0) -> DataFrame:
@@ -165,5 +165,5 @@ def hard_pool(anchors: DataFrame, nodes: DataFrame, positives: DataFrame, seed:
 
 def anchor_kind(seed: int, *names: str) -> Column:
     """Which kind of anchor a step draws: a third each of caption, reference and question."""
-    u = F.pmod(hash_order(seed, *names), F.lit(100))
+    u = F.conv(F.substring(hash_order(seed, *names), 1, 8), 16, 10).cast("long") % 100
     return F.when(u < 33, "caption").when(u < 67, "reference").otherwise("question")

@@ -44,25 +44,21 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") ->
 
 
 def bootstrap(diffs: DataFrame, key: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """(mean, lo, hi, p): mean of ``diff`` and its 95 % interval from means of resamples.
+    """(n, mean, lo, hi, p): mean of ``diff`` and its 95 % interval from means of resamples.
 
-    A resample gives each pair a weight: how often a seeded draw of n, spread over the pairs, falls on it. That is drawn as
-    a Poisson(1) count from a hash of (resample, pair), scaled by the weights' sum, so no pair index is joined and the
-    pairs may be many; pairs and resamples meet in one partial aggregation per task.
+    Each resample draws n of the n pairs with replacement: draw j of resample b takes the pair at a hash of (b, j) modulo
+    n, of the pairs in the order of ``key``. Draws of one pair are counted before they meet it, so what is joined has a row
+    for each (resample, pair) drawn. Pairs are one row for each query and are numbered in one task.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    each = diffs.select(key, "diff", F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))).alias("b"))
-    weight = F.when(F.col("b") < 0, 1).otherwise(weight)  # number -1 is the data itself
-    means = each.groupBy("b").agg(
-        (F.sum(F.col("diff") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("m"), F.count("*").alias("n"))
-    d = means.agg(F.max("n").alias("n"), F.max(F.when(F.col("b") < 0, F.col("m"))).alias("mean"),
-                  F.sort_array(F.collect_list(F.when(F.col("b") >= 0, F.col("m")))).alias("m"))
+    at = F.row_number().over(Window.orderBy(key)) - 1
+    d = diffs.select("diff", at.alias("at"))
+    n = diffs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"))
+    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    draws = draws.filter("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10)
+    draws = draws.groupBy("b", (drawn.cast("long") % F.col("n")).alias("at")).count()
+    means = draws.join(d, "at").groupBy("b").agg((F.sum(F.col("diff") * F.col("count")) / F.sum("count")).alias("m"))
+    d = means.agg(F.sort_array(F.collect_list("m")).alias("m")).crossJoin(n)  # one row with one
     lo, hi = int(0.025 * resamples), int(0.975 * resamples) - 1
     against = F.size(F.filter("m", lambda x: F.when(F.col("mean") >= 0, x <= 0).otherwise(x >= 0)))
     return d.select("n", "mean", F.get("m", F.lit(lo)).alias("lo"), F.get("m", F.lit(hi)).alias("hi"),

@@ -8,26 +8,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: The input that ``ask`` stands for while a query is built.
-_asked: ContextVar[str] = ContextVar("asked", default="ask")
 
 #: Derived inputs by name; each may use tables and inputs named before it.
 INPUTS = {
-    # Token vectors: documents of five, modality by label; queries are the first vectors, asked of their own document.
-    "vec": """SELECT vec_id AS id, vec_id % 5 AS doc_id, embedding AS v, label,
+    # Token vectors: documents of a hundred, modality by label. Queries are the vectors whose id is divisible by 50, asked
+    # of their own document; both grow with the table.
+    "vec": """SELECT vec_id AS id, CAST(floor(vec_id / 100) AS BIGINT) AS doc_id, embedding AS v, label,
         CASE WHEN label % 2 = 0 THEN 'text' ELSE 'visual' END AS modality,
         CASE WHEN label % 5 = 0 THEN 'figure' WHEN label % 5 = 1 THEN 'table' WHEN label % 5 = 2 THEN 'caption' ELSE 'text' END AS type,
         CASE WHEN vec_id % 7 = 0 THEN 'appendix' WHEN vec_id % 7 = 1 THEN 'references' WHEN vec_id % 7 = 2 THEN 'front_matter'
              ELSE 'method' END AS section_role FROM embeddings""",
-    "ask": "SELECT id AS qid, doc_id, v AS q, label AS q_label FROM vec WHERE id < 20",
-    # The whole query set of a search, which grows with the table; queries named _whole ask it in place of the twenty.
-    "ask_whole": "SELECT id AS qid, doc_id, v AS q, label AS q_label FROM vec WHERE id % 50 = 0",
+    "ask": "SELECT id AS qid, doc_id, v AS q, label AS q_label FROM vec WHERE id % 50 = 0",
     # Edges between vectors of a document.
     "edge": """SELECT doc_id, id AS src, id + 5 AS dst, 'reading_next' AS type, 1.0 AS confidence, false AS bidirectional FROM vec
         UNION ALL SELECT doc_id, id, id + 35, 'refer_to', 0.9, false FROM vec WHERE id % 3 = 0
@@ -78,8 +74,6 @@ def _needs(sql: str) -> list[str]:
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver or an input made from its tables."""
-    if name == "ask":
-        name = _asked.get()
     if name not in INPUTS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = INPUTS[name]
@@ -100,31 +94,14 @@ def full_sql(sql: str) -> str:
     return f"WITH {', '.join(parts)}{rest}"
 
 
-def asking_all(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """``f`` with the whole query set for ``ask``."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _asked.set("ask_whole")
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _asked.reset(before)
-
-    return run
-
-
-def query(sql: str | None = None, name: str | None = None, asks: bool = False):
-    """Register a query and its SQL; one that asks, by its SQL or as ``asks`` says, also as _whole, with all queries."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query and its SQL."""
 
     def add(f):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
             SQL[key] = full_sql(sql)
-        if asks or sql is not None and "ask" in _needs(sql):
-            QUERIES[f"{key}_whole"] = asking_all(f)
-            if sql is not None:
-                SQL[f"{key}_whole"] = full_sql(re.sub(r"\bask\b", "ask_whole", sql))
         return f
 
     return add

@@ -116,7 +116,16 @@ def refer_to_edges(spark, sf_dir):
     return linking.refer_to(d, labels(spark, sf_dir))
 
 
-@query()
+_WORD_REF = r"\b(?:(?i:figure|fig\.?|table|tab\.?|algorithm|alg\.?|equation|eq\.?))\s*\d+(?:\.\d+)?"
+_CITED = r"\[\d+(?:,\s*\d+)*\]"
+
+
+@query(f"""WITH r0 AS (SELECT id, body, regexp_extract_all(body, '{_WORD_REF}') AS m, regexp_split_to_array(body, '{_WORD_REF}') AS g FROM element WHERE type = 'text'),
+r1 AS (SELECT id, body, m, unnest(range(1, len(m) + 1)) AS i, list_sum([length(x) FOR x IN g[1:i]]) + list_sum([length(x) FOR x IN m[1:i - 1]] || [0]) AS beg FROM r0),
+r2 AS (SELECT id, m[i] AS t, substr(body, (greatest(beg - 8, 0) + 1)::INT, (beg - greatest(beg - 8, 0))::INT) AS before,
+  substr(body, (greatest(beg - 50, 0) + 1)::INT, (beg + length(m[i]) + 50 - greatest(beg - 50, 0))::INT) AS around FROM r1)
+SELECT id, concat({_kind_sql("regexp_extract(t, '^([A-Za-z]+[.]?)', 1)")}, ' ', regexp_extract(t, '([0-9.]+)$', 1)) AS label,
+ CASE WHEN regexp_matches(around, '{_CITED}') THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM r2 WHERE NOT regexp_matches(before, '{_CITED}')""")
 def references_uncited(spark, sf_dir):
     """References that no citation stands right before; the confidence is lower with one in the wider context."""
     d = elements(spark, sf_dir).filter("type = 'text'").select("id", F.explode(text.references_with_context(F.col("body"))).alias("r"))
@@ -407,9 +416,16 @@ def _paired(spark, sf_dir) -> DataFrame:
     return stats.paired(d.filter("row_id = 'a'"), d.filter("row_id = 'b'"), ["metric", "pair"])
 
 
-@query()
+@query("""WITH m AS (SELECT row_id, metric, qid // 2 AS pair, avg(value) AS v FROM run GROUP BY 1, 2, 3),
+d AS (SELECT a.v - b.v AS diff, row_number() OVER (ORDER BY a.metric || ':' || a.pair) - 1 AS i FROM m a JOIN m b ON a.metric = b.metric AND a.pair = b.pair AND a.row_id = 'a' AND b.row_id = 'b'),
+n AS (SELECT count(*) AS n, avg(diff) AS mean FROM d), b AS (SELECT unnest(range(1000)) AS b), j AS (SELECT unnest(range((SELECT n FROM n))) AS j),
+w AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || j), 1, 8))::BIGINT % n AS i FROM b, j, n),
+r AS (SELECT b, avg(diff) AS x FROM w JOIN d ON w.i = d.i GROUP BY b), s AS (SELECT list(x ORDER BY x) AS x FROM r)
+SELECT n, round(mean, 6) AS mean, round(x[26], 6) AS lo, round(x[975], 6) AS hi,
+ least(1.0, 2 * len([y FOR y IN x IF CASE WHEN mean >= 0 THEN y <= 0 ELSE y >= 0 END]) / 1000.0)::DOUBLE AS p FROM n, s""")
 def paired_bootstrap(spark, sf_dir):
-    return stats.bootstrap(_paired(spark, sf_dir).withColumn("key", F.xxhash64("metric", "pair")), "key")
+    d = stats.bootstrap(_paired(spark, sf_dir).withColumn("key", F.concat_ws(":", "metric", F.col("pair").cast("string"))), "key")
+    return d.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "p")
 
 
 @query("SELECT step, least(step / 200.0, 1.0)::DOUBLE AS lr FROM run")
@@ -502,13 +518,22 @@ def linked_captions(spark, sf_dir):
     return linking.linked_captions(d)
 
 
-@query()
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS r FROM vec),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('0:' || doc_id || ':' || id), id) AS r FROM vec)
+SELECT a.doc_id, a.id, a.section_role, b.section_role AS shuffled FROM a JOIN b ON a.doc_id = b.doc_id AND a.r = b.r""")
 def shuffled_roles(spark, sf_dir):
     nodes = source(spark, sf_dir, "vec").select("doc_id", "id", F.col("id").alias("ord"), "section_role")
     return linking.shuffled_roles(nodes).select("doc_id", "id", "section_role", "shuffled")
 
 
-@query()
+@query("""WITH an AS (SELECT doc_id, id AS anchor FROM vec WHERE id % 50 = 0),
+po AS (SELECT DISTINCT src AS anchor, dst AS id FROM edge WHERE src % 50 = 0 AND dst IN (SELECT id FROM vec)),
+n AS (SELECT anchor, id, 0 AS k, row_number() OVER (PARTITION BY anchor ORDER BY md5('0:' || anchor || ':' || id), id) AS r FROM po),
+f AS (SELECT anchor, vec.id, 1 AS k, row_number() OVER (PARTITION BY anchor ORDER BY md5('0:' || anchor || ':' || vec.id), vec.id) AS r
+      FROM an JOIN vec ON an.doc_id = vec.doc_id WHERE anchor <> vec.id AND (anchor, vec.id) NOT IN (SELECT (anchor, id) FROM po)),
+b AS (SELECT anchor, id, k = 0 AS positive, row_number() OVER (PARTITION BY anchor ORDER BY k, r) AS place
+      FROM (SELECT * FROM n WHERE r <= 4 UNION ALL SELECT * FROM f WHERE r <= 12))
+SELECT anchor, id, positive, place::INT AS place FROM b WHERE place <= 12""")
 def hard_pool(spark, sf_dir):
     vec, edge = source(spark, sf_dir, "vec"), source(spark, sf_dir, "edge")
     anchors = vec.filter("id % 50 = 0").select("doc_id", F.col("id").alias("anchor"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import build, stats
+from ..operators import build, linking, stats
 from ..operators.ranking import Window
 from ..session import shared_folder
 from ..sources import files
@@ -38,7 +38,8 @@ def built_graph_edges(spark, sf_dir):
     return edges.groupBy("type", "bidirectional").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-def _graphs_read_back(spark, sf_dir):
+@query("SELECT CAST(doc_id AS STRING) AS doc_id, count(*) AS n_nodes, min(id) AS first, max(id) AS last FROM element GROUP BY 1")
+def graph_file_round_trip(spark, sf_dir):
     """Graphs of all documents are written as JSON, a graph a line, and read back."""
     d = source(spark, sf_dir, "element")
     null = F.lit(None)
@@ -50,17 +51,6 @@ def _graphs_read_back(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-@query("""WITH e AS (SELECT * FROM element WHERE doc_id % 5 = 0) SELECT doc_id, count(*) AS n_nodes, min(id) AS first, max(id) AS last FROM (SELECT CAST(doc_id AS STRING) AS doc_id, id FROM e) GROUP BY doc_id""")
-def graph_file_round_trip(spark, sf_dir):
-    """What its SQL asks for, every fifth document, out of the files of all graphs."""
-    return _graphs_read_back(spark, sf_dir).filter("CAST(doc_id AS BIGINT) % 5 = 0")
-
-
-@query("SELECT CAST(doc_id AS STRING) AS doc_id, count(*) AS n_nodes, min(id) AS first, max(id) AS last FROM element GROUP BY 1")
-def graph_file_round_trip_all(spark, sf_dir):
-    return _graphs_read_back(spark, sf_dir)
-
-
 @query("SELECT CAST(qid AS STRING) AS row_id, metric, round(avg(value), 6) AS value FROM run GROUP BY 1, 2")
 def results_csv_round_trip(spark, sf_dir):
     d = source(spark, sf_dir, "run").groupBy(F.col("qid").cast("string").alias("row_id"), "metric").agg(F.round(F.avg("value"), 6).alias("value"))
@@ -69,10 +59,12 @@ def results_csv_round_trip(spark, sf_dir):
     return files.results(spark, path).select("row_id", "metric", "value")
 
 
-@query("SELECT count(*) AS n_lines, 0::BIGINT AS n_malformed, 0::BIGINT AS n_blank FROM events")
+@query("""SELECT count(*) AS n_lines, count(*) FILTER (event_id % 7 = 0)::BIGINT AS n_malformed, count(*) FILTER (event_id % 7 <> 0 AND event_id % 11 = 0)::BIGINT AS n_blank FROM events""")
 def malformed_lines(spark, sf_dir):
-    path = folder(spark)
-    spark.read.parquet(f"{sf_dir}/events.parquet").select("props").write.text(path)
+    """Lines of which some are cut off and some are blank."""
+    path, e = folder(spark), F.col("event_id")
+    line = F.when(e % 7 == 0, F.concat(F.lit('{"cut": '), F.col("props"))).when(e % 11 == 0, F.lit("  ")).otherwise(F.col("props"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(line.alias("value")).write.text(path)
     return files.malformed(spark, path)
 
 
@@ -111,10 +103,11 @@ def anchor_cosine(spark, sf_dir):
     return e.groupBy("type").agg(F.round(F.avg(cosine(F.col("a"), F.col("b"))), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, id, md5('1:' || id) AS h FROM vec)
+SELECT doc_id, id, coalesce(lead(id) OVER w, first_value(id) OVER w) AS other FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY h, id)""")
 def shifted_pairs(spark, sf_dir):
     """Each vector with the one after it in a seeded order, the last with the first: pairs that mostly do not belong."""
-    d = source(spark, sf_dir, "vec").select("doc_id", "id", F.xxhash64(F.lit(1), "id").alias("h"))
+    d = source(spark, sf_dir, "vec").select("doc_id", "id", linking.hash_order(1, "id").alias("h"))
     w = Window.partitionBy("doc_id").orderBy("h", "id")
     first = F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return d.select("doc_id", "id", F.coalesce(F.lead("id").over(w), first).alias("other"))

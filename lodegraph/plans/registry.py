@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Propagated retrieval of the whole query set, evaluated."""
-    return QUERIES["retrieval_metrics_propagated_whole"](spark, sf_dir)
+    return QUERIES["retrieval_metrics_propagated"](spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import graph, losses, metrics, ranking, stats
 from ..schema import WEIGHT_MODES
+from ..session import cut
 from .base import query, source
 
 #: Ids whose queries are one block of a search over all vectors.
@@ -187,12 +188,22 @@ def ppr_fixed6(spark, sf_dir):
     return graph.page_rank(short, matrix(spark, sf_dir, short), 0.3, 6).select("qid", "id", _told("refined", 6))
 
 
-@query(f"WITH {_p_sql('full')}, {_steps_sql(30, '0.3 * z.score', 0.7)} SELECT qid, id, round(x, 4) AS refined FROM z30")
+def _until_sql(alpha: float, most: int, tol: float) -> str:
+    """Steps of a PageRank in which each query keeps its scores from when none moved by ``tol``."""
+    out = "z0 AS MATERIALIZED (SELECT qid, id, score, score::DOUBLE AS x, false AS done FROM short)"
+    for i in range(most):
+        out += f""", z{i + 1} AS MATERIALIZED (SELECT qid, id, score, CASE WHEN done THEN x ELSE n END AS x, done OR max(abs(n - x)) OVER (PARTITION BY qid) < {tol} AS done
+    FROM (SELECT z.*, {alpha} * z.score + {1 - alpha} * coalesce(m.m, 0) AS n FROM z{i} z LEFT JOIN (SELECT p.qid, p.dst, sum(p.p * y.x) AS m
+    FROM p JOIN z{i} y ON p.qid = y.qid AND p.src = y.id GROUP BY p.qid, p.dst) m ON z.qid = m.qid AND z.id = m.dst))"""
+    return out
+
+
+@query(f"WITH {_p_sql('full')}, {_until_sql(0.3, 30, 1e-4)} SELECT qid, id, round(x, 8) AS refined FROM z30")
 def ppr_until(spark, sf_dir):
-    """Each query stops on its own; thirty steps differ by less than the last digit told."""
+    """Each query stops on its own, once no score moves by 1e-4; eight digits show the step at which it stopped."""
     short = shortlist(spark, sf_dir)
-    d = graph.page_rank_until(short, matrix(spark, sf_dir, short), 0.3, max_iter=30, tol=1e-9)
-    return d.select("qid", "id", F.round("refined", 4).alias("refined"))
+    d = graph.page_rank_until(short, matrix(spark, sf_dir, short), 0.3, max_iter=30)
+    return d.select("qid", "id", _told("refined", 8))
 
 
 MERGED = f"""{_p_sql('full')}, {_steps_sql(2, '0.7 * z.x', 0.3)}, final AS (SELECT r.qid, r.id, row_number() OVER (PARTITION BY r.qid
@@ -406,16 +417,46 @@ def fused_cosine(spark, sf_dir):
     return d.select("id", F.round(V.cosine(F.col("a"), V.fuse(F.col("a"), F.col("b"))), 6).alias("cosine"))
 
 
-@query(asks=True)
+def _sweep_sql() -> str:
+    modes = {m: f"m{i}" for i, m in enumerate(WEIGHT_MODES)}
+    out = f"WITH {SCORED}, {TOP}, {TRUTH}"
+    for mode, k in modes.items():
+        out += f""", {_edges_sql(mode, k + 'w')},
+{k}p AS (SELECT a.qid, a.id AS src, b.id AS dst, max(w.w) AS w FROM {k}w w JOIN short a ON w.src = a.id AND w.doc_id = a.doc_id
+    JOIN short b ON w.dst = b.id AND a.qid = b.qid GROUP BY a.qid, a.id, b.id),
+{k}t AS MATERIALIZED (SELECT qid, src, dst, w / greatest(sum(w) OVER (PARTITION BY qid, src), 1e-9) AS p FROM {k}p)"""
+    parts = []
+    for name, method, mode, alpha, steps in graph.VARIANTS:
+        own = f"{alpha} * z.score" if method == "ppr" else f"{1 - alpha} * z.x"
+        came = 1 - alpha if method == "ppr" else alpha
+        out += f", {name}_0 AS MATERIALIZED (SELECT qid, id, rank, score, score::DOUBLE AS x, false AS done FROM short)"
+        for i in range(steps):
+            now = "done OR max(abs(n - x)) OVER (PARTITION BY qid) < 1e-4" if method == "ppr" else "false"
+            out += f""", {name}_{i + 1} AS MATERIALIZED (SELECT qid, id, rank, score, CASE WHEN done THEN x ELSE n END AS x, {now} AS done FROM (
+    SELECT z.*, {own} + {came} * coalesce(m.m, 0) AS n FROM {name}_{i} z LEFT JOIN (SELECT p.qid, p.dst, sum(p.p * y.x) AS m
+    FROM {modes[mode]}t p JOIN {name}_{i} y ON p.qid = y.qid AND p.src = y.id GROUP BY p.qid, p.dst) m ON z.qid = m.qid AND z.id = m.dst))"""
+        out += f""", {name}_r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(x, 6) DESC, rank) AS r FROM {name}_{steps}),
+{name}_h AS (SELECT g.qid, count(*) AS n_gt, min(coalesce(f.r, b.rank)) AS first, count(*) FILTER (coalesce(f.r, b.rank) <= 10) AS n10
+    FROM gt g JOIN ranked b ON g.qid = b.qid AND g.id = b.id LEFT JOIN {name}_r f ON g.qid = f.qid AND g.id = f.id GROUP BY g.qid)"""
+        parts.append(f"""SELECT '{name}' AS variant, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(n10, 0) / greatest(coalesce(n_gt, 0), 1)), 6) AS recall10,
+    count(*) AS n_queries FROM ask LEFT JOIN {name}_h h ON ask.qid = h.qid""")
+    return f"{out} {' UNION ALL '.join(parts)}"
+
+
+@query(_sweep_sql())
 def variant_sweep(spark, sf_dir):
-    """All named variants: mean reciprocal rank and recall of each; base scores are ranked once in each."""
-    out = []
-    want = truth(spark, sf_dir)
-    for name, mode, options in graph.variants():
-        base = ranked(spark, sf_dir)
-        short = base.filter("rank <= 50")
-        p = None if options["method"] == "none" else matrix(spark, sf_dir, short, mode)
-        final = ranking.merge_tail(base, graph.propagate(short, p, **options), ["qid"]).drop("rank")
-        d = metrics.retrieval(final.withColumnRenamed("final_rank", "rank"), want)
-        out.append(metrics.averages(d, ["mrr", "recall10"]).select(F.lit(name).alias("variant"), "mrr", "recall10", "n_queries"))
-    return metrics.union_all(out)
+    """All 28 named variants: mean reciprocal rank and recall of each. Candidates are scored and ranked once, and only
+    relevant ones are told to the variants: a candidate outside the shortlist keeps its rank."""
+    base = cut(ranked(spark, sf_dir))
+    short = base.filter("rank <= 50")
+    p = metrics.union_all([matrix(spark, sf_dir, short, m).withColumn("mode", F.lit(m)) for m in WEIGHT_MODES])
+    new = graph.sweep(short, p).withColumn("refined", F.round("refined", 6))
+    new = new.withColumn("r", F.row_number().over(ranking.Window.partitionBy("qid", "variant").orderBy(F.desc("refined"), "rank")))
+    names = F.explode(F.array(*[F.lit(v[0]) for v in graph.VARIANTS])).alias("variant")
+    want = base.filter("label = q_label").select("qid", "id", "rank", names)
+    want = want.join(new.select("qid", "id", "variant", "r"), ["qid", "id", "variant"], "left").withColumn("r", F.coalesce("r", "rank"))
+    want = want.groupBy("qid", "variant").agg(F.count("*").alias("n_gt"), F.min("r").alias("first"), F.count_if(F.col("r") <= 10).alias("n10"))
+    d = source(spark, sf_dir, "ask").select("qid", names).join(want, ["qid", "variant"], "left")
+    return d.groupBy("variant").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+                                    F.round(F.avg(F.coalesce("n10", F.lit(0)) / F.greatest(F.coalesce("n_gt", F.lit(0)), F.lit(1))), 6).alias("recall10"),
+                                    F.count("*").alias("n_queries"))

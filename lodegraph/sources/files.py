@@ -28,7 +28,8 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     d = n.join(e, "doc_id", "left").select("doc_id", F.transform("nodes", lambda y: y["x"]).alias("nodes"),
                                            F.when(F.col("edges").isNotNull(), F.transform("edges", lambda y: y["x"])).alias("edges"))
     graph = F.struct("doc_id", F.lit("v2.1").alias("schema_version"), "nodes", "edges")
-    d.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), graph)).alias("value")).sort("value").write.mode("overwrite").text(path)
+    d = d.sort(F.col("doc_id").cast("string"))  # ranges are found by the ids; graphs become text behind it
+    d.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), graph)).alias("value")).write.mode("overwrite").text(path)
 
 
 def graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -93,13 +94,25 @@ def long_results(d: DataFrame) -> DataFrame:
     return d.select("row_id", "dataset", "variant", F.explode("y").alias("metric", "value")).filter("metric <> 'n_queries' AND value IS NOT NULL")
 
 
-def write_tokens(tokens: DataFrame, path: str) -> None:
-    """A token index (doc_id, id, tok_ord, vec, valid) as Parquet by document, so that a document's tokens are read alone."""
-    tokens.repartition("doc_id").sortWithinPartitions("doc_id", "id", "tok_ord").write.mode("overwrite").partitionBy("doc_id").parquet(path)
+def write_tokens(tokens: DataFrame, path: str, buckets: int = 256) -> None:
+    """A token index (doc_id, id, tok_ord, vec, valid) as Parquet, in ``buckets`` directories by a hash of the document and
+    sorted in each, so that a document's tokens are read without the rest, however many documents there are."""
+    d = tokens.withColumn("bucket", token_bucket(F.col("doc_id"), buckets))
+    d.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "id", "tok_ord").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def token_bucket(doc_id: Column, buckets: int = 256) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def tokens(spark: SparkSession, path: str, doc_id=None, ids: list[str] | None = None) -> DataFrame:
+    """The tokens of an index, of one document (its bucket alone is read), or of some elements."""
+    d = spark.read.parquet(path)
+    if doc_id is not None:
+        d = d.filter((F.col("bucket") == token_bucket(F.lit(doc_id))) & (F.col("doc_id") == doc_id))
+    if ids is not None:
+        d = d.filter(F.col("id").isin(*ids))
+    return d.drop("bucket")
 
 
 def write_results(long: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ def plain(rows):
     return sorted(tuple(repr(float(x)) if isinstance(x, float | decimal.Decimal) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"variant_sweep"}))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)

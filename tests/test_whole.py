@@ -50,24 +50,22 @@ def test_fuzzy_captions_in_blocks(spark):
 
 
 def test_graph_files_hold_all_documents(spark, small, monkeypatch):
-    """Both round trips write the graphs of all documents; the whole one gives them all back."""
+    """The round trip writes the graphs of all documents and gives them all back."""
     want = {}
     for r in documents.elements(spark, small).select(F.col("doc_id").cast("string").alias("doc_id"), "id").collect():
         want.setdefault(r.doc_id, []).append(r.id)
     written, write = [], graphs.files.write_graphs
     monkeypatch.setattr(graphs.files, "write_graphs", lambda n, e, path: (written.append(n.select("doc_id").distinct().count()), write(n, e, path)))
-    out = registry.queries()["graph_file_round_trip_all"](spark, small).collect()
+    out = registry.queries()["graph_file_round_trip"](spark, small).collect()
     assert {r.doc_id: (r.n_nodes, r.first, r.last) for r in out} == {k: (len(v), min(v), max(v)) for k, v in want.items()}
-    registry.queries()["graph_file_round_trip"](spark, small)
-    assert written == [len(want)] * 2
+    assert written == [len(want)]
 
 
 def test_searches_ask_all_queries(spark):
     sf = "/root/testdata/sf0.01"
     ids = [r.id for r in source(spark, sf, "vec").select("id").collect()]
     asked = {i for i in ids if i % 50 == 0}
-    top = registry.queries()["cosine_topk_global_whole"](spark, sf).collect()
+    top = registry.queries()["cosine_topk_global"](spark, sf).collect()
     assert {r.qid for r in top} == asked and len(top) == 20 * len(asked)
-    assert {r.qid for r in registry.queries()["cosine_topk_whole"](spark, sf).collect()} == asked
+    assert {r.qid for r in registry.queries()["cosine_topk"](spark, sf).collect()} == asked
     assert {r.anchor for r in registry.queries()["hard_pool"](spark, sf).collect()} == asked
-    assert {f"{k}_whole" for k, sql in registry.oracle_sql().items() if "FROM ask " in sql or "FROM ask," in sql} <= registry.queries().keys()
