@@ -85,10 +85,30 @@ def fuzzy_captions(figures: DataFrame, captions: DataFrame, least: float = 0.3,
     return best.select("doc_id", "file", F.col("b.id").alias("id"), (-F.col("b.worse")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def alike_visuals(figures: DataFrame, visuals: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, file, id, similarity): for each figure (doc_id, file, type, text) the visual (doc_id, id, ord, type, text) of its
+    document and type whose caption is most alike, the first of equals, if it is enough. Texts without characters meet none.
+
+    Before texts are compared, pairs go that their lengths rule out: a ratio is at most twice the shorter over both.
+    """
+    d = figures.select("doc_id", "file", "type", F.col("text").alias("wanted")).join(visuals, ["doc_id", "type"]).filter("wanted <> '' AND text <> ''")
+    a, b = F.least(F.length("wanted"), F.lit(200)), F.least(F.length("text"), F.lit(200))
+    d = d.filter(2 * F.least(a, b) >= least * (a + b)).withColumn("score", ratio(F.col("wanted"), F.col("text")))
+    best = d.groupBy("doc_id", "file").agg(F.min(F.struct((-F.col("score")).alias("worse"), "ord", "id")).alias("b"))
+    return best.select("doc_id", "file", F.col("b.id").alias("id"), (-F.col("b.worse")).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def random_roles(nodes: DataFrame, roles: tuple[str, ...], seed: int = 0) -> DataFrame:
+    """``drawn``: a role out of ``roles`` for each node, all equally likely, the same on every run."""
+    u = F.conv(F.substring(hash_order(seed, "doc_id", "id"), 1, 8), 16, 10).cast("long")
+    return nodes.withColumn("drawn", F.get(F.array(*[F.lit(r) for r in roles]), (u % len(roles)).cast("int")))
+
+
 def assign_greedily(elements: DataFrame, figures: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, id, file, similarity): each element takes the most similar free figure of its type, in order.
 
-    What is free depends on the elements before, so a document's elements and figures are one group.
+    What is free depends on the elements before, so a document's elements and figures are one group: a paper's, some hundreds
+    of each at most, as every element is compared with every figure that is free.
     """
     ship(elements.sparkSession)
 
@@ -110,36 +130,6 @@ def assign_greedily(elements: DataFrame, figures: DataFrame, least: float = 0.6)
         run, f"doc_id {kind}, id string, file string, similarity double")
 
 
-def linked_captions(elements: DataFrame, share: float = 0.05) -> DataFrame:
-    """(doc_id, caption, visual) by label or by height, in order: a caption takes the visual that its label already has
-    on the page, else the nearest one within ``share`` of the page's height, which then has the label.
-
-    Rows are (doc_id, id, ord, page, type, label, y0, y1). Later captions see what earlier ones did, so a document is one
-    group.
-    """
-    ship(elements.sparkSession)
-
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        e, out, known = e.sort_values("ord"), [], {}
-        for page, g in e.groupby("page", sort=True):
-            visuals = list(g[g["type"].isin(["figure", "table"])].itertuples(index=False))
-            limit = share * (g["y1"].max() if len(g) else 1000.0)
-            for c in g[g["type"] == "caption"].itertuples(index=False):
-                if c.label is not None and (page, c.label) in known:
-                    out.append((c.doc_id, c.id, known[page, c.label]))
-                    continue
-                gaps = [(max(v.y0 - c.y1, c.y0 - v.y1, 0.0), i) for i, v in enumerate(visuals)]
-                if gaps and min(gaps)[0] < limit:
-                    v = visuals[min(gaps)[1]]
-                    out.append((c.doc_id, c.id, v.id))
-                    if c.label is not None:
-                        known[page, c.label] = v.id
-        return pd.DataFrame(out, columns=["doc_id", "caption", "visual"])
-
-    kind = elements.schema["doc_id"].dataType.simpleString()
-    return elements.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, caption string, visual string")
-
-
 def hash_order(seed: int, *names: str) -> Column:
     """A seeded order of rows that is the same on every run and in any engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(n).cast("string") for n in names]))

@@ -60,6 +60,30 @@ def cross_page_hit(gt_pages: Column, top_pages: Column) -> Column:
     return F.when(F.size(pages) > 1, (F.size(F.array_except(pages, top_pages)) == 0).cast("double"))
 
 
+def page_hit(gt_pages: Column, top_pages: Column) -> Column:
+    """1 if a page of the ground truth is among those of the top."""
+    return F.coalesce(F.arrays_overlap(gt_pages, top_pages), F.lit(False)).cast("double")
+
+
+def truncated(ranked: DataFrame, truth: DataFrame, most: int, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row for each query of ``truth`` (qid, gt): recall and hit at the cuts, and the reciprocal rank of the first hit
+    among the ``most`` best, 0 without one. Ground truth is not empty."""
+    one = truth.select("qid", F.size(F.array_distinct("gt")).alias("n_gt"), F.explode(F.array_distinct("gt")).alias("id"))
+    d = one.join(ranked.filter(F.col("rank") <= most).select("qid", "id", "rank"), ["qid", "id"], "left")
+    found = [F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in cuts]
+    d = d.groupBy("qid", "n_gt").agg(F.min("rank").alias("first"), *found)
+    cols = {f"recall{k}": F.col(f"n{k}") / F.col("n_gt") for k in cuts} | {f"hit{k}": (F.col(f"n{k}") > 0).cast("double") for k in cuts}
+    return d.select("qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), *[c.alias(k) for k, c in cols.items()])
+
+
+def target_recall(ranked: DataFrame, targets: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """(n, hit at each cut) over queries with a target (qid, id); a target that is no candidate ranks behind all of them."""
+    size = ranked.groupBy("qid").agg(F.count("*").alias("size"))
+    d = targets.join(ranked.select("qid", "id", "rank"), ["qid", "id"], "left").join(size, "qid", "left")
+    place = F.coalesce("rank", F.coalesce("size", F.lit(0)) + 1)
+    return d.agg(F.count("*").alias("n"), *[F.avg((place <= k).cast("double")).alias(f"hit{k}") for k in cuts])
+
+
 # Answers.
 
 

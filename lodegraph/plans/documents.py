@@ -295,12 +295,6 @@ def html_elements(spark, sf_dir):
     return read(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select("page_id", "place", "type", F.length("text").alias("n"))
 
 
-@query("""SELECT doc_id, id, min(page) OVER (PARTITION BY doc_id, page) AS component FROM element""")
-def connected_sections(spark, sf_dir):
-    """Pages are cliques of same_section edges, so a component is a page."""
-    return elements(spark, sf_dir).select("doc_id", "id", F.min("page").over(Window.partitionBy("doc_id", "page")).alias("component"))
-
-
 # Boxes.
 
 _I = "greatest(least(x1, gx1) - greatest(x0, gx0), 0) * greatest(least(y1, gy1) - greatest(y0, gy0), 0)"
@@ -512,12 +506,6 @@ def greedy_assignment(spark, sf_dir):
     return linking.assign_greedily(d.filter("ord % 2 = 0"), d.filter("ord % 2 = 1").withColumnRenamed("id", "file"))
 
 
-@query()
-def linked_captions(spark, sf_dir):
-    d = elements(spark, sf_dir).select("doc_id", "id", "ord", "page", "type", text.inline_label(F.col("caption")).alias("label"), "y0", "y1")
-    return linking.linked_captions(d)
-
-
 @query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS r FROM vec),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('0:' || doc_id || ':' || id), id) AS r FROM vec)
 SELECT a.doc_id, a.id, a.section_role, b.section_role AS shuffled FROM a JOIN b ON a.doc_id = b.doc_id AND a.r = b.r""")

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import build, linking, stats
 from ..operators.ranking import Window
 from ..session import shared_folder
 from ..sources import files
 from ..streaming import events as stream
 from .base import query, source
+from .documents import _ANCHORED, _CITED, _HEADINGS, _WORD_REF, _kind_sql, _label_sql, _role_sql
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,13 +28,35 @@ def _elements(spark, sf_dir):
     return d.select("doc_id", "id", "type", body.alias("text"), "page", "ord")
 
 
-@query()
+_BUILT = f"""{_HEADINGS}, se AS (SELECT *, sum((type = 'section_header')::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS section FROM element),
+sz AS (SELECT doc_id, section, count(*) AS n FROM se GROUP BY 1, 2), ow AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section) = 1 OR n >= 8 THEN section END AS own FROM sz),
+mg AS (SELECT doc_id, section, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section) AS kept FROM ow),
+bd0 AS (SELECT se.doc_id, id, ord, page, kept, CASE type WHEN 'section_header' THEN 'text' ELSE type END AS type,
+  CASE type WHEN 'section_header' THEN title WHEN 'text' THEN body ELSE caption END AS t FROM se JOIN mg ON se.doc_id = mg.doc_id AND se.section = mg.section),
+hs0 AS (SELECT doc_id, kept, CASE kept WHEN 0 THEN 'Front Matter' ELSE arg_min(t, ord) END AS label, min(ord) AS ord FROM bd0 GROUP BY 1, 2),
+hs AS (SELECT doc_id, kept, ord, CASE WHEN label = 'Front Matter' THEN 'front_matter' ELSE {_role_sql(text.ROLES_LAYOUT, 'n')} END AS role FROM hs0 LEFT JOIN heading ON title = label),
+bd AS (SELECT bd0.*, hs.role, {_label_sql('t', _ANCHORED, ' ')} AS label FROM bd0 JOIN hs ON bd0.doc_id = hs.doc_id AND bd0.kept = hs.kept)"""
+
+
+@query(f"""WITH {_BUILT}, nd AS (SELECT doc_id, type, role FROM bd UNION ALL SELECT doc_id, 'section_header', role FROM hs)
+SELECT type, role AS section_role, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM nd GROUP BY 1, 2""")
 def built_graph_nodes(spark, sf_dir):
     nodes, _ = build.build_graph(_elements(spark, sf_dir))
     return nodes.groupBy("type", "section_role").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"""WITH {_BUILT}, cp AS (SELECT c.doc_id, c.id AS caption, c.label, c.ord, v.id AS visual, row_number() OVER (PARTITION BY c.id ORDER BY abs(v.ord - c.ord), v.ord) AS r
+  FROM bd c JOIN bd v ON c.doc_id = v.doc_id AND c.type = 'caption' AND v.type IN ('figure', 'table') AND abs(v.ord - c.ord) <= 3),
+l1 AS (SELECT doc_id, label, max_by(visual, ord) AS id FROM cp WHERE r = 1 AND label IS NOT NULL GROUP BY 1, 2),
+lb AS (SELECT * FROM l1 UNION ALL SELECT doc_id, label, min_by(id, ord) FROM bd WHERE type IN ('figure', 'table') AND label IS NOT NULL AND (doc_id, label) NOT IN (SELECT (doc_id, label) FROM l1) GROUP BY 1, 2),
+r0 AS (SELECT doc_id, id, t, regexp_extract_all(t, '{_WORD_REF}') AS m, regexp_split_to_array(t, '{_WORD_REF}') AS g FROM bd WHERE type = 'text' AND length(t) >= 10),
+r1 AS (SELECT doc_id, id, t, m, unnest(range(1, len(m) + 1)) AS i, list_sum([length(x) FOR x IN g[1:i]]) + list_sum([length(x) FOR x IN m[1:i - 1]] || [0]) AS beg FROM r0),
+r2 AS (SELECT doc_id, id, m[i] AS x FROM r1 WHERE NOT regexp_matches(substr(t, (greatest(beg - 8, 0) + 1)::INT, (beg - greatest(beg - 8, 0))::INT), '{_CITED}')),
+rf AS (SELECT DISTINCT r2.doc_id, r2.id, lb.id AS dst FROM r2 JOIN lb ON r2.doc_id = lb.doc_id AND lb.label = concat({_kind_sql("regexp_extract(x, '^([A-Za-z]+[.]?)', 1)")}, ' ', regexp_extract(x, '([0-9.]+)$', 1))),
+e AS (SELECT 'contains' AS type, 1.0 AS confidence, false AS both_ways FROM bd UNION ALL SELECT 'section_next', 1.0, false FROM (SELECT lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) AS x FROM hs) WHERE x IS NOT NULL
+UNION ALL SELECT 'caption_of', 1.0, true FROM cp WHERE r = 1 UNION ALL SELECT 'refer_to', 0.9, false FROM rf
+UNION ALL SELECT 'reading_next', 1.0, false FROM (SELECT lead(ord) OVER (PARTITION BY doc_id, kept ORDER BY ord) AS x FROM bd WHERE type = 'text') WHERE x IS NOT NULL)
+SELECT type, both_ways AS bidirectional, count(*) AS n, round(avg(confidence), 6)::DOUBLE AS confidence FROM e GROUP BY 1, 2""")
 def built_graph_edges(spark, sf_dir):
     _, edges = build.build_graph(_elements(spark, sf_dir))
     return edges.groupBy("type", "bidirectional").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))

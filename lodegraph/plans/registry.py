@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, graphs, retrieval  # noqa: F401
+from . import datasets, documents, graphs, retrieval  # noqa: F401
 from .base import QUERIES, SQL
 
 
