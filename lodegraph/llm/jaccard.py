@@ -22,6 +22,8 @@ MANY = 1 << 20
 #: Shared tokens that a pair needs, by the estimated candidates of a document's prefix: (up to, matches).
 LADDER = ((4, 1), (64, 2), (1024, 4), (float("inf"), 8))
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 21
+#: Sets that share a token of their prefixes are told pair by pair up to this many; more of them are one candidate group.
+LIST = 64
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -163,6 +165,30 @@ def prefixes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return d.filter(F.col("place") <= F.col("base") + F.col("matches") - 1).select("c1", "n", "matches", "base", "token", "place")
 
 
+def candidates_of(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of sets that may be near: they share as many prefix tokens as the lesser of their two prefixes asks for, and as
+    many as the rest of them cannot make up for.
+
+    Each token's list of up to ``LIST`` sets gives its pairs, of sizes that may link; pairs are counted over the tokens and
+    those with too few go. Sets in a longer list are tied to its first one instead, so that its pairs are never told: who
+    shares such a token is in one group, where all tokens are compared. A pair that shares none is counted in full.
+    """
+    d = with_group(prefix, "token", "c1", {"k": F.count("*"), "low": F.min("c1")}, {"k": F.sum, "low": F.min}).filter("k > 1")
+    hot = d.filter((F.col("k") > LIST) & (F.col("c1") > F.col("low"))).select(F.col("c1").alias("a"), F.col("low").alias("b"))
+    short = d.filter(F.col("k") <= LIST)
+    side = lambda x: short.select("token", F.col("c1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "base", "place")])
+    m = F.least("matches_a", "matches_b")
+    pairs = side("a").join(side("b"), "token").filter("a < b")
+    pairs = pairs.filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    pairs = pairs.filter((F.col("place_a") < F.col("base_a") + m) & (F.col("place_b") < F.col("base_b") + m))
+    # What is shared beyond both prefixes is behind the end of the one that ends first: so many at most, and so many are needed.
+    rest = F.greatest(F.col("n_a") - F.col("base_a"), F.col("n_b") - F.col("base_b")) - m + 1
+    short = F.ceil(num * (F.col("n_a") + F.col("n_b")) / F.lit(num + den)) - rest
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(m).alias("m"), F.min(short).alias("short"))
+    pairs = pairs.filter("shared >= m AND shared >= short")
+    return pairs.select("a", "b").union(hot.distinct())
+
+
 def common(columns: list[np.ndarray]) -> np.ndarray:
     """How many values each two of the arrays (of distinct values) share; in slices of the values, as a matrix product."""
     n = len(columns)
@@ -201,7 +227,9 @@ def verify(num: int, den: int):
                 near = np.zeros((len(rep), len(rep)), bool)
                 for m in np.unique(matches):
                     own = [t[p <= b + m - 1] for t, p, b in zip(token, place, base, strict=True)]
-                    near |= (np.minimum.outer(matches, matches) == m) & (common(own) >= m)
+                    rest = n - base - m + 1
+                    short = -(-num * np.add.outer(n, n) // (num + den)) - np.maximum.outer(rest, rest)
+                    near |= (np.minimum.outer(matches, matches) == m) & (common(own) >= np.maximum(short, m))
                 near &= np.minimum.outer(n, n) * den >= np.maximum.outer(n, n) * num
                 if g["bk_low"][0].as_py() != g["bk_high"][0].as_py():
                     near &= side[:, None] != side
@@ -241,9 +269,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
     Two documents link if den * |A and B| >= num * |A or B| for their sets of distinct ``n``-word shingles. Documents
     with one set are one class. Tokens that two classes share are counted; each class has a prefix, rarest tokens first,
-    longer by m - 1 tokens where it expects many candidates. Classes that share a prefix token come together in groups;
-    in a group a pair is verified, by its exact overlap, if it shares as many prefix tokens as the lesser of its two
-    prefixes asks for. Large groups are compared in pairs of blocks. Nothing is dropped or capped.
+    longer by m - 1 tokens where it expects many candidates. Pairs of classes that share as many prefix tokens as the lesser
+    of their two prefixes asks for come together in groups; in a group each such pair is verified by its exact overlap.
+    Large groups are compared in pairs of blocks. Nothing is dropped or capped.
 
     Sets are of 64-bit hashes of shingles. Null and empty texts have no shingle and link with nothing; a text shorter
     than a shingle is one shingle. A null doc_id links with nothing (component_id null, kept true). Rows with one doc_id
@@ -257,9 +285,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     rows = texts.filter("doc_id IS NOT NULL").mapInArrow(tokens_of(n, num, den), "token long, c1 long")
     rows = rows.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(shared, "token long, c1 long, df long")
     prefix = stored(prefixes(rows, classes, num, den))
-    least = prefix.filter("place <= base").groupBy("token").agg(F.min("c1").alias("low"), F.max("c1").alias("high"))
-    edges = prefix.filter("place <= base").join(least.filter("low < high"), "token").select(F.col("c1").alias("a"), F.col("low").alias("b"))
-    place = components(edges).withColumnRenamed("id", "c1")
+    place = components(candidates_of(prefix, num, den)).withColumnRenamed("id", "c1")
     listed = prefix.groupBy("c1", "n").agg(
         F.first("matches").alias("matches"), F.first("base").alias("base"),
         F.sort_array(F.collect_list(F.struct("token", "place"))).alias("p"))

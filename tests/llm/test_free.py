@@ -147,6 +147,29 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == brute.jaccard_components(docs)
 
 
+def test_jaccard_templated_pages(spark, monkeypatch):
+    """Pages of passages out of a pool, of which no two link: hardly any are candidates, and none are with long lists."""
+    r = random.Random(8)
+    pool = [" ".join(f"p{k}w{r.randrange(10**6)}" for _ in range(50)) for k in range(150)]
+    docs = [(i, "\n".join(r.sample(pool, 10))) for i in range(600)]
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(0, 40, 4)]
+    seen, told = [], jaccard.candidates_of
+
+    def watched(*args):
+        seen.append(components(told(*args)).groupBy("root").count().agg(F.max("count"), F.sum("count")).first())
+        return told(*args)
+
+    monkeypatch.setattr(jaccard, "candidates_of", watched)
+    want = brute.jaccard_components(docs)
+    for most in (64, 4):
+        monkeypatch.setattr(jaccard, "LIST", most)
+        out = jaccard.jaccard_groups(spark.createDataFrame(docs, SCHEMA)).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == want
+    assert sum(i != c for i, (_, c) in want.items()) == 10
+    print("largest candidate group, classes in groups:", [tuple(x) for x in seen])
+    assert seen[0][0] <= 60
+
+
 def test_jaccard_frequent_tokens_across_batches(monkeypatch):
     import pyarrow as pa
 
