@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import ship
-from .arrays import groups, roots, whole_groups, windows, word_hashes
+from .arrays import groups, release, roots, whole_groups, windows, word_hashes
 from .blocks import in_blocks
 from .common import components, documents, join_spread, stored, with_group, without
 
@@ -21,7 +21,7 @@ FIRST = 0.35
 MANY = 1 << 20
 #: Shared tokens that a pair needs, by the estimated candidates of a document's prefix: (up to, matches).
 LADDER = ((4, 1), (64, 2), (1024, 4), (float("inf"), 8))
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 21
+BLOCK_DOCS, BLOCK_TOKENS = 512, 1 << 20
 #: Sets that share a token of their prefixes are told pair by pair up to this many; more of them are one candidate group.
 LIST = 64
 
@@ -62,6 +62,7 @@ def describe(n: int):
             names = ["doc_id", "n", "c1", "c2", "first"]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        release()
 
     return f
 
@@ -92,6 +93,7 @@ def tokens_of(n: int, num: int, den: int):
                     token, owner, size = [], [], 0
             if token:
                 yield told(token, owner)
+        release()
 
     return f
 
@@ -136,6 +138,7 @@ def shared(batches):
             last, own, many = token[-1], [c1[start[-1] :]], False
     if last is not None:
         yield from ended()
+    release()
 
 
 def prefixes(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -228,8 +231,9 @@ def verify(num: int, den: int):
                 for m in np.unique(matches):
                     own = [t[p <= b + m - 1] for t, p, b in zip(token, place, base, strict=True)]
                     rest = n - base - m + 1
-                    short = -(-num * np.add.outer(n, n) // (num + den)) - np.maximum.outer(rest, rest)
-                    near |= (np.minimum.outer(matches, matches) == m) & (common(own) >= np.maximum(short, m))
+                    need = np.add.outer(n, n) * (num / (num + den)) - 0.5  # half a token less, as this is rounded
+                    need -= np.maximum.outer(rest, rest)
+                    near |= (np.minimum.outer(matches, matches) == m) & (common(own) >= np.maximum(need, m))
                 near &= np.minimum.outer(n, n) * den >= np.maximum.outer(n, n) * num
                 if g["bk_low"][0].as_py() != g["bk_high"][0].as_py():
                     near &= side[:, None] != side
@@ -245,6 +249,7 @@ def verify(num: int, den: int):
                     out.append((rep[child], rep[root[child]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+            release()
 
     return f
 
@@ -260,6 +265,7 @@ def sets_of(n: int):
             right = [digest(s) == (a, b) for s, a, b in zip(sets, batch["c1"].to_pylist(), batch["c2"].to_pylist(), strict=True)]
             batch = batch.drop_columns(["text"]).append_column("set", pa.array([s.tobytes() for s in sets], pa.binary()))
             yield batch.filter(pa.array(right, pa.bool_()))
+        release()
 
     return f
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import ship
+from .arrays import release
 from .common import SALTS, documents, without
 
 UNKNOWN = "und"
 #: Characters that are counted at one time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Distinct n-grams whose counts a task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 18
 
 
 @lru_cache(1)
@@ -100,6 +101,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, max_langs: int = 100_000) ->
                         yield from told(held)
                         held, n = {}, 0
         yield from told(held)
+        release()
 
     ship(docs.sparkSession)
     known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -149,7 +151,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300) -
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+        release()
+        return out
 
     d = without(docs, "lang_pred", "score", "li_found").withColumn("li_found", predict("text"))
     return d.select("*", "li_found.lang_pred", "li_found.score").drop("li_found")

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .arrays import release
 from .common import documents, salted_rank, stored, without
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBER = 500_000
+REMEMBER = 300_000
 _known: dict[str, bytes] = {}
 _known_of = ""
 # What a vocabulary does to a text if the ids of its words, encoded apart, are those of the text.
@@ -125,6 +126,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     for column, x in zip(rows, row, strict=False):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+        _known.clear()  # the worker goes on to other steps
+        release()
 
     ids = ", ids array<bigint>" if keep_ids else ""
     return docs.select("doc_id", "text").mapInArrow(
