@@ -10,7 +10,7 @@ from .common import SPACE, WORD, documents, stored, without
 
 #: Classes of characters, taken away one after the other; what is left is the last class, "other".
 CLASSES = (
-    ("lower", r"[a-z]+"), ("space", SPACE), ("upper", r"[A-Z]+"), ("stop", r"[.,;:!?'\"()-]+"), ("digit", r"[0-9]+"),
+    ("space", SPACE), ("lower", r"[a-z]+"), ("upper", r"[A-Z]+"), ("stop", r"[.,;:!?'\"()-]+"), ("digit", r"[0-9]+"),
     ("letter", r"\p{L}+"), ("symbol", r"[\p{S}\p{P}]+"),
 )
 SYMBOLS = "#*$%&|<>"
@@ -20,10 +20,20 @@ START, END = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D.,;:!?])"
 LETTERS = r"^(\p{L}++)" + END
 
 
-def class_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
-    """Adds ``qr_classes``, the characters of each class, and ``qr_symbols``; each pattern runs over what was left."""
-    left, lengths = text, [F.length(text)]
+def words_of(text: str) -> Column:
+    """The words of a text: a split at one plain character runs no pattern."""
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+
+
+def class_counts(d: DataFrame, text: str, solid: str) -> DataFrame:
+    """Adds ``qr_classes``, the characters of each class, and ``qr_symbols``; each pattern runs over what was left.
+
+    ``solid`` is the text without white space, in which letters of one case stand in longer runs.
+    """
+    left, lengths = solid, [F.length(text), F.length(solid)]
     for i, (name, pattern) in enumerate(CLASSES):
+        if name == "space":
+            continue
         if name == "stop":  # no symbol is among what is gone by now, and little of the text is left
             d = d.withColumn("qr_symbols", F.regexp_count(left, F.lit(f"[{SYMBOLS}]")).cast("long"))
         d = d.withColumn(f"qr_left{i}", F.regexp_replace(left, pattern, ""))
@@ -49,8 +59,8 @@ def references(docs: DataFrame, n_common: int = 24) -> DataFrame:
     d = docs.filter("text IS NOT NULL").select(F.col("lang").alias("qr_lang"), F.col("text").alias("qr_text"))
     names = [f"c{i}" for i in range(len(CLASSES) + 1)]
     # Words are counted as they stand; classes and letters are looked at for distinct ones only. White space is the rest.
-    words = d.select("qr_lang", F.explode(F.regexp_extract_all("qr_text", F.lit(WORD), F.lit(0))).alias("raw"))
-    words = class_counts(words.groupBy("qr_lang", "raw").agg(F.count("*").alias("n")), "raw")
+    words = d.select("qr_lang", F.explode(words_of("qr_text")).alias("raw"))
+    words = class_counts(words.groupBy("qr_lang", "raw").agg(F.count("*").alias("n")), "raw", "raw")
     words = words.groupBy("qr_lang", letters_of(F.col("raw")).alias("w")).agg(
         F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("qr_classes")[i]).alias(c) for i, c in enumerate(names)])
     words = stored(words)
@@ -118,16 +128,20 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def base_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
-    """n_words, n_dup_lines and n_repeat_words of a column of texts without nulls.
+    """n_words, n_dup_lines and n_repeat_words of a column of texts without nulls, and ``qr_solid``, its words joined.
 
     Windows of five words are compared by a 64-bit hash of the words. Texts that repeat none, nearly all, end at a hash
     set; the others sort their windows, so no text costs more than n log n.
     """
-    d = d.withColumn("qr_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    d = d.withColumn("qr_words", words_of(text))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    d = d.withColumn("qr_hashes", F.transform("qr_words", lambda w: F.xxhash64(w)))
-    window = lambda h, i: F.xxhash64(h, *[F.get("qr_hashes", i + k) for k in range(1, 5)])
-    d = d.withColumn("qr_windows", F.transform(F.slice("qr_hashes", 1, F.greatest(F.size("qr_hashes") - 4, F.lit(0))), window))
+    # Two words, then twice two, then the fifth; what hangs over the end is cut off.
+    both = lambda a, b: F.xxhash64(a, b)
+    behind = lambda c, k: F.slice(c, k + 1, F.size("qr_words"))
+    d = d.withColumn("qr_hashes", F.zip_with("qr_words", behind("qr_words", 1), both))
+    d = d.withColumn("qr_hashes", F.zip_with("qr_hashes", behind("qr_hashes", 2), both))
+    windows = F.zip_with("qr_hashes", behind("qr_words", 4), both)
+    d = d.withColumn("qr_windows", F.slice(windows, 1, F.greatest(F.size("qr_words") - 4, F.lit(0))))
     d = d.withColumns({"qr_lines": lines, "qr_n": F.size("qr_windows")})
     d = d.withColumn("qr_sorted", F.when(
         F.size(F.array_distinct("qr_windows")) < F.col("qr_n"),
@@ -143,6 +157,7 @@ def base_counts(d: DataFrame, text: str = "qr_text") -> DataFrame:
     )
     return d.withColumns({
         "n_words": F.size("qr_words").cast("long"),
+        "qr_solid": F.array_join("qr_words", ""),
         "n_dup_lines": (F.size("qr_lines") - F.size(F.array_distinct("qr_lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
     }).drop("qr_words", "qr_hashes", "qr_lines", "qr_windows", "qr_n", "qr_sorted", "qr_again")
@@ -176,7 +191,7 @@ def quality(
     d = without(docs, *OUTPUTS)
     ref = references(d.select("lang", "text"), n_common)
     d = with_references(d.withColumn("qr_text", F.coalesce("text", F.lit(""))), ref)
-    d = class_counts(base_counts(d))
+    d = class_counts(base_counts(d), "qr_text", "qr_solid")
     spaces = F.col("qr_classes")[[name for name, _ in CLASSES].index("space")].cast("long")
     d = d.withColumns({"word_chars": F.length("qr_text").cast("long") - spaces, "n_symbols": F.col("qr_symbols")})
     d = d.withColumn("qr_seen", F.regexp_extract_all(F.lower("qr_text"), F.col("qr_pattern"), F.lit(0)))
@@ -198,7 +213,7 @@ def quality(
         F.col("common_distance") <= max_common, F.lit(True))
     d = d.withColumn("kept", ~F.col("base_failed") & fine)
     return d.drop("qr_text", "qr_ref_classes", "qr_common", "qr_ref_common", "qr_classes", "qr_symbols", "qr_pattern",
-                  "qr_seen", "qr_joined", "qr_found", "qr_hist")
+                  "qr_solid", "qr_seen", "qr_joined", "qr_found", "qr_hist")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
