@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 from string import punctuation
 
@@ -62,24 +63,50 @@ def _word_ends(name: str) -> np.ndarray:
     return ends
 
 
-def _learn(words: list[str], name: str) -> None:
-    """Encode words into ``_known``. Words of letters only end with one word end each, so they are encoded together;
-    marks behind a letter or digit are a word of their own to the vocabulary, and are encoded apart."""
-    stem = {w: s if (s := w.rstrip(punctuation)) and s[-1].isalnum() else w for w in words}
-    new = [w for w in dict.fromkeys([*stem.values(), *(w[len(s) :] for w, s in stem.items() if s != w)]) if w not in _known]
-    plain = [w for w in new if w.isalpha() and w.lower().isalpha()]
-    for at in range(0, len(plain), 2048):
-        part = plain[at : at + 2048]
-        ids = np.array(_tokenizer(name).encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-        data, last = ids.tobytes(), 0
-        for w, end in zip(part, (4 * np.flatnonzero(_word_ends(name)[ids]) + 4).tolist(), strict=True):
-            _known[w], last = data[last:end], end
+@lru_cache(2)
+def _model(name: str):
+    return _tokenizer(name).model
+
+
+def _cut(words: list[str], ids: list[int], ends: list[int]) -> None:
+    """``_known`` of words from their ids one after the other, and how many of them lie before the end of each word."""
+    data, last = np.array(ids, "<u4").tobytes(), 0
+    for w, end in zip(words, ends, strict=True):
+        _known[w], last = data[4 * last : 4 * end], end
+
+
+def _learn(words: Iterable[str], name: str) -> None:
+    """Encode words into ``_known``.
+
+    Words of ASCII letters are what the vocabulary's model itself takes, bytes and letters being the same, so they skip
+    the steps around it. Other words of letters only end with one word end each, so they are encoded together; marks
+    behind a letter or digit are a word of their own to the vocabulary, and are encoded apart.
+    """
+    alone, stem = [], {}
+    for w in words:
+        s = w if w.isalpha() else w.rstrip(punctuation)
+        if s == w or not s or not s[-1].isalnum():
+            alone.append(w)
+        else:
+            stem[w] = s
+    new = {*alone, *stem.values(), *(w[len(s) :] for w, s in stem.items())}.difference(_known)
+    letters = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha())]
+    simple = [w for w in letters if w.isascii()]
+    model, ids, ends = _model(name), [], []
+    for w in simple:
+        ids += [t.id for t in model.tokenize(w.lower())]
+        ends.append(len(ids))
+    _cut(simple, ids, ends)
+    letters = [w for w in letters if not w.isascii()]
+    for at in range(0, len(letters), 2048):
+        part = letters[at : at + 2048]
+        ids = _tokenizer(name).encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+        _cut(part, ids, (np.flatnonzero(_word_ends(name)[ids]) + 1).tolist())
     odd = [w for w in new if w not in _known]
-    for w, e in zip(odd, _tokenizer(name).encode_batch(odd, add_special_tokens=False), strict=True):
+    for w, e in zip(odd, _tokenizer(name).encode_batch_fast(odd, add_special_tokens=False), strict=True):
         _known[w] = np.array(e.ids, "<u4").tobytes()
     for w, s in stem.items():
-        if s != w:
-            _known[w] = _known[s] + _known[w[len(s) :]]
+        _known[w] = _known[s] + _known[w[len(s) :]]
 
 
 def token_ids(text: str, name: str) -> bytes:
@@ -98,11 +125,11 @@ def token_ids(text: str, name: str) -> bytes:
     if "\u0130" not in text and "\u03a3" not in text:  # letters that lower otherwise in a word than alone
         text = text.lower()
     words = text.split()
-    new = [w for w in dict.fromkeys(words) if w not in _known]
+    new = set(words).difference(_known)
     if new:
         if len(_known) + 2 * len(new) > REMEMBER:
             _known.clear()
-            new = list(dict.fromkeys(words))
+            new = set(words)
         _learn(new, name)
     return b"".join(map(_known.__getitem__, words))
 
