@@ -39,10 +39,14 @@ def local(cpus: int = 8, memory: str = "20g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where that is unset, a local master gets a local folder,
+    and any other an error, as executors elsewhere could not read what one of them wrote."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(told or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 

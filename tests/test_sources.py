@@ -1,9 +1,11 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import build
+from lodegraph.session import shared_folder
 from lodegraph.sources import files, text
 
 
@@ -90,3 +92,16 @@ def test_retrieve(spark, built):
     for method in ("none", "ppr"):
         got = build.retrieve_top_k(queries, elements, nodes, edges, 3, method).collect()
         assert sorted(r["rank"] for r in got) == [1, 2, 3] and not any("sec" in r["id"] for r in got)
+
+
+def test_shared_folder_is_told_off_local_masters():
+    def session(master, told):
+        at = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: at[0] if at else None, setCheckpointDir=at.append)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: told))
+
+    assert shared_folder(session("local[4]", None))
+    assert shared_folder(session("spark://host:7077", "/shared")) == "/shared"
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master, None))
