@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, jaccard, langid, licences, mix, packing, quality, secrets, substrings
+from . import chat, embeddings, jaccard, langid, licences, mix, negatives, packing, quality, secrets, substrings, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": licences.op8_licence_scan,
         "op9_language_id": langid.op9_language_id,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_mix_sources": mix.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op4_format_chat": chat.ORACLE,
-            "op6_embedding_dedup": embeddings.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+            "op6_embedding_dedup": embeddings.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op12_hard_negatives": negatives.ORACLE}
