@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, jaccard, langid, licences, mix, negatives, packing, quality, secrets, substrings, whitening
+from . import chat, embeddings, jaccard, langid, licences, mix, negatives, packing, quality, secrets, substrings, suffixes, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard.op10_jaccard_join,
         "op11_whitening": whitening.op11_whitening,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_suffix_dedup": suffixes.op13_suffix_dedup,
     }
 
 
