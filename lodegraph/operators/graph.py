@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -216,3 +218,26 @@ def sweep(candidates: DataFrame, p: DataFrame, variants: tuple = VARIANTS, tol:
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     grouped = d.groupBy("qid").cogroup(p.select(F.col("qid").alias("of"), "mode", "src", "dst", "p").groupBy("of"))
     return grouped.applyInPandas(run, f"qid {kinds['qid']}, id {kinds['id']}, rank {kinds['rank']}, variant string, refined double")
+
+
+def hop_distances(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("figure", "table", "section_header", "caption")) -> DataFrame:
+    """(doc_id, id, and a column for each kind): hops to the nearest node of that kind, 0 for a node of the kind itself, null where
+    none can be reached.
+
+    ``nodes`` is (doc_id, id, type), ``edges`` (doc_id, src, dst), walked both ways; edges whose ends are not both nodes of their
+    document lead nowhere. All nodes of a kind are sources at once. The frontier are the nodes that some kind reached in
+    the last round; its neighbours get the next number where they have none yet, and the search ends with the first round that
+    moves nothing. Each round's state is kept in the shared folder.
+    """
+    ends = [edges.select("doc_id", F.col(a).alias("from"), F.col(b).alias("id")) for a, b in (("src", "dst"), ("dst", "src"))]
+    ways = cut(ends[0].union(ends[1]).filter("from <> id").distinct())
+    state = cut(nodes.select("doc_id", "id", *[F.when(F.col("type") == k, 0).alias(k) for k in kinds]))
+    step = 0
+    while True:
+        last = state.filter(reduce(lambda a, b: a | b, [F.col(k) == step for k in kinds]))
+        told = last.select("doc_id", F.col("id").alias("from"), *[F.when(F.col(k) == step, step + 1).alias(f"next_{k}") for k in kinds])
+        told = told.join(ways, ["doc_id", "from"]).groupBy("doc_id", "id").agg(*[F.min(f"next_{k}").alias(f"next_{k}") for k in kinds])
+        state = cut(state.join(told, ["doc_id", "id"], "left").select("doc_id", "id", *[F.coalesce(k, f"next_{k}").alias(k) for k in kinds]))
+        step += 1
+        if not state.filter(reduce(lambda a, b: a | b, [F.col(k) == step for k in kinds])).take(1):
+            return state

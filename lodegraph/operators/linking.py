@@ -153,6 +153,60 @@ def hard_pool(anchors: DataFrame, nodes: DataFrame, positives: DataFrame, seed:
     return both.filter(F.col("place") <= size).select("anchor", "id", (F.col("rank_in") == 0).alias("positive"), "place")
 
 
+def hash_number(seed: int, *names: str | Column) -> Column:
+    """A seeded number of 32 bits, the same on every run and in any engine."""
+    parts = [F.col(n).cast("string") if isinstance(n, str) else n.cast("string") for n in names]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, order: str, out: str) -> DataFrame:
+    """Number all rows from 0 by a column of hexadecimal hashes, whose first three digits deal them into 4096 parts: rows are
+    numbered in their part, and only the parts' counts are added up in one task."""
+    d = rows.withColumn("nb_part", F.substring(order, 1, 3))
+    before = d.groupBy("nb_part").count().select("nb_part", (F.sum("count").over(Window.orderBy("nb_part")) - F.col("count")).alias("nb_before"))
+    inside = F.row_number().over(Window.partitionBy("nb_part").orderBy(order)) - 1
+    return d.withColumn("nb_inside", inside).join(before, "nb_part").withColumn(out, F.col("nb_before") + F.col("nb_inside")).drop("nb_part", "nb_before", "nb_inside")
+
+
+def training_pool(anchors: DataFrame, nodes: DataFrame, neighbours: DataFrame, seed: int = 0, size: int = 12, most: int = 4) -> DataFrame:
+    """(anchor, id, kind, place): candidates that a training step scores for each anchor (doc_id, anchor, target).
+
+    Up to ``most`` positives, the target first, then its neighbours (anchor, id); negatives of its document; and negatives of
+    other documents, a quarter of ``size`` and four at least. Headers are nothing of these. Everything is drawn by seeded
+    hashes. A negative of another document is drawn as a number among the documents other than the anchor's, and a number among
+    that document's nodes, both of which are joined: no node meets a node that is not drawn. These draws may repeat. With
+    no other document, the anchor's own one fills the pool.
+    """
+    cross = max(4, size // 4)
+    nodes = nodes.filter("type IS NULL OR type <> 'section_header'").select("doc_id", "id")
+    near = neighbours.select("anchor", "id", F.lit(1).alias("r")).union(anchors.filter("target IS NOT NULL").select("anchor", "target", F.lit(0)))
+    near = near.filter("anchor <> id").groupBy("anchor", "id").agg(F.min("r").alias("r")).join(nodes.select("id"), "id", "left_semi")
+    near = near.withColumn("h", hash_order(seed, "anchor", "id"))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("r", "h", "id"))).filter(F.col("place") <= most)
+
+    documents = nodes.groupBy("doc_id").count().withColumn("h", hash_order(seed, "doc_id"))
+    documents = numbered(documents, "h", "number").select("doc_id", "number", F.col("count").alias("nodes"))
+    total = documents.agg(F.count("*").alias("documents"))
+    draws = anchors.join(documents.select("doc_id", "number"), "doc_id", "left").crossJoin(F.broadcast(total))  # one row
+    draws = draws.withColumn("others", F.col("documents") - F.col("number").isNotNull().cast("int"))
+    have = draws.select("anchor", F.when(F.col("others") > 0, cross).otherwise(0).alias("cross"))
+    draws = draws.filter("others > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cross - 1))))
+    u = hash_number(seed, "anchor", "i", F.lit("document")) % F.col("others")
+    draws = draws.select("anchor", "i", (u + F.coalesce((u >= F.col("number")).cast("int"), F.lit(0))).alias("number"))
+    draws = draws.join(documents, "number").withColumn("at", hash_number(seed, "anchor", "i", F.lit("node")) % F.col("nodes"))
+    inside = F.row_number().over(Window.partitionBy("doc_id").orderBy(hash_order(seed, "id"), "id")) - 1
+    far = draws.join(nodes.withColumn("at", inside), ["doc_id", "at"]).select("anchor", "id", F.lit("cross").alias("kind"), "i")
+
+    room = have.join(first.groupBy("anchor").count(), "anchor", "left").select("anchor", (size - F.coalesce("count", F.lit(0)) - F.col("cross")).alias("room"))
+    same = anchors.select("doc_id", "anchor").join(nodes, "doc_id").filter("anchor <> id").join(near, ["anchor", "id"], "left_anti")
+    same = same.withColumn("i", F.row_number().over(Window.partitionBy("anchor").orderBy(hash_order(seed, "anchor", "id"), "id")))
+    same = same.filter(F.col("i") <= size).join(room, "anchor").filter("i <= room").select("anchor", "id", F.lit("same").alias("kind"), "i")
+
+    both = first.select("anchor", "id", F.lit("positive").alias("kind"), F.col("place").alias("i")).union(same).union(far)
+    order = Window.partitionBy("anchor").orderBy(F.when(F.col("kind") == "positive", 0).when(F.col("kind") == "same", 1).otherwise(2), "i")
+    return both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).select("anchor", "id", "kind", "place")
+
+
 def anchor_kind(seed: int, *names: str) -> Column:
     """Which kind of anchor a step draws: a third each of caption, reference and question."""
     u = F.conv(F.substring(hash_order(seed, *names), 1, 8), 16, 10).cast("long") % 100

@@ -65,6 +65,20 @@ def page_hit(gt_pages: Column, top_pages: Column) -> Column:
     return F.coalesce(F.arrays_overlap(gt_pages, top_pages), F.lit(False)).cast("double")
 
 
+def average_precision(ranked: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n_gt, ap) for each query of ``truth`` (by..., gt): the mean, over the ground truth, of the precision at the rank of
+    each relevant item; items that are not ranked count 0, and so does an empty ground truth.
+
+    Only relevant rows are kept and numbered: the number of one among them over its rank is its precision.
+    """
+    by = by or ["qid"]
+    want = truth.select(*by, F.array_distinct("gt").alias("gt"))
+    hits = ranked.select(*by, "id", "rank").join(want.select(*by, F.explode("gt").alias("id")), [*by, "id"], "left_semi")
+    hits = hits.withColumn("precision", F.row_number().over(Window.partitionBy(*by).orderBy("rank")) / F.col("rank"))
+    d = want.select(*by, F.size("gt").alias("n_gt")).join(hits.groupBy(*by).agg(F.sum("precision").alias("sum")), by, "left")
+    return d.select(*by, "n_gt", (F.coalesce("sum", F.lit(0.0)) / F.greatest("n_gt", F.lit(1))).alias("ap"))
+
+
 def truncated(ranked: DataFrame, truth: DataFrame, most: int, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """One row for each query of ``truth`` (qid, gt): recall and hit at the cuts, and the reciprocal rank of the first hit
     among the ``most`` best, 0 without one. Ground truth is not empty."""

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..schema import RRF_CONSTANT, SHORTLIST
+from ..session import ship
+
+#: Questions of one block and vectors of one slice, in ranking by counting; scores are compared to so many digits.
+BLOCK, SLICE, DIGITS = 4096, 100_000, 6
 
 
 def rank(df: DataFrame, by: list[str], score: str = "score", ties: str = "ord", out: str = "rank") -> DataFrame:
@@ -21,7 +27,11 @@ def top(df: DataFrame, by: list[str], k: int = SHORTLIST, score: str = "score",
 
 def reciprocal_rank(df: DataFrame, by: list[str], modality: str = "modality") -> DataFrame:
     """``rrf``: 1 / (60 + place within the query's candidates of one modality), over all that is there."""
-    return rank(df, [*by, modality], out="rrf_rank").withColumn("rrf", 1 / (RRF_CONSTANT + F.col("rrf_rank")))
+    return rank(df, [*by, modality], out="rrf_rank").withColumn("rrf", reciprocal("rrf_rank"))
+
+
+def reciprocal(place: str) -> Column:
+    return 1 / (RRF_CONSTANT + F.col(place))
 
 
 def z_score(df: DataFrame, by: list[str], modality: str = "modality") -> DataFrame:
@@ -64,3 +74,102 @@ def order_key(doc_id: Column, element_id: Column) -> tuple[Column, Column]:
     number = lambda p, i: F.regexp_extract(tail, p, i).try_cast("int")
     page, at, line = number(r"^__p(\d+)__e(\d+)$", 1), number(r"^__p(\d+)__e(\d+)$", 2), number(r"^__l(\d+)$", 1)
     return F.coalesce(page, F.lit(0)), F.coalesce(at, line, F.lit(0))
+
+
+def counted_ranks(wanted: DataFrame, asked: DataFrame, elements: DataFrame) -> DataFrame:
+    """``wanted`` (qid, id, score, kind) with ``rank`` and ``kind_rank``: places among all ``elements`` (id, v, kind), and among those
+    of the wanted one's kind, for the inner product with the question's vector, of ``asked`` (qid, q).
+
+    Nothing is sorted: an element's place is one more than the number of elements that beat it. Questions lie in blocks and
+    elements in slices; where a block meets a slice, products are compared with the block's wanted scores, and counts are added
+    up, so what is shuffled back are the wanted rows. Scores are compared to six digits, as ``score`` is rounded; equal ones
+    go by id. A question's own element (id = qid) does not count. Vectors have one length, without nulls.
+    """
+    ship(wanted.sparkSession)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    slices = max(1, -(-elements.count() // SLICE))
+    own = wanted.groupBy("qid").agg(F.collect_list(F.struct("id", F.round(F.col("score") * 10**DIGITS).cast("long").alias("at"), "kind")).alias("items"))
+    ask = asked.join(own, "qid").select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"), F.col("qid").alias("id"), F.transform("q", lambda x: x.cast("double")).alias("v"), "items")
+    ask = ask.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>"))).withColumn("side", F.lit(0))
+    offer = elements.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).alias("slice"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"), "kind")
+    offer = offer.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).withColumn("side", F.lit(1))
+    both = ask.withColumn("kind", F.lit(None).cast("string")).unionByName(offer, allowMissingColumns=True)
+    both = both.withColumn("key", F.col("block") * slices + F.col("slice")).select("key", "side", "id", "v", "kind", "items")
+
+    def count(batches):
+        block = None
+        for batch in batches:
+            key, side = batch["key"].to_numpy(), batch["side"].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(key)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if block is None or block.key != key[a]:
+                    if block is not None:
+                        yield from block.results()
+                    block = _Counts(key[a])
+                (block.meet if side[a] else block.ask)(batch.slice(a, b - a))
+        if block is not None:
+            yield from block.results()
+
+    found = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(count, "qid long, id long, above long, kind_above long")
+    found = found.groupBy("qid", "id").agg((F.sum("above") + 1).alias("rank"), (F.sum("kind_above") + 1).alias("kind_rank"))
+    return wanted.join(found, ["qid", "id"])
+
+
+class _Counts:
+    """For each wanted item of a block of questions: how many of the elements met so far stand before it."""
+
+    def __init__(self, key: int):
+        self.key, self.parts, self.q = key, [], None
+
+    def ask(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def start(self) -> None:
+        take = lambda c: np.concatenate([c(p) for p in self.parts])
+        self.qid = take(lambda p: p["id"].to_numpy())
+        self.q = take(lambda p: p["v"].flatten().to_numpy().reshape(p.num_rows, -1))
+        sizes = take(lambda p: p["items"].value_lengths().to_numpy())
+        self.begin = np.append(0, np.cumsum(sizes))
+        items = [p["items"].flatten() for p in self.parts]
+        self.id, self.at = (np.concatenate([i.field(c).to_numpy() for i in items]) for c in (0, 1))
+        self.kind = np.concatenate([i.field(2).to_numpy(zero_copy_only=False) for i in items])
+        self.above, self.kind_above = np.zeros(len(self.id), np.int64), np.zeros(len(self.id), np.int64)
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        if not self.parts:
+            return
+        if self.q is None:
+            self.start()
+        step = max(1, (1 << 21) // len(self.qid))
+        for a in range(0, part.num_rows, step):
+            rows = part.slice(a, step)
+            ids, kinds = rows["id"].to_numpy(), rows["kind"].to_numpy(zero_copy_only=False)
+            v = rows["v"].flatten().to_numpy().reshape(rows.num_rows, -1)
+            scores = np.rint((self.q @ v.T) * 10**DIGITS).astype(np.int64)
+            named = {k: np.flatnonzero(kinds == k) for k in set(kinds.tolist())}
+            for i, qid in enumerate(self.qid.tolist()):
+                own = slice(self.begin[i], self.begin[i + 1])
+                s = scores[i]
+                s[ids == qid] = np.iinfo(np.int64).min
+                self.above[own] += before(s, ids, self.at[own], self.id[own])
+                for k, rows_of in named.items():
+                    mine = np.flatnonzero(self.kind[own] == k) + own.start
+                    if len(mine):
+                        self.kind_above[mine] += before(s[rows_of], ids[rows_of], self.at[mine], self.id[mine])
+
+    def results(self):
+        if self.q is not None:
+            qid = np.repeat(self.qid, np.diff(self.begin))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (qid, self.id, self.above, self.kind_above)], names=["qid", "id", "above", "kind_above"])
+
+
+def before(scores: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many scores stand before each of some (score, id): greater ones, and equal ones of smaller ids."""
+    ranked = np.sort(scores)
+    low, high = np.searchsorted(ranked, at, "left"), np.searchsorted(ranked, at, "right")
+    out = len(ranked) - high
+    for j in np.flatnonzero(high > low):
+        out[j] += int((ids[scores == at[j]] < own[j]).sum())
+    return out

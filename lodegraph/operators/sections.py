@@ -106,3 +106,27 @@ def plurality(d: DataFrame, by: list[str], value: str) -> DataFrame:
     n = d.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), "seen")
     return n.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*by, value, "n")
+
+
+def numbered_paths(elements: DataFrame, number: Column, keyword: Column) -> DataFrame:
+    """``path``: for a header the section it opens, for any other element the section it is in and its place there, from 1.
+
+    ``number`` is the array of a numbered header, null for others; ``keyword`` tells headers without a number. A numbered
+    header is its own path, whatever stood before it. A keyword header is a section of the top level, one after the last: the
+    first number of the last numbered header, if any, plus the keyword headers since. Before the first header the place alone
+    is the path. Elements are in the order of ``ord``.
+    """
+    word = keyword & number.isNull()
+    d = elements.withColumns({"np_number": number, "np_word": F.coalesce(word, F.lit(False))})
+    header = F.col("np_number").isNotNull() | F.col("np_word")
+    d = d.withColumns({
+        "np_last": F.last("np_number", ignorenulls=True).over(_upto("doc_id")),
+        "np_run": F.sum(F.col("np_number").isNotNull().cast("int")).over(_upto("doc_id")),
+        "np_section": F.sum(header.cast("int")).over(_upto("doc_id")),
+    })
+    d = d.withColumn("np_since", F.sum(F.col("np_word").cast("int")).over(_upto("doc_id", "np_run")))
+    top = F.coalesce(F.get("np_last", F.lit(0)), F.lit(0)) + F.col("np_since")
+    section = F.when(F.col("np_since") > 0, F.array(top.cast("int"))).otherwise(F.coalesce("np_last", F.array().cast("array<int>")))
+    place = F.row_number().over(_order("doc_id", "np_section")) - F.when(F.col("np_section") > 0, 1).otherwise(0)
+    path = F.when(header, section).otherwise(F.concat(section, F.array(place)))
+    return d.withColumn("path", path).drop("np_number", "np_word", "np_last", "np_run", "np_section", "np_since")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .linking import hash_order
+
 
 def seven_numbers(x: str = "x") -> list[Column]:
     """Mean, deviation (of the population), quartiles and ends."""
@@ -90,3 +92,16 @@ def bytes_text(n: Column) -> Column:
 def config_gaps(declared: DataFrame, defined: DataFrame) -> DataFrame:
     """Names on one side only, with the side."""
     return declared.exceptAll(defined).withColumn("side", F.lit("declared")).union(defined.exceptAll(declared).withColumn("side", F.lit("defined")))
+
+
+def sample(rows: DataFrame, n: int, seed: int, *names: str) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer), the same on every run: those of the smallest seeded hashes of the named
+    columns. Spark keeps ``n`` of each partition and merges those."""
+    return rows.orderBy(hash_order(seed, *names), *names).limit(n)
+
+
+def sample_each(rows: DataFrame, by: list[str], n: int, seed: int, *names: str) -> DataFrame:
+    """``place`` from 1, for exactly ``n`` rows of each group (all, if it has fewer). Each partition keeps ``n`` of a group before
+    rows are shuffled."""
+    w = Window.partitionBy(*by).orderBy(hash_order(seed, *names), *names)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)

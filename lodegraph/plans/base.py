@@ -86,6 +86,8 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def full_sql(sql: str) -> str:
     """SQL for DuckDB: the inputs that it names go before it."""
     parts = [f"{n} AS ({INPUTS[n]})" for n in _needs(sql)]
+    if sql.lstrip().startswith("WITH RECURSIVE"):
+        return sql.replace("WITH RECURSIVE", f"WITH RECURSIVE {', '.join(parts)},", 1)
     rest = re.sub(r"^\s*WITH\s+", ", " if parts else "WITH ", sql)
     if not parts:
         return sql
