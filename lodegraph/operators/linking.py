@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import boxes
-from ..session import ship
+from ..session import cut
 
 
 def label_table(captions: DataFrame, visuals: DataFrame) -> DataFrame:
@@ -69,33 +69,60 @@ def ratio(a: Column, b: Column) -> Column:
     return f(a, b)
 
 
+def letters(text: Column, places: int = 32) -> Column:
+    """(size, counts) of the first 200 characters: how many there are, and how often each letter; letters share ``places`` counters."""
+    codes = F.transform(F.filter(F.split(F.left(F.coalesce(text, F.lit("")), F.lit(200)), ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(places)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.size(F.filter(codes, lambda c: c == i)))
+    return F.struct(F.least(F.length(F.coalesce(text, F.lit(""))), F.lit(200)).alias("size"), counts.alias("counts"))
+
+
+def most_alike(a: Column, b: Column) -> Column:
+    """What ``ratio`` of two texts can be at most, of their ``letters``: twice those that both have, in any order, over both sizes."""
+    both = F.aggregate(F.zip_with(a["counts"], b["counts"], lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 2.0 * both / F.greatest(a["size"] + b["size"], F.lit(1))
+
+
+def best_alike(pairs: DataFrame, score, least: float) -> DataFrame:
+    """(doc_id, file, id, similarity) of pairs (doc_id, file, wanted, id, ord, text, most, ..): for each file the id of the greatest
+    ``score``, the first of equals, if it is ``least`` at least.
+
+    ``score`` makes the exact score of a pair's ``ratio``; ``most`` is what it can be. Of each file the pair that may score most is
+    scored first, and of the others only those that may still reach it.
+    """
+    d = cut(pairs.filter(F.col("most") >= least))
+    first = F.row_number().over(Window.partitionBy("doc_id", "file").orderBy(F.desc("most"), "ord", "id"))
+    d = d.withColumn("ba_first", first == 1)
+    keep = ["doc_id", "file", "id", "ord", "score"]
+    tried = cut(d.filter("ba_first").withColumn("score", score(ratio(F.col("wanted"), F.col("text")))).select(*keep))
+    rest = d.filter("NOT ba_first").join(tried.select("doc_id", "file", F.col("score").alias("ba_held")), ["doc_id", "file"]).filter(F.col("most") >= F.col("ba_held"))
+    rest = rest.withColumn("score", score(ratio(F.col("wanted"), F.col("text")))).select(*keep)
+    best = tried.union(rest).groupBy("doc_id", "file").agg(F.min(F.struct((-F.col("score")).alias("worse"), "ord", "id")).alias("b"))
+    return best.select("doc_id", "file", F.col("b.id").alias("id"), (-F.col("b.worse")).alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def fuzzy_captions(figures: DataFrame, captions: DataFrame, least: float = 0.3, block: int = 512) -> DataFrame:
     """(doc_id, file, id, similarity): for each figure the caption of its document that is most alike.
 
     Three tenths for an equal label, seven for the similarity of the texts; the first of equals; at least ``least``.
-    Captions are dealt into blocks of ``block`` places, so that the pairs of a long document are not one task's.
+    Captions are dealt into blocks of ``block`` places, so that the pairs of a long document are not one task's; a pair is told
+    by its letters first, and its texts are compared only where they may win.
     """
-    captions = captions.withColumn("fc_block", F.floor(F.col("ord") / block))
-    d = figures.select("doc_id", "file", F.col("text").alias("wanted"), F.col("label").alias("named"))
+    captions = captions.withColumns({"fc_block": F.floor(F.col("ord") / block), "fc_b": letters(F.col("text"))})
+    d = figures.select("doc_id", "file", F.col("text").alias("wanted"), F.col("label").alias("named"), letters(F.col("text")).alias("fc_a"))
     d = d.join(captions.select("doc_id", "fc_block").distinct(), "doc_id").join(captions, ["doc_id", "fc_block"])
-    same = F.coalesce((F.col("named") == F.col("label")).cast("double"), F.lit(0.0))
-    empty = (F.coalesce("wanted", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")
-    score = F.when(empty, same).otherwise(0.3 * same + 0.7 * ratio(F.col("wanted"), F.col("text")))
-    best = d.withColumn("score", score).groupBy("doc_id", "file").agg(F.min(F.struct((-F.col("score")).alias("worse"), "ord", "id")).alias("b"))
-    return best.select("doc_id", "file", F.col("b.id").alias("id"), (-F.col("b.worse")).alias("similarity")).filter(F.col("similarity") >= least)
+    d = d.withColumn("same", F.coalesce((F.col("named") == F.col("label")).cast("double"), F.lit(0.0)))
+    d = d.withColumn("empty", (F.coalesce("wanted", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == ""))
+    score = lambda r: F.when(F.col("empty"), F.col("same")).otherwise(0.3 * F.col("same") + 0.7 * r)
+    return best_alike(d.withColumn("most", score(most_alike(F.col("fc_a"), F.col("fc_b")))).drop("fc_a", "fc_b"), score, least)
 
 
 def alike_visuals(figures: DataFrame, visuals: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, file, id, similarity): for each figure (doc_id, file, type, text) the visual (doc_id, id, ord, type, text) of its
     document and type whose caption is most alike, the first of equals, if it is enough. Texts without characters meet none.
-
-    Before texts are compared, pairs go that their lengths rule out: a ratio is at most twice the shorter over both.
     """
-    d = figures.select("doc_id", "file", "type", F.col("text").alias("wanted")).join(visuals, ["doc_id", "type"]).filter("wanted <> '' AND text <> ''")
-    a, b = F.least(F.length("wanted"), F.lit(200)), F.least(F.length("text"), F.lit(200))
-    d = d.filter(2 * F.least(a, b) >= least * (a + b)).withColumn("score", ratio(F.col("wanted"), F.col("text")))
-    best = d.groupBy("doc_id", "file").agg(F.min(F.struct((-F.col("score")).alias("worse"), "ord", "id")).alias("b"))
-    return best.select("doc_id", "file", F.col("b.id").alias("id"), (-F.col("b.worse")).alias("similarity")).filter(F.col("similarity") >= least)
+    d = figures.select("doc_id", "file", "type", F.col("text").alias("wanted"), letters(F.col("text")).alias("av_a"))
+    d = d.join(visuals.withColumn("av_b", letters(F.col("text"))), ["doc_id", "type"]).filter("wanted <> '' AND text <> ''")
+    return best_alike(d.withColumn("most", most_alike(F.col("av_a"), F.col("av_b"))).drop("av_a", "av_b"), lambda r: r, least)
 
 
 def random_roles(nodes: DataFrame, roles: tuple[str, ...], seed: int = 0) -> DataFrame:
@@ -104,30 +131,38 @@ def random_roles(nodes: DataFrame, roles: tuple[str, ...], seed: int = 0) -> Dat
     return nodes.withColumn("drawn", F.get(F.array(*[F.lit(r) for r in roles]), (u % len(roles)).cast("int")))
 
 
+def choose_in_turn(wishes: DataFrame) -> DataFrame:
+    """(doc_id, who, what) of wishes (doc_id, who, turn, wish, what): in the order of ``turn`` each takes the first of its wishes that is
+    still free, the one of the lowest ``wish``.
+
+    That is a stable matching in which everything prefers the earlier turn, so it is found in rounds, not one by one: each names
+    its first wish that is left, and everything is held by the earliest turn that names it. Whoever holds it, it goes to that
+    turn or an earlier one in the end, so all later turns lose their wish for it, named or not. Rounds are joins and
+    aggregates, and end when nobody that names something is turned down.
+    """
+    left = cut(wishes.select("doc_id", "who", "turn", "wish", "what"))
+    while True:
+        named = left.groupBy("doc_id", "who").agg(F.min(F.struct("wish", "turn", "what")).alias("w")).select("doc_id", "who", "w.*")
+        held = cut(named.groupBy("doc_id", "what").agg(F.min(F.struct("turn", "who")).alias("h"), (F.count("*") > 1).alias("lost")))
+        if held.filter("lost").isEmpty():
+            return held.select("doc_id", F.col("h.who").alias("who"), "what")
+        late = F.coalesce(F.struct("turn", "who") > F.col("h"), F.lit(False))
+        left = cut(left.join(held.drop("lost"), ["doc_id", "what"], "left").filter(~late).drop("h"))
+
+
 def assign_greedily(elements: DataFrame, figures: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc_id, id, file, similarity): each element takes the most similar free figure of its type, in order.
+    """(doc_id, id, file, similarity): each element takes the most similar free figure of its type, in order, the first of equals.
 
-    What is free depends on the elements before, so a document's elements and figures are one group: a paper's, some hundreds
-    of each at most, as every element is compared with every figure that is free.
+    Elements and figures are (doc_id, id or file, type, text, ord). Pairs are compared where lengths and letters leave a
+    chance; those that reach ``least`` are wishes, and ``choose_in_turn`` gives each its figure.
     """
-    ship(elements.sparkSession)
-
-    def run(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        if e.empty or f.empty:  # a side that lacks the document has no columns
-            return pd.DataFrame(columns=["doc_id", "id", "file", "similarity"])
-        free, out = list(f.sort_values("ord").itertuples(index=False)), []
-        for x in e.sort_values("ord").itertuples(index=False):
-            score = [(SequenceMatcher(None, x.text[:200], y.text[:200]).ratio(), -i) for i, y in enumerate(free) if y.type == x.type and x.text and y.text]
-            if score and max(score)[0] >= least:
-                s, i = max(score)
-                out.append((x.doc_id, x.id, free.pop(-i).file, s))
-        return pd.DataFrame(out, columns=["doc_id", "id", "file", "similarity"])
-
-    need = ["doc_id", "type", "text", "ord"]
-    figures = figures.select(*[F.col(c).alias(c) for c in ("file", *need)])  # columns of their own, should both be one table's
-    kind = elements.schema["doc_id"].dataType.simpleString()
-    return elements.select("id", *need).groupBy("doc_id").cogroup(figures.select("file", *need).groupBy("doc_id")).applyInPandas(
-        run, f"doc_id {kind}, id string, file string, similarity double")
+    figures = figures.select("doc_id", "type", "file", F.col("ord").alias("at"), F.col("text").alias("offered"), letters(F.col("text")).alias("ag_b"))
+    d = elements.select("doc_id", "type", F.col("id").alias("who"), F.col("ord").alias("turn"), F.col("text").alias("wanted"), letters(F.col("text")).alias("ag_a"))
+    d = d.join(figures, ["doc_id", "type"]).filter("wanted <> '' AND offered <> ''").filter(most_alike(F.col("ag_a"), F.col("ag_b")) >= least)
+    d = cut(d.drop("ag_a", "ag_b").withColumn("similarity", ratio(F.col("wanted"), F.col("offered"))).filter(F.col("similarity") >= least))
+    found = choose_in_turn(d.select("doc_id", "who", "turn", F.struct((-F.col("similarity")).alias("worse"), "at").alias("wish"), F.col("file").alias("what")))
+    d = found.withColumnRenamed("what", "file").join(d.select("doc_id", "who", "file", "similarity"), ["doc_id", "who", "file"])
+    return d.select("doc_id", F.col("who").alias("id"), "file", "similarity")
 
 
 def hash_order(seed: int, *names: str) -> Column:

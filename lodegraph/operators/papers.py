@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text
-from ..session import cut, ship
-from . import sections
+from ..session import cut
+from . import linking, sections
 
 EDGE = ["doc_id", "src", "dst", "type", "confidence", "bidirectional"]
 
@@ -113,55 +112,69 @@ def neighbours(p: DataFrame) -> DataFrame:
     return edges_of(d.withColumn("src", F.col("id")), "reading_next", 1.0, True)
 
 
+def own_labels(visuals: DataFrame) -> DataFrame:
+    """(doc_id, label, id, page) of visuals (doc_id, id, ord, page, labels): in order each takes the first of its labels that none
+    before it has taken."""
+    d = visuals.select("doc_id", "id", "ord", "page", F.posexplode("labels").alias("wish", "label")).filter("label IS NOT NULL")
+    wishes = d.select("doc_id", F.col("id").alias("who"), F.col("ord").alias("turn"), "wish", F.col("label").alias("what"))
+    found = linking.choose_in_turn(wishes).select("doc_id", F.col("who").alias("id"), F.col("what").alias("label"))
+    return found.join(visuals.select("doc_id", "id", "page"), ["doc_id", "id"])
+
+
 def captions_of(elements: DataFrame, share: float | None = 0.05, within: float = 100.0, renew: bool = False) -> DataFrame:
     """(doc_id, src, dst, confidence) from captions to visuals, and rows without a src that tell a label's visual.
 
-    Rows are (doc_id, id, ord, page, kind, label, y0, y1); ``kind`` is visual, caption or neither. Labels that visuals have
-    themselves are known first, the first of each. Then captions go in order: one whose label is known on its own page takes
-    that visual (1.0), another the nearest visual of its page (0.7) if it is closer than ``share`` of the document's height,
-    or than ``within`` where there is no share; its label is then known, anew if ``renew``. Later captions see what earlier
-    ones did, so a document's captions and visuals are one group, some thousands of rows for a long paper.
+    Rows are (doc_id, id, ord, page, kind, label, labels, y0, y1); ``kind`` is visual, caption or neither, ``label`` a caption's and
+    ``labels`` what a visual may be called by its own texts. Visuals are known by those first. Then captions go in order:
+    one whose label is known on its own page takes that visual (1.0), another the nearest visual of its page (0.7), the first
+    of equals, if it is closer than ``share`` of the document's height, or than ``within`` where there is no share; its label is
+    then known, if it was not yet, or anew if ``renew``.
+
+    What a caption finds known hangs on those before it, but only so far: with ``renew`` the last one of its label that had a
+    near visual left the label on its own page, and without it the first such one did, once and for all. Both are windows
+    over the captions of a label, so no document is gathered.
     """
-    ship(elements.sparkSession)
-
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values("ord")
-        limit = within if share is None else share * e["extent"].max()
-        known, out, visuals = {}, [], {}
-        for v in e[e["kind"] == "visual"].itertuples(index=False):
-            visuals.setdefault(v.page, []).append(v)
-            if v.label is not None and v.label not in known:
-                known[v.label] = v
-        doc = e["doc_id"].iloc[0]
-        for c in e[e["kind"] == "caption"].itertuples(index=False):
-            mate = known.get(c.label)
-            if mate is not None and mate.page == c.page:
-                out.append((doc, c.id, mate.id, 1.0, None))
-                continue
-            gaps = [(max(v.y0 - c.y1, c.y0 - v.y1, 0.0), i) for i, v in enumerate(visuals.get(c.page, ()))]
-            if gaps and min(gaps)[0] < limit:
-                mate = visuals[c.page][min(gaps)[1]]
-                out.append((doc, c.id, mate.id, 0.7, None))
-                if c.label is not None and (renew or c.label not in known):
-                    known[c.label] = mate
-        out += [(doc, None, v.id, None, label) for label, v in known.items()]
-        return pd.DataFrame(out, columns=["doc_id", "src", "dst", "confidence", "label"])
-
-    kind = elements.schema["doc_id"].dataType.simpleString()
     extent = F.max("y1").over(Window.partitionBy("doc_id"))
-    d = elements.withColumn("extent", extent).filter("kind IN ('visual', 'caption')")
-    d = d.select("doc_id", "id", "ord", "page", "kind", "label", "y0", "y1", "extent")
-    return d.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, src string, dst string, confidence double, label string")
+    d = elements.withColumn("extent", extent)
+    visuals = d.filter("kind = 'visual'").select("doc_id", "id", "ord", "page", "labels", "y0", "y1")
+    own = cut(own_labels(visuals))
+    captions = d.filter("kind = 'caption'").select("doc_id", F.col("id").alias("src"), F.col("ord").alias("at"), "page", "label", F.col("y0").alias("c0"), F.col("y1").alias("c1"), "extent")
+    gap = F.greatest(F.col("y0") - F.col("c1"), F.col("c0") - F.col("y1"), F.lit(0.0))
+    limit = F.lit(within) if share is None else share * F.col("extent")
+    near = captions.join(visuals.drop("labels"), ["doc_id", "page"]).withColumn("gap", gap).filter(F.col("gap") < limit)
+    near = near.groupBy("doc_id", "src").agg(F.min(F.struct("gap", "ord", "id")).alias("n")).select("doc_id", "src", F.col("n.id").alias("near"))
+    own_of = own.select("doc_id", "label", F.col("id").alias("own"), F.col("page").alias("own_page"))
+    d = captions.join(near, ["doc_id", "src"], "left").join(own_of, ["doc_id", "label"], "left")
+    w = Window.partitionBy("doc_id", "label").orderBy("at")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    if renew:
+        # The page that the label was last left on: that of the last caption before with a near visual, else the visual's own.
+        page = F.coalesce(F.last(F.when(F.col("near").isNotNull(), F.col("page")), ignorenulls=True).over(before), F.col("own_page"))
+        d = d.withColumn("left", page).withColumn("takes", F.when(F.col("near").isNotNull() & ~F.coalesce(F.col("left") == F.col("page"), F.lit(False)), F.col("near")))
+        known = F.coalesce(F.last("takes", ignorenulls=True).over(before), F.col("own"))
+        d = d.withColumn("known", F.when(F.col("left") == F.col("page"), known))
+    else:
+        first = F.first(F.when(F.col("near").isNotNull(), F.struct("near", "page")), ignorenulls=True).over(before)
+        d = d.withColumn("first", first).withColumn("takes", F.when(F.col("own").isNull() & F.col("first").isNull(), F.col("near")))
+        at = F.coalesce("own_page", F.col("first.page"))
+        d = d.withColumn("known", F.when(at == F.col("page"), F.coalesce("own", F.col("first.near"))))
+    d = cut(d.withColumn("known", F.when(F.col("label").isNotNull(), F.col("known"))))
+    edges = d.withColumn("dst", F.coalesce("known", "near")).filter("dst IS NOT NULL")
+    edges = edges.select("doc_id", "src", "dst", F.when(F.col("known").isNotNull(), 1.0).otherwise(0.7).alias("confidence"), F.lit(None).cast("string").alias("label"))
+    # What labels mean in the end: the last visual that a caption left one on, else the visual's own.
+    taken = d.filter("label IS NOT NULL AND takes IS NOT NULL").groupBy("doc_id", "label").agg(F.max_by("takes", "at").alias("taken"))
+    labels = own.select("doc_id", "label", "id").join(taken, ["doc_id", "label"], "full")
+    final = F.coalesce("taken", "id") if renew else F.coalesce("id", "taken")
+    return edges.unionByName(labels.select("doc_id", F.lit(None).cast("string").alias("src"), final.alias("dst"), F.lit(None).cast("double").alias("confidence"), "label"))
 
 
 def named_edges(texts: DataFrame, labels: DataFrame, judge_citations: bool = True) -> DataFrame:
     """References (doc_id, src, dst, confidence) of texts (doc_id, id, text) to the visuals that labels (doc_id, label, dst)
-    tell, a row for each mention; 0.5 for one that begins the text with a citation near it."""
+    tell, a row for each mention; 0.5 for one that starts within the first 20 characters and has a citation near it."""
     d = texts.select("doc_id", F.col("id").alias("src"), F.explode(text.references_with_context(F.col("text"))).alias("r"))
     d = d.filter(F.col("r.label").rlike("^(figure|table) "))
     cited = F.rlike(F.col("r.around"), F.lit(r"(?i)\[[\d, ]+\]|\bet\s+al\b"))
-    early = F.length("r.before") < 8  # nothing else is told of the place; eight characters stand before any later one
-    sure = F.when(cited & early, 0.5).otherwise(0.9) if judge_citations else F.lit(0.9)
+    sure = F.when(cited & (F.col("r.start") < 20), 0.5).otherwise(0.9) if judge_citations else F.lit(0.9)
     d = d.select("doc_id", "src", F.replace("r.label", F.lit(" "), F.lit("")).alias("label"), sure.alias("confidence"))
     return d.join(labels, ["doc_id", "label"]).filter("src <> dst").select("doc_id", "src", "dst", "confidence")
 
@@ -183,15 +196,18 @@ def by_height(elements: DataFrame, down: bool = True) -> DataFrame:
 def page_graph(elements: DataFrame) -> DataFrame:
     """Edges of the older layout: caption_of, references, same_section, next and prev.
 
-    ``elements`` is (doc_id, id, ord, page, type, text, y0, y1). Texts that start like a caption are captions; images,
-    tables, equations and drawings are visuals.
+    ``elements`` is (doc_id, id, ord, page, type, text, y0, y1), and may have ocr_text and vlm_text, which name a visual whose text
+    does not, and stand in for a text that is empty (ocr_text). Texts that start like a caption are captions; images, tables,
+    equations and drawings are visuals.
     """
     visual = F.col("type").isin("image", "figure", "table", "equation", "drawing")
+    other = [c for c in ("ocr_text", "vlm_text") if c in elements.columns]
+    body = F.coalesce(F.nullif("text", F.lit("")), "ocr_text") if "ocr_text" in other else F.col("text")
+    named = F.array(*[text.inline_label(F.col(c)) for c in ("text", *other)])
     shaped = F.when(F.col("type") == "text", text.caption_label(F.col("text")))
-    d = elements.withColumns({"kind": F.when(visual, "visual").when(shaped.isNotNull(), "caption"),
-                              "label": F.when(visual, text.inline_label(F.col("text"))).otherwise(shaped)})
+    d = elements.withColumns({"kind": F.when(visual, "visual").when(shaped.isNotNull(), "caption"), "label": shaped, "labels": F.when(visual, named)})
     found = cut(captions_of(d))
-    texts = d.filter("type = 'text' AND text <> ''")
+    texts = d.withColumn("text", body).filter("type = 'text' AND text <> ''")
     refs = named_edges(texts, found.filter("src IS NULL").select("doc_id", "label", "dst"))
     steps = sections.adjacent(by_height(elements), ["doc_id"], "next").select(*EDGE)
     back = steps.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("prev").alias("type"), "confidence", "bidirectional")
@@ -203,7 +219,7 @@ def extracted_graph(elements: DataFrame) -> DataFrame:
     """Edges of extracted papers: captions of their own kind within a hundred points, and references at 0.9."""
     visual = F.col("type").isin("image", "figure", "table")
     label = text.inline_label(F.col("text"))
-    d = elements.withColumns({"kind": F.when(visual, "visual").when(F.col("type") == "caption", "caption"), "label": label})
+    d = elements.withColumns({"kind": F.when(visual, "visual").when(F.col("type") == "caption", "caption"), "label": label, "labels": F.array(label)})
     found = cut(captions_of(d, share=None, renew=True))
     refs = named_edges(d.filter("type = 'text'"), found.filter("src IS NULL").select("doc_id", "label", "dst"), judge_citations=False)
     told = lambda x, kind: x.select("doc_id", "src", "dst", F.lit(kind).alias("type"), "confidence", F.lit(False).alias("bidirectional"))

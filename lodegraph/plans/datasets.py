@@ -12,7 +12,7 @@ from ..operators.ranking import Window
 from ..schema import ELEMENT_TYPES, SECTION_ROLES
 from ..sources import datasets, files, reports
 from .base import query, source
-from .documents import _kind_sql, _role_sql, elements
+from .documents import _CAPTION, _INLINE, _WORD_REF, _kind_sql, _label_sql, _role_sql, elements
 from .graphs import folder
 from .retrieval import SCORED, TRUTH, ranked, truth
 
@@ -266,17 +266,46 @@ def page_graph_order(spark, sf_dir):
     return d.select("doc_id", "src", "dst", "type")
 
 
-@query()
+def _links_sql(caption: str, label: str, limit: str, renew: bool, judge: str) -> str:
+    """Captions and references of the older layouts: what a label means follows from the captions before, as windows over them."""
+    known = """l0 AS (SELECT *, coalesce(last_value(CASE WHEN near IS NOT NULL THEN page END IGNORE NULLS) OVER w, own_page) AS lastp FROM k0
+  WINDOW w AS (PARTITION BY doc_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l1 AS (SELECT *, CASE WHEN near IS NOT NULL AND NOT coalesce(lastp = page, false) THEN near END AS takes FROM l0),
+l2 AS (SELECT *, CASE WHEN label IS NOT NULL AND lastp = page THEN coalesce(last_value(takes IGNORE NULLS) OVER w, own) END AS known FROM l1
+  WINDOW w AS (PARTITION BY doc_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l3 AS (SELECT doc_id, label, max_by(takes, ord) AS taken FROM l2 WHERE takes IS NOT NULL GROUP BY 1, 2),""" if renew else """l0 AS (SELECT *, first_value(near IGNORE NULLS) OVER w AS fn, first_value(CASE WHEN near IS NOT NULL THEN page END IGNORE NULLS) OVER w AS fp FROM k0
+  WINDOW w AS (PARTITION BY doc_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l2 AS (SELECT *, CASE WHEN own IS NULL AND fn IS NULL THEN near END AS takes, CASE WHEN label IS NOT NULL AND coalesce(own_page, fp) = page THEN coalesce(own, fn) END AS known FROM l0),
+l3 AS (SELECT doc_id, label, max_by(takes, ord) AS taken FROM l2 WHERE takes IS NOT NULL GROUP BY 1, 2),"""
+    return rf"""pe AS (SELECT doc_id, id, ord, page, y0, y1, type AS raw, CASE WHEN type IN ('caption', 'section_header') THEN 'text' ELSE type END AS type, CASE WHEN type = 'text' THEN body ELSE caption END AS words FROM element),
+vi AS (SELECT *, {_label_sql('words', _INLINE, '')} AS label FROM pe WHERE type IN ('figure', 'table')),
+ow AS (SELECT doc_id, label, min_by(id, ord) AS own, min_by(page, ord) AS own_page FROM vi WHERE label IS NOT NULL GROUP BY 1, 2),
+ex AS (SELECT doc_id, max(y1) AS extent FROM pe GROUP BY 1),
+ca AS (SELECT *, {label} AS label FROM pe WHERE {caption}),
+ne AS (SELECT ca.doc_id, ca.id, vi.id AS near FROM ca JOIN vi ON ca.doc_id = vi.doc_id AND ca.page = vi.page JOIN ex ON ca.doc_id = ex.doc_id
+  WHERE greatest(vi.y0 - ca.y1, ca.y0 - vi.y1, 0) < {limit} QUALIFY row_number() OVER (PARTITION BY ca.doc_id, ca.id ORDER BY greatest(vi.y0 - ca.y1, ca.y0 - vi.y1, 0), vi.ord) = 1),
+k0 AS (SELECT ca.doc_id, ca.id, ca.ord, ca.page, ca.label, near, own, own_page FROM ca LEFT JOIN ne ON ca.doc_id = ne.doc_id AND ca.id = ne.id LEFT JOIN ow ON ca.doc_id = ow.doc_id AND ca.label = ow.label),
+{known}
+la AS (SELECT coalesce(ow.doc_id, l3.doc_id) AS doc_id, coalesce(ow.label, l3.label) AS label, {"coalesce(taken, own)" if renew else "coalesce(own, taken)"} AS dst FROM ow FULL JOIN l3 ON ow.doc_id = l3.doc_id AND ow.label = l3.label),
+r0 AS (SELECT doc_id, id, words, regexp_extract_all(words, '{_WORD_REF}') AS m, regexp_split_to_array(words, '{_WORD_REF}') AS g FROM pe WHERE {judge}),
+r1 AS (SELECT doc_id, id, words, m, unnest(range(1, len(m) + 1)) AS i, list_sum([length(x) FOR x IN g[1:i]]) + list_sum([length(x) FOR x IN m[1:i - 1]] || [0]) AS beg FROM r0),
+r2 AS (SELECT doc_id, id, m[i] AS t, beg, substr(words, (greatest(beg - 50, 0) + 1)::INT, (beg + length(m[i]) + 50 - greatest(beg - 50, 0))::INT) AS around FROM r1),
+r3 AS (SELECT doc_id, id, concat({_kind_sql("regexp_extract(t, '^([A-Za-z]+[.]?)', 1)")}, regexp_extract(t, '([0-9.]+)$', 1)) AS label, beg < 20 AND regexp_matches(around, '(?i)\[[\d, ]+\]|\bet\s+al\b') AS doubt FROM r2)
+SELECT doc_id, id AS src, coalesce(known, near) AS dst, 'caption_of' AS type, CASE WHEN known IS NOT NULL THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM l2 WHERE coalesce(known, near) IS NOT NULL
+UNION ALL SELECT r3.doc_id, r3.id, la.dst, 'references', {"0.9::DOUBLE" if renew else "CASE WHEN doubt THEN 0.5 ELSE 0.9 END::DOUBLE"} FROM r3 JOIN la ON r3.doc_id = la.doc_id AND r3.label = la.label WHERE r3.id <> la.dst"""
+
+
+@query("WITH " + _links_sql(f"type = 'text' AND {_label_sql('words', _CAPTION, '')} IS NOT NULL", _label_sql("words", _CAPTION, ""), "0.05 * extent", False, "type = 'text' AND words <> ''"))
 def page_graph_links(spark, sf_dir):
-    """Its captions and references, which hang on the captions before; tests hold them against a plain version."""
-    return papers.page_graph(_page_elements(spark, sf_dir)).filter("type IN ('caption_of', 'references')").groupBy("type", "confidence").agg(F.count("*").alias("n"))
+    """Captions and references of the older graph."""
+    return papers.page_graph(_page_elements(spark, sf_dir)).filter("type IN ('caption_of', 'references')").select("doc_id", "src", "dst", "type", "confidence")
 
 
-@query()
+@query("WITH " + _links_sql("raw = 'caption'", _label_sql("words", _INLINE, ""), "100", True, "type = 'text' AND raw <> 'caption'"))
 def extracted_graph_links(spark, sf_dir):
     d = _page_elements(spark, sf_dir).join(elements(spark, sf_dir).select("id", F.col("type").alias("raw")), "id")
     d = d.withColumn("type", F.when(F.col("raw") == "caption", "caption").otherwise(F.col("type"))).drop("raw")
-    return papers.extracted_graph(d).groupBy("type", "confidence").agg(F.count("*").alias("n"))
+    return papers.extracted_graph(d).select("doc_id", "src", "dst", "type", "confidence")
 
 
 @query("""WITH g AS (SELECT *, sum((p % 4 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM element)

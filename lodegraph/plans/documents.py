@@ -122,14 +122,14 @@ _CITED = r"\[\d+(?:,\s*\d+)*\]"
 
 @query(f"""WITH r0 AS (SELECT id, body, regexp_extract_all(body, '{_WORD_REF}') AS m, regexp_split_to_array(body, '{_WORD_REF}') AS g FROM element WHERE type = 'text'),
 r1 AS (SELECT id, body, m, unnest(range(1, len(m) + 1)) AS i, list_sum([length(x) FOR x IN g[1:i]]) + list_sum([length(x) FOR x IN m[1:i - 1]] || [0]) AS beg FROM r0),
-r2 AS (SELECT id, m[i] AS t, substr(body, (greatest(beg - 8, 0) + 1)::INT, (beg - greatest(beg - 8, 0))::INT) AS before,
+r2 AS (SELECT id, m[i] AS t, beg, substr(body, (greatest(beg - 8, 0) + 1)::INT, (beg - greatest(beg - 8, 0))::INT) AS before,
   substr(body, (greatest(beg - 50, 0) + 1)::INT, (beg + length(m[i]) + 50 - greatest(beg - 50, 0))::INT) AS around FROM r1)
 SELECT id, concat({_kind_sql("regexp_extract(t, '^([A-Za-z]+[.]?)', 1)")}, ' ', regexp_extract(t, '([0-9.]+)$', 1)) AS label,
- CASE WHEN regexp_matches(around, '{_CITED}') THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM r2 WHERE NOT regexp_matches(before, '{_CITED}')""")
+ CASE WHEN regexp_matches(around, '{_CITED}') AND beg < 20 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM r2 WHERE NOT regexp_matches(before, '{_CITED}')""")
 def references_uncited(spark, sf_dir):
-    """References that no citation stands right before; the confidence is lower with one in the wider context."""
+    """References that no citation stands right before; the confidence is lower for one near the start with a citation in reach."""
     d = elements(spark, sf_dir).filter("type = 'text'").select("id", F.explode(text.references_with_context(F.col("body"))).alias("r"))
-    return d.filter(~text.cited(F.col("r.before"))).select("id", "r.label", F.when(text.cited(F.col("r.around")), 0.5).otherwise(0.9).alias("confidence"))
+    return d.filter(~text.cited(F.col("r.before"))).select("id", "r.label", F.when(text.cited(F.col("r.around")) & (F.col("r.start") < 20), 0.5).otherwise(0.9).alias("confidence"))
 
 
 @query(r"""SELECT DISTINCT caption, lower(trim(regexp_replace(regexp_replace(caption, '^\s*(?i:figure|fig\.?|table|tab\.?)\s*[0-9]+(?:\.[0-9]+)?[:.]\s*', ''), '\s+', ' ', 'g'))) AS normal,

@@ -4,6 +4,7 @@ import json
 import random
 import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,8 +44,9 @@ def plain_links(rows, limit, own, shaped, renew, judge):
         for m in ANYWHERE.finditer(r[3]) if r[2] == "text" else ():
             name = ("figure" if m[1].lower().startswith("fig") else "table") + m[2]
             if name in known and known[name][0] != r[0]:
-                around = r[3][max(0, m.start() - 50) : m.end() + 50]
-                early = judge and m.start() < 8 and re.search(r"(?i)\[[\d, ]+\]|\bet\s+al\b", around)
+                begin = max(0, m.start() - 50)
+                around = r[3][begin : m.end() + 50]
+                early = judge and m.start() - begin < 20 and re.search(r"(?i)\[[\d, ]+\]|\bet\s+al\b", around)
                 out.append((r[0], known[name][0], "references", 0.5 if early else 0.9))
     return sorted(out)
 
@@ -54,7 +56,8 @@ def made(seed):
     for doc in "ab":
         for i in range(90):
             kind = r.choice(["text", "text", "text", "figure", "table", "caption"])
-            words = r.choice(["Figure 1: a plot", "Table 2. Rows", "see Fig. 3 and Table 2 [4]", "Fig 1 by Some et al", "nothing here", "", "as Figure 2 shows [1], and Table 1", "Tab. 3: x"])
+            words = r.choice(["Figure 1: a plot", "Table 2. Rows", "see Fig. 3 and Table 2 [4]", "Fig 1 by Some et al", "nothing here", "", "as Figure 2 shows [1], and Table 1", "Tab. 3: x",
+                              "12345678 Figure 1 [3]", "seventeen letters Table 2 [1, 2]", "nineteen characters Fig. 2 [5]", "twenty characters so Fig. 2 [5]", "x" * 60 + " Figure 3 [4]"])
             y = r.randint(0, 700)
             rows.append((doc, f"{doc}{i}", i, i // 9, kind, words, float(y), float(y + r.randint(5, 80))))
     return rows
@@ -85,6 +88,60 @@ def test_extracted_graph(spark, seed):
         assert sorted(got[doc]) == plain_links(own, 100, ANYWHERE, lambda r: r[2] == "caption", True, False)
 
 
+def test_visuals_are_named_by_their_first_free_label(spark):
+    """By the text, else what was read off the picture, else what a model says; labels that an earlier visual has are taken."""
+    rows = [("d", "v1", 0, "Figure 1", None, None), ("d", "v2", 1, "Figure 1", "Table 2", None), ("d", "v3", 2, None, "Figure 1", "see fig. 3"), ("d", "v4", 3, "Table 2", None, "Figure 1")]
+    df = spark.createDataFrame([(*x[:3], 0, "image", *x[3:], 1000.0 + 100 * x[2], 1010.0 + 100 * x[2]) for x in rows] + [("d", "t", 9, 1, "text", "", "Figure 3 and table 2", None, 5.0, 6.0)],
+                               "doc_id string, id string, ord int, page int, type string, text string, ocr_text string, vlm_text string, y0 double, y1 double")
+    got = {(e.src, e.dst, e.confidence) for e in papers.page_graph(df).filter("type = 'references'").collect()}
+    assert got == {("t", "v3", 0.9), ("t", "v2", 0.9)}
+
+
+def test_references_with_context(spark):
+    r = random.Random(8)
+    pattern = re.compile(r"(?i)(?<![^\W])(figure|fig\.?|table|tab\.?|equation|eq\.?)\s*(\d+(?:\.\d+)?)")
+    texts = ["".join(r.choice(["Fig. 1", "eq 2", "Table 3.1", " ", "word ", "[3] ", "long " * 30, "é日 "]) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["", None, "fig 1 " * 700]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.references_with_context(F.col("t")).alias("r"))
+    for row in d.collect():
+        t = texts[row.i]
+        want = [(m.start(), t[max(0, m.start() - 8) : m.start()], t[max(0, m.start() - 50) : m.end() + 50]) for m in pattern.finditer(t or "")]
+        assert [(x.start, x.before, x.around) for x in row.r or []] == want
+
+
+def test_choose_in_turn(spark):
+    r = random.Random(5)
+    rows = [(d, f"w{w}", w, i, f"x{x}") for d in range(8) for w in range(12) for i, x in enumerate(r.sample(range(10), r.randint(0, 6)))]
+    got = {(x.doc_id, x.who): x.what for x in linking.choose_in_turn(spark.createDataFrame(rows, "doc_id int, who string, turn int, wish int, what string")).collect()}
+    want, taken = {}, set()
+    for d, who, _, _, what in sorted(rows, key=lambda x: (x[0], x[2], x[3])):
+        if (d, who) not in want and (d, what) not in taken:
+            want[(d, who)] = what
+            taken.add((d, what))
+    assert got == want
+
+
+def test_greedy_assignment_and_fuzzy_captions_against_plain(spark):
+    r = random.Random(6)
+    words = lambda: " ".join(r.choices(["one", "two", "three", "plot", "of", "rows", "data"], k=r.randint(0, 7)))
+    es = [(d, f"e{i}", r.choice(["figure", "table"]), words(), i) for d in range(4) for i in range(15)]
+    fs = [(d, f"f{i}", r.choice(["figure", "table"]), words(), i) for d in range(4) for i in range(12)]
+    same = lambda a, b: SequenceMatcher(None, a[:200], b[:200]).ratio()
+    want = {}
+    for d in range(4):
+        free = [f for f in fs if f[0] == d]
+        for e in [e for e in es if e[0] == d]:
+            best = max(((same(e[3], f[3]), -f[4], f) for f in free if f[2] == e[2] and e[3] and f[3]), default=None)
+            if best and best[0] >= 0.6:
+                want[(d, e[1])] = best[2][1]
+                free.remove(best[2])
+    e, f = (spark.createDataFrame(x, f"doc_id int, {n} string, type string, text string, ord int") for x, n in ((es, "id"), (fs, "file")))
+    assert {(x.doc_id, x.id): x.file for x in linking.assign_greedily(e, f).collect()} == want and len(want) > 10
+    got = {(x.doc_id, x.file): (x.id, round(x.similarity, 9)) for x in linking.fuzzy_captions(f.withColumn("label", F.col("type")), e.withColumn("label", F.col("type"))).collect()}
+    for d, file, kind, t, _ in fs:
+        score = max(((0.3 * (kind == x[2]) + 0.7 * same(t, x[3]) if t and x[3] else float(kind == x[2]), -x[4], x[1]) for x in es if x[0] == d))
+        assert got.get((d, file)) == ((score[2], round(score[0], 9)) if score[0] >= 0.3 else None)
+
+
 def test_connected_against_plain(spark):
     r = random.Random(6)
     pairs = [(f"n{r.randrange(80):02d}", f"n{r.randrange(80):02d}") for _ in range(60)] + [(f"z{i:03d}", f"z{i + 1:03d}") for i in range(150)]
