@@ -73,23 +73,44 @@ def answered_queries_read(spark, sf_dir):
     return out.select("qid", "doc_id", F.size("gt").alias("n_gt"), F.get("gt", F.lit(0)).alias("first"), F.get("gt_pages", F.lit(0)).alias("gt_page"))
 
 
+def _files(spark, d: DataFrame, by: str) -> str:
+    """A folder with a file for each row (by, value)."""
+    path = folder(spark)
+    d.select(by, "value").repartition(by).write.partitionBy(by).text(path)
+    return path
+
+
 def _papers(spark, sf_dir) -> DataFrame:
-    """Papers read back from JSON lines: their figures, and a question for each second one and one without a figure."""
+    """Papers read back from files of ten papers each: figures by file, and a question for each second one, whose reference is a
+    string, null, or a list."""
     d = elements(spark, sf_dir).filter("type IN ('figure', 'table')")
-    fig = F.struct("ord", F.col("id").alias("file"), "caption", F.when(F.col("type") == "table", "table").alias("content_type"))
-    qa = F.struct("ord", F.concat(F.lit("what is "), "title").alias("question"), F.col("title").alias("answer"), F.when(F.col("q") % 4 == 0, F.col("id")).alias("reference"))
-    rest = lambda c, *names: F.transform(F.sort_array(F.collect_list(c)), lambda x: F.struct(*[x[n].alias(n) for n in names]))
-    rows = d.groupBy(_doc()).agg(rest(fig, "file", "caption", "content_type").alias("all_figures"),
-                                 rest(F.when(F.col("q") % 2 == 0, qa), "question", "answer", "reference").alias("qa"))
-    return datasets.papers(spark, _lines(spark, rows))
+    fig = F.struct("ord", F.struct("id", F.struct("caption", F.when(F.col("type") == "table", "table").alias("content_type"))).alias("x"))
+    string = F.concat(F.lit('"'), "id", F.lit('"'))
+    reference = F.when(F.col("q") % 4 == 0, string).when(F.col("q") % 8 == 2, F.concat(F.lit("["), string, F.lit("]"))).otherwise("null")
+    qa = F.struct("ord", F.format_string('{"question": "what is %s", "answer": "%s", "reference": %s}', "title", "title", reference).alias("x"))
+    rest = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda y: y["x"])
+    rows = d.groupBy("doc_id").agg(rest(fig).alias("f"), rest(F.when(F.col("q") % 2 == 0, qa)).alias("qa"))
+    paper = F.format_string('"%s": {"all_figures": %s, "qa": [%s]}', "doc_id", F.to_json(F.map_from_entries("f")), F.array_join("qa", ", "))
+    rows = rows.groupBy(F.floor(F.col("doc_id") / 10).alias("book")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(paper), ", "), F.lit("}")).alias("value"))
+    return datasets.papers(spark, _files(spark, rows, "book"), "*.txt")
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM element WHERE type IN ('figure', 'table') AND q % 2 = 0)
+SELECT concat(CAST(doc_id AS STRING), '_q', CAST(i AS STRING)) AS qid, CAST(doc_id AS STRING) AS doc_id, concat('what is ', title) AS query, id AS gt FROM f WHERE q % 4 = 0""")
+def paper_questions_read(spark, sf_dir):
+    """Questions that refer to a figure by a string."""
+    return datasets.referring_questions(_papers(spark, sf_dir)).select("qid", "doc_id", "query", F.get("gt", F.lit(0)).alias("gt"))
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM element WHERE type IN ('figure', 'table') AND q % 2 = 0)
-SELECT concat(CAST(doc_id AS STRING), '_', lpad(CAST(i AS STRING), CASE WHEN i < 100 THEN 2 ELSE 3 END, '0')) AS qid, concat('what is ', title) AS query, concat('el_', id) AS gt FROM f WHERE q % 4 = 0 AND ord % 2 = 0""")
+SELECT concat('spiqa_', CAST(doc_id AS STRING), '_', lpad(CAST(i AS STRING), CASE WHEN i < 100 THEN 2 ELSE 3 END, '0')) AS qid, concat('what is ', title) AS query, concat('el_', id) AS gt FROM f WHERE q % 4 = 0 AND ord % 2 = 0""")
 def paper_questions_mapped(spark, sf_dir):
-    """Questions whose figure was matched to an element."""
-    made = elements(spark, sf_dir).filter("ord % 2 = 0").select(F.col("id").alias("file"), F.concat(F.lit("el_"), "id").alias("id"))
-    out = datasets.mapped_questions(datasets.paper_questions(_papers(spark, sf_dir)), made)
+    """Questions whose figure was matched to an element, as a file of matches tells."""
+    made = elements(spark, sf_dir).filter("ord % 2 = 0")
+    entry = F.format_string('"%s": {"eid": "el_%s", "similarity": 0.9}', "id", "id")
+    made = made.groupBy(F.floor(F.col("doc_id") / 10).alias("book")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    mapping = datasets.figure_mapping(spark, _files(spark, made, "book"), "*.txt")
+    out = datasets.mapped_questions(datasets.paper_questions(_papers(spark, sf_dir), datasets.MAPPED), mapping)
     return out.select("qid", "query", F.get("gt", F.lit(0)).alias("gt"))
 
 
@@ -142,9 +163,9 @@ def content_list_read(spark, sf_dir):
     caption = lambda t: F.when(c("type") == t, F.array("caption"))
     entry = F.struct("ord", F.struct(kind.alias("type"), F.when(head, c("level")).alias("text_level"), F.when(head, c("title")).otherwise(c("body")).alias("text"),
                                      c("page").alias("page_idx"), caption("figure").alias("image_caption"), caption("table").alias("table_caption")).alias("x"))
-    rows = d.groupBy(_doc()).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda y: y["x"]).alias("entries"))
+    rows = d.groupBy("doc_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda y: y["x"])).alias("value"))
     figures = d.filter("type IN ('figure', 'table')").select(_doc(), "ord", "id", "caption")
-    out = datasets.content_list(spark, _lines(spark, rows), figures)
+    out = datasets.content_list(spark, _files(spark, rows, "doc_id"), figures, r"/doc_id=([^/]+)/", "*.txt")
     return out.select("id", "type", F.array_join(F.transform("section_path", lambda x: x.cast("string")), ".").alias("path"), "section_role", "page", "label", "file")
 
 

@@ -13,10 +13,10 @@ FLAT = ("doc_id string, eid string, type string, text string, ocr_text string, v
         "image_b64 string")
 PAGE = ("doc_id string, page int, elements array<struct<eid: string, type: string, text: string, bbox_img: array<double>, "
         "bbox_pdf: array<double>>>")
-PAPER = ("doc_id string, all_figures array<struct<file: string, caption: string, content_type: string>>, "
-         "qa array<struct<question: string, answer: string, reference: string>>")
-CONTENT = ("doc_id string, entries array<struct<type: string, text_level: int, text: string, page_idx: int, "
-           "image_caption: array<string>, table_caption: array<string>>>")
+PAPERS = ("map<string, struct<all_figures: map<string, struct<caption: string, content_type: string>>, "
+          "qa: array<struct<question: string, answer: string, reference: variant>>>>")
+CONTENT = ("array<struct<type: string, text_level: int, text: string, page_idx: int, image_caption: array<string>, "
+           "table_caption: array<string>>>")
 PAGE_GRAPH = ("map<string, struct<nodes: array<string>, edges: array<struct<src: string, dst: string, type: string, "
               "weight: double, confidence: double>>>>")
 
@@ -58,24 +58,55 @@ def answered(queries: DataFrame, elements: DataFrame | None = None) -> DataFrame
     return d if elements is None else d.join(elements.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def papers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAPER).json(path, mode="DROPMALFORMED")
+def whole_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
+    """(path, value) of files that are one JSON value each, over however many lines; files that are none are left out."""
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    return d.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("value")).filter("value IS NOT NULL")
+
+
+def papers(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(doc_id, all_figures, qa) of files with one object {paper: {all_figures: {file: {caption, content_type}}, qa: [..]}} each.
+
+    Objects become maps of any width, in the order of the file. A question refers to a figure only by a string; a
+    reference of another kind, such as a list, is none.
+    """
+    d = whole_json(spark, path, PAPERS, glob).select(F.explode("value").alias("doc_id", "p"))
+    figures = F.transform(F.map_entries("p.all_figures"), lambda e: F.struct(e["key"].alias("file"), e["value"]["caption"].alias("caption"), e["value"]["content_type"].alias("content_type")))
+    one = lambda r: F.when(F.schema_of_variant(r) == "STRING", F.variant_get(r, "$", "string"))
+    asked = F.transform("p.qa", lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"), one(q["reference"]).alias("reference")))
+    return d.select("doc_id", figures.alias("all_figures"), asked.alias("qa"))
 
 
 def paper_figures(papers: DataFrame) -> DataFrame:
-    """(doc_id, ord, id, type, caption) of the figures and tables of papers."""
+    """(doc_id, ord, id, type, caption) of the figures and tables of papers, in their order."""
     d = papers.select("doc_id", F.posexplode("all_figures").alias("ord", "f"))
     return d.select("doc_id", "ord", F.col("f.file").alias("id"), F.coalesce("f.content_type", F.lit("figure")).alias("type"),
                     F.coalesce("f.caption", F.lit("")).alias("caption"))
 
 
-def paper_questions(papers: DataFrame) -> DataFrame:
-    """(qid, doc_id, query, answer, reference) of the questions of papers."""
+def paper_questions(papers: DataFrame, name: str = "%s_q%d") -> DataFrame:
+    """(qid, doc_id, query, answer, reference) of the questions of papers; ``name`` makes a qid of paper and place, from 0."""
     d = papers.select("doc_id", F.posexplode("qa").alias("i", "q"))
-    return d.select(F.format_string("%s_%02d", "doc_id", "i").alias("qid"), "doc_id", F.col("q.question").alias("query"),
+    return d.select(F.format_string(name, "doc_id", "i").alias("qid"), "doc_id", F.col("q.question").alias("query"),
                     F.col("q.answer").alias("answer"), F.col("q.reference").alias("reference"))
 
 
+def referring_questions(papers: DataFrame) -> DataFrame:
+    """(qid, doc_id, query, answer, gt): questions that refer to a figure, which is their ground truth."""
+    d = paper_questions(papers).filter("reference IS NOT NULL")
+    return d.select("qid", "doc_id", "query", "answer", F.array("reference").alias("gt"))
+
+
+def figure_mapping(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(file, id) of files with one object {file: {eid: id, ..}} each: the elements that figures were matched to."""
+    d = whole_json(spark, path, "map<string, struct<eid: string>>", glob).select(F.explode("value").alias("file", "m"))
+    return d.select("file", F.col("m.eid").alias("id")).filter("id IS NOT NULL")
+
+
+#: How questions of papers whose figures were matched to elements are named.
+MAPPED = "spiqa_%s_%02d"
+
+
 def mapped_questions(questions: DataFrame, mapping: DataFrame) -> DataFrame:
     """Questions whose figure (file) was matched to an element (id): the element is their ground truth; others go."""
     m = mapping.select(F.col("file").alias("reference"), F.array("id").alias("gt"))
@@ -127,15 +158,16 @@ def page_graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, d.select("doc_id", F.posexplode("g.edges").alias("ord", "e")).select("doc_id", "ord", "e.*")
 
 
-def content_list(spark: SparkSession, path: str, figures: DataFrame | None = None) -> DataFrame:
-    """(doc_id, id, type, section_path, section_role, page, label, file) of JSON lines with a document's entries each.
+def content_list(spark: SparkSession, path: str, figures: DataFrame | None = None, name: str = r"([^/]+)_content_list\.json$", glob: str = "*_content_list.json") -> DataFrame:
+    """(doc_id, id, type, section_path, section_role, page, label, file) of files with one JSON array of entries each, anywhere
+    below ``path``; ``name`` finds a file's document in its path.
 
     A text with a level is a heading: a path of ones, an entry deeper than the last one's at most; its role counts down to
     the next heading of level one or two. Other texts, images and tables are elements; their path ends with their place
     behind the heading. ``figures`` (doc_id, ord, id, caption) give the first file whose caption has an element's label.
     """
-    d = spark.read.schema(CONTENT).json(path, mode="DROPMALFORMED")
-    d = d.select("doc_id", F.posexplode("entries").alias("at", "e")).select("doc_id", "at", "e.*")
+    d = whole_json(spark, path, CONTENT, glob).select(F.regexp_extract("path", name, 1).alias("doc_id"), F.posexplode("value").alias("at", "e"))
+    d = d.filter("doc_id <> ''").select("doc_id", "at", "e.*")
     head = (F.col("type") == "text") & F.col("text_level").isNotNull()
     w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     d = d.filter(head | F.col("type").isin("text", "image", "table"))

@@ -182,6 +182,33 @@ def test_paper_graph_without_source_and_by_votes(spark):
     assert kinds["b-Table1-1.png"] == ("table", "table 1") and kinds["b__sec00"] == ("section_header", "Untitled") and kinds["x.png"] == ("figure", None)
 
 
+def test_files_of_papers_and_content_lists(spark, tmp_path):
+    """One object keyed by paper over many lines, a file of matches, and an array of entries in a paper's own folder."""
+    (tmp_path / "p").mkdir()
+    book = {"p1": {"all_figures": {"z.png": {"caption": "Figure 1: z", "content_type": "figure"}, "a.png": {"caption": "Table 2: a", "content_type": "table"}, "b.png": {}},
+                   "qa": [{"question": "q0", "answer": "x", "reference": "a.png"}, {"question": "q1", "answer": "y", "reference": ["a.png"]}, {"question": "q2", "answer": None, "reference": None}, {"question": "q3", "answer": "z", "reference": "z.png"}]},
+            "p2": {"all_figures": {}, "qa": []}, "p3": {"all_figures": {"c.png": {"caption": None}}}}
+    (tmp_path / "p/book.json").write_text(json.dumps(book, indent=1))
+    (tmp_path / "p/bad.json").write_text("{no")
+    d = datasets.papers(spark, str(tmp_path / "p"))
+    assert [tuple(r) for r in datasets.paper_figures(d).orderBy("doc_id", "ord").collect()] == [
+        ("p1", 0, "z.png", "figure", "Figure 1: z"), ("p1", 1, "a.png", "table", "Table 2: a"), ("p1", 2, "b.png", "figure", ""), ("p3", 0, "c.png", "figure", "")]
+    assert [tuple(r) for r in datasets.referring_questions(d).orderBy("qid").collect()] == [("p1_q0", "p1", "q0", "x", ["a.png"]), ("p1_q3", "p1", "q3", "z", ["z.png"])]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/map.json").write_text(json.dumps({"a.png": {"eid": "e9", "similarity": 0.8}, "other.png": {"eid": "e1"}}))
+    mapped = datasets.mapped_questions(datasets.paper_questions(d, datasets.MAPPED), datasets.figure_mapping(spark, str(tmp_path / "m")))
+    assert [tuple(r) for r in mapped.collect()] == [("spiqa_p1_00", "p1", "q0", "x", ["e9"])]
+    (tmp_path / "c/p1/auto").mkdir(parents=True)
+    entries = [{"type": "text", "text": "first"}, {"type": "text", "text": "Method", "text_level": 1}, {"type": "image", "image_caption": ["Figure 1: z"], "page_idx": 3},
+               {"type": "equation"}, {"type": "table", "table_caption": []}, {"type": "text", "text": "words"}]
+    (tmp_path / "c/p1/auto/p1_content_list.json").write_text(json.dumps(entries, indent=2))
+    (tmp_path / "c/p1/auto/p1_middle.json").write_text("[]")
+    out = datasets.content_list(spark, str(tmp_path / "c"), datasets.paper_figures(d)).orderBy("id").collect()
+    assert [(r.doc_id, r.id, r.type, r.section_path, r.section_role, r.page, r.label, r.file) for r in out] == [
+        ("p1", "p1__image_001", "figure", [1, 1], "method", 3, "figure1", "z.png"), ("p1", "p1__para_000", "text", [1], "other", -1, None, None),
+        ("p1", "p1__para_003", "text", [1, 3], "method", -1, None, None), ("p1", "p1__table_002", "table", [1, 2], "method", -1, None, None)]
+
+
 def test_text_files_and_folders(spark, tmp_path):
     for folder, name, words in (("one", "a.tex", "A1"), ("two", "a.tex", "A2"), ("two", "b.tex", "B"), ("two", "c.txt", " x \n\n\n\n y\n"), ("two", "no.md", "z")):
         (tmp_path / folder).mkdir(exist_ok=True)
