@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -17,14 +18,29 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
 
 
-def paths_of(schema: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a type, sorted; ``[]`` stands for an array's elements."""
-    if isinstance(schema, T.StructType):
-        inner = [p for f in schema.fields for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name)]
-        return sorted(inner)
-    if isinstance(schema, T.ArrayType):
-        return paths_of(schema.elementType, f"{at}[]")
-    return [at]
+def tests_of(kind: T.DataType, at: str = "") -> list[tuple[str, Callable[[Column], Column]]]:
+    """Nested field paths of a type, each with what tells whether a value has it: ``[]`` behind a path stands for an array that is
+    there, and for its elements, one of which has to have what is below."""
+    if isinstance(kind, T.StructType):
+        inner = [(f.name, tests_of(f.dataType, f"{at}.{f.name}" if at else f.name)) for f in kind.fields]
+        return [(p, _field(g, name)) for name, found in inner for p, g in found]
+    if isinstance(kind, T.ArrayType):
+        below = [(p, _element(g)) for p, g in tests_of(kind.elementType, f"{at}[]") if p != f"{at}[]"]
+        return [(f"{at}[]", lambda c: c.isNotNull()), *below]
+    return [(at, lambda c: c.isNotNull())]
+
+
+def _field(test: Callable[[Column], Column], name: str) -> Callable[[Column], Column]:
+    return lambda c: test(c[name])
+
+
+def _element(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda c: F.coalesce(F.exists(c, test), F.lit(False))
+
+
+def paths_of(kind: T.DataType) -> list[str]:
+    """Nested field paths of a type, sorted."""
+    return sorted(p for p, _ in tests_of(kind))
 
 
 def fingerprint(paths: list[str]) -> str:
@@ -62,15 +78,18 @@ def _turn(role: str, text: str) -> str:
 #: that no layout names.
 MAPPINGS = (
     Mapping("turn rows", ("role", "text", "turn"), _turn("role", "text"), ("role", "text", "turn"), rows=True),
-    Mapping("messages", ("messages[].content", "messages[].role"),
-            "transform(messages, m -> " + _turn("m.role", "m.content") + ")"),
-    Mapping("from and value", ("conversations[].from", "conversations[].value"),
+    Mapping("messages", ("messages[]", "messages[].content", "messages[].role"),
+            "transform(messages, m -> " + _turn("m.role", "m.content") + ")", ("messages[].content", "messages[].role")),
+    Mapping("from and value", ("conversations[]", "conversations[].from", "conversations[].value"),
             "transform(conversations, m -> " + _turn(
-                "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END", "m.value") + ")"),
+                "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END", "m.value") + ")", ("conversations[].from", "conversations[].value")),
     Mapping("prompt and response", ("prompt", "response"),
             "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "response") + ")", ("response",)),
     Mapping("prompt and completion", ("completion", "prompt"),
             "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "completion") + ")", ("completion",)),
+    # Both answers: the completion counts.
+    Mapping("prompt, response and completion", ("completion", "prompt", "response"),
+            "array(" + _turn("'user'", "prompt") + ", " + _turn("'assistant'", "completion") + ")"),
     Mapping("instruction", ("input", "instruction", "output"),
             "array(" + _turn("'user'", "concat_ws('\\n', instruction, nullif(input, ''))") + ", "
             + _turn("'assistant'", "output") + ")", ("input", "output")),
@@ -78,32 +97,31 @@ MAPPINGS = (
 IDS = ("conv_id",)
 
 
-def fitting(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS, ids: tuple[str, ...] = IDS) -> list[Mapping]:
-    """The mappings whose paths a table has, those with most paths first. None is an error."""
+def inside(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS, ids: tuple[str, ...] = IDS) -> list[Mapping]:
+    """The mappings whose paths a table has, those with most paths first."""
     have = {p for p in paths_of(schema) if p not in ids}
-    inside = sorted((m for m in mappings if set(m.paths) <= have), key=lambda m: (-len(m.paths), m.name))
-    if not inside:
-        raise ValueError(f"no mapping has the fingerprint {fingerprint(list(have))} of {sorted(have)}")
-    return inside
+    return sorted((m for m in mappings if set(m.paths) <= have), key=lambda m: (-len(m.paths), m.name))
+
+
+def fitting(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS, ids: tuple[str, ...] = IDS) -> list[Mapping]:
+    """``inside``; none is an error."""
+    found = inside(schema, mappings, ids)
+    if not found:
+        have = [p for p in paths_of(schema) if p not in ids]
+        raise ValueError(f"no mapping has the fingerprint {fingerprint(have)} of {have}")
+    return found
 
 
 def row_layout(schema: T.StructType, mappings: list[Mapping]) -> Column:
-    """The name of each row's layout: that of the mapping with the fingerprint of the row's own paths.
+    """The name of each row's layout: that of the mapping one of whose fingerprints is that of the row's own field paths.
 
-    A row's paths are the nested field paths under its columns that are not null, of columns that some mapping names. A row
-    with another fingerprint has the mapping with most paths of which all that must be there are; one without any: null.
+    A row's paths are those of the mappings' paths that hold a value in it, in structs and in elements of arrays too. A row with
+    another fingerprint has none: null.
     """
-    named = {p.split(".")[0].split("[")[0] for m in mappings for p in m.paths}
-    own = [f for f in schema.fields if f.name in named]
     known = {p for m in mappings for p in m.paths}
-    parts = [F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*[F.lit(p) for p in paths_of(T.StructType([f])) if p in known]))
-             .otherwise(F.array().cast("array<string>")) for f in own]
-    told = F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(F.concat(*parts))), "\n"), 256), 1, 16)
+    own = sorted({p: g(F.col(f"`{f.name}`")) for f in schema.fields for p, g in tests_of(f.dataType, f.name) if p in known}.items())
+    told = F.substring(F.sha2(F.array_join(F.array(*[F.when(there, F.lit(p)) for p, there in own]), "\n"), 256), 1, 16)
     out = F.lit(None).cast("string")
-    for m in reversed(mappings):
-        must = [F.col(f"`{p.split('.')[0].split('[')[0]}`").isNotNull() for p in m.paths if p not in m.optional]
-        if must:
-            out = F.when(reduce(lambda a, b: a & b, must), m.name).otherwise(out)
     for m in reversed(mappings):
         out = F.when(told.isin(*m.fingerprints()), m.name).otherwise(out)
     return out
@@ -112,8 +130,8 @@ def row_layout(schema: T.StructType, mappings: list[Mapping]) -> Column:
 def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, turns) of a table of any declared layout, or of rows of several of them.
 
-    Each row is told apart by the fingerprint of its own field paths; where only one mapping fits the table, that is the
-    mapping of all rows. Rows without a layout have no turn.
+    Each row is told apart by the fingerprint of its own field paths. Rows of another fingerprint have no turn, and so have all
+    rows of a table that no mapping has the columns for.
 
     Nulls: a null role or text is empty, a null array of messages has no turn, rows with a null id form one
     conversation in the row layout. Turns go by ``turn`` (null first), ties by role and text; repeated rows are turns of
@@ -121,14 +139,14 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     an id. An empty table gives no conversation. Gathering turns is by conversation: one conversation must fit in a task,
     as its formatted text must; nothing but turns of one conversation is gathered.
     """
-    found = fitting(df.schema, mappings)
-    d = df.withColumn("ct_layout", row_layout(df.schema, found) if len(found) > 1 else F.lit(found[0].name))
+    found = inside(df.schema, mappings)
+    d = df.withColumn("ct_layout", row_layout(df.schema, found))
     clean = lambda t: F.struct(
         F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")
     )
     out = []
     whole = [m for m in found if not m.rows]
-    if whole:
+    if whole or not found:
         turns = F.lit(None).cast(f"array<{TURN}>")
         for m in whole:
             turns = F.when(F.col("ct_layout") == m.name, F.expr(m.turns).cast(f"array<{TURN}>")).otherwise(turns)

@@ -258,6 +258,21 @@ def test_chat_unknown_layout(spark):
         chat.fitting(spark.createDataFrame([(1, "x")], "conv_id long, blob string").schema)
 
 
+def test_chat_rows_are_told_by_their_fingerprint(spark, small):
+    """In op4's own table too: the plan hashes paths, and rows of no declared fingerprint have no turn."""
+    rows = chat.with_probe(spark.read.parquet(f"{small}/conversations.parquet"))
+    assert "sha2" in chat.canonical_turns(rows)._jdf.queryExecution().optimizedPlan().toString()
+    unknown = spark.createDataFrame([(1, "x"), (2, None)], "conv_id long, blob string")
+    assert {(r.conv_id, len(r.turns)) for r in chat.canonical_turns(unknown).collect()} == {(1, 0), (2, 0)}
+    # Elements are looked into: an array whose elements name nobody still is one of messages; an empty one has no turn.
+    kind = "conv_id long, messages array<struct<role:string,content:string>>, prompt string"
+    df = spark.createDataFrame([(1, [(None, "a")], None), (2, [], None), (3, None, None), (4, [("user", "a")], "p"), (5, [(None, None)], None)], kind)
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.canonical_turns(df).collect()}
+    assert got == {1: [("", "a")], 2: [], 3: [], 4: [("user", "a")], 5: [("", "")]}  # no layout of this table names prompt
+    deep = chat.paths_of(spark.createDataFrame([], "a array<struct<b:array<struct<c:int>>,d:int>>, e struct<f:int>").schema)
+    assert deep == ["a[]", "a[].b[]", "a[].b[].c", "a[].d", "e.f"]
+
+
 def test_fingerprint_is_of_paths():
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b", "a"]) == hashlib.sha256(b"a\nb").hexdigest()[:16]
 
