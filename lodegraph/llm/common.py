@@ -35,13 +35,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Remove the tables that operators of this session have stored, once their results are no longer read."""
-    paths = _tables.pop(spark.sparkContext.applicationId, [])
+def stored_so_far(spark: SparkSession) -> int:
+    """How many tables this session has stored and not dropped: a mark for ``drop_stored``."""
+    return len(_tables.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Remove the tables that operators of this session have stored since a mark, but for the last ``keep``, once results of theirs
+    are no longer read."""
+    tables = _tables.get(spark.sparkContext.applicationId, [])
+    paths = tables[since : max(since, len(tables) - keep)]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        tables.remove(path)
     return len(paths)
 
 
