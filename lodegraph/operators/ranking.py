@@ -76,6 +76,54 @@ def order_key(doc_id: Column, element_id: Column) -> tuple[Column, Column]:
     return F.coalesce(page, F.lit(0)), F.coalesce(at, line, F.lit(0))
 
 
+def in_blocks(asked: DataFrame, elements: DataFrame, with_question: list[str], with_element: list[str]) -> DataFrame:
+    """Rows (key, side, id, v, ..) in which every question (qid, q, ..) meets every element (id, v, ..): questions lie in blocks, elements in
+    slices, and a block and a slice are a key, in whose rows questions (side 0) come first."""
+    ship(asked.sparkSession)
+    blocks, slices = max(1, -(-asked.count() // BLOCK)), max(1, -(-elements.count() // SLICE))
+    dealt = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    double = lambda c: F.transform(c, lambda x: x.cast("double")).alias("v")
+    ask = asked.select(dealt("qid", 0, blocks).alias("block"), F.lit(0).alias("side"), F.col("qid").alias("id"), double("q"), *with_question).withColumn("slice", every(slices))
+    offer = elements.select(dealt("id", 1, slices).alias("slice"), F.lit(1).alias("side"), "id", double("v"), *with_element).withColumn("block", every(blocks))
+    both = ask.unionByName(offer, allowMissingColumns=True).withColumn("key", F.col("block") * slices + F.col("slice")).drop("block", "slice")
+    return both.repartition("key").sortWithinPartitions("key", "side")
+
+
+def met(batches, kind):
+    """One ``kind`` for each key, which has been asked all questions and met all elements of it."""
+    block = None
+    for batch in batches:
+        key, side = batch["key"].to_numpy(), batch["side"].to_numpy()
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(key)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if block is None or block.key != key[a]:
+                if block is not None:
+                    yield block
+                block = kind(key[a])
+            (block.meet if side[a] else block.ask)(batch.slice(a, b - a))
+    if block is not None:
+        yield block
+
+
+def nearest(asked: DataFrame, elements: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): of each question (qid, q) the ``k`` elements (id, v) of the greatest inner product, over all of them.
+
+    Each block of questions keeps its best of a slice as a matrix product goes over it, so that what is shuffled are ``k`` rows
+    of a question and slice; these are ranked once more. Scores have six digits, equal ones go by id; a question's own
+    element (id = qid) is no answer. Vectors have one length, without nulls.
+    """
+
+    def best(batches):
+        for block in met(batches, lambda key: _Best(key, k)):
+            yield from block.results()
+
+    found = in_blocks(asked, elements, [], []).mapInArrow(best, "qid long, id long, score double")
+    return top(found, ["qid"], k, ties="id")
+
+
 def counted_ranks(wanted: DataFrame, asked: DataFrame, elements: DataFrame) -> DataFrame:
     """``wanted`` (qid, id, score, kind) with ``rank`` and ``kind_rank``: places among all ``elements`` (id, v, kind), and among those
     of the wanted one's kind, for the inner product with the question's vector, of ``asked`` (qid, q).
@@ -85,38 +133,56 @@ def counted_ranks(wanted: DataFrame, asked: DataFrame, elements: DataFrame) -> D
     up, so what is shuffled back are the wanted rows. Scores are compared to six digits, as ``score`` is rounded; equal ones
     go by id. A question's own element (id = qid) does not count. Vectors have one length, without nulls.
     """
-    ship(wanted.sparkSession)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    slices = max(1, -(-elements.count() // SLICE))
     own = wanted.groupBy("qid").agg(F.collect_list(F.struct("id", F.round(F.col("score") * 10**DIGITS).cast("long").alias("at"), "kind")).alias("items"))
-    ask = asked.join(own, "qid").select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"), F.col("qid").alias("id"), F.transform("q", lambda x: x.cast("double")).alias("v"), "items")
-    ask = ask.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>"))).withColumn("side", F.lit(0))
-    offer = elements.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).alias("slice"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"), "kind")
-    offer = offer.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).withColumn("side", F.lit(1))
-    both = ask.withColumn("kind", F.lit(None).cast("string")).unionByName(offer, allowMissingColumns=True)
-    both = both.withColumn("key", F.col("block") * slices + F.col("slice")).select("key", "side", "id", "v", "kind", "items")
+    both = in_blocks(asked.join(own, "qid"), elements, ["items"], ["kind"])
 
     def count(batches):
-        block = None
-        for batch in batches:
-            key, side = batch["key"].to_numpy(), batch["side"].to_numpy()
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(key)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if block is None or block.key != key[a]:
-                    if block is not None:
-                        yield from block.results()
-                    block = _Counts(key[a])
-                (block.meet if side[a] else block.ask)(batch.slice(a, b - a))
-        if block is not None:
+        for block in met(batches, _Counts):
             yield from block.results()
 
-    found = both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(count, "qid long, id long, above long, kind_above long")
+    found = both.mapInArrow(count, "qid long, id long, above long, kind_above long")
     found = found.groupBy("qid", "id").agg((F.sum("above") + 1).alias("rank"), (F.sum("kind_above") + 1).alias("kind_rank"))
     return wanted.join(found, ["qid", "id"])
 
 
+class _Best:
+    """The best elements met so far, of a block of questions."""
+
+    def __init__(self, key: int, k: int):
+        self.key, self.k, self.parts, self.q = key, k, [], None
+
+    def ask(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        if not self.parts:
+            return
+        if self.q is None:
+            self.qid = np.concatenate([p["id"].to_numpy() for p in self.parts])
+            self.q = np.concatenate([p["v"].flatten().to_numpy().reshape(p.num_rows, -1) for p in self.parts])
+            self.least = np.full(len(self.qid), np.iinfo(np.int64).min)
+            self.held = [np.zeros(0, np.int64)] * 3
+        step = max(1, (1 << 21) // len(self.qid))
+        for a in range(0, part.num_rows, step):
+            rows = part.slice(a, step)
+            ids = rows["id"].to_numpy()
+            scores = np.rint((self.q @ rows["v"].flatten().to_numpy().reshape(rows.num_rows, -1).T) * 10**DIGITS).astype(np.int64)
+            asked, row = np.nonzero((scores >= self.least[:, None]) & (self.qid[:, None] != ids[None, :]))
+            new = (asked, scores[asked, row], ids[row])
+            of, score, own = (np.concatenate(x) for x in zip(self.held, new, strict=True))
+            order = np.lexsort((own, -score, of))
+            of, score, own = of[order], score[order], own[order]
+            begin = np.append(True, of[1:] != of[:-1])[: len(of)]
+            place = np.arange(len(of)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+            self.least[of[place == self.k - 1]] = score[place == self.k - 1]
+            self.held = [x[place < self.k] for x in (of, score, own)]
+
+    def results(self):
+        if self.q is not None:
+            of, score, own = self.held
+            yield pa.RecordBatch.from_arrays([pa.array(self.qid[of]), pa.array(own), pa.array(score / 10**DIGITS)], names=["qid", "id", "score"])
+
+
 class _Counts:
     """For each wanted item of a block of questions: how many of the elements met so far stand before it."""
 

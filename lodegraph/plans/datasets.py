@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import latex, text
-from ..operators import metrics, papers
+from ..functions import text
+from ..operators import build, latex, metrics, papers
 from ..operators.ranking import Window
 from ..schema import ELEMENT_TYPES, SECTION_ROLES
 from ..sources import datasets, files, reports
 from .base import query, source
-from .documents import _CAPTION, _INLINE, _WORD_REF, _kind_sql, _label_sql, _role_sql, elements
+from .documents import _CAPTION, _INLINE, _ROLE_WORDS, _WORD_REF, _kind_sql, _label_sql, _role_sql, elements
 from .graphs import folder
 from .retrieval import SCORED, TRUTH, ranked, truth
 
@@ -226,8 +226,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT A
  CASE type WHEN 'section_header' THEN lower(concat(title, ' ', CAST(ord AS STRING))) WHEN 'text' THEN concat('Paragraph ', CAST(ord AS STRING), ' of ', CAST(doc_id AS STRING), ' says ', body) ELSE lower(caption) END AS text FROM c""")
 def latex_elements(spark, sf_dir):
     tex = _tex(spark, sf_dir, True, F.col("caption"))
-    d = tex.select("doc_id", F.explode(latex.elements(F.col("tex"))).alias("e")).select("doc_id", "e.*")
-    return d.withColumn("path", F.array_join(F.transform("section_path", lambda x: x.cast("string")), ".")).drop("section_path")
+    return latex.elements(tex).withColumn("path", F.array_join(F.transform("section_path", lambda x: x.cast("string")), ".")).drop("section_path")
 
 
 def _paper_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -329,6 +328,65 @@ def extracted_graph_links(spark, sf_dir):
     return papers.extracted_graph(d).select("doc_id", "src", "dst", "type", "confidence")
 
 
+# An older graph: odd documents have no header, and groups of same_section chains instead.
+_OLD = f"""o0 AS (SELECT CAST(doc_id AS STRING) AS doc_id, id, ord, page, p, q, CASE WHEN doc_id % 2 = 1 AND type = 'section_header' THEN 'text' ELSE type END AS raw,
+  CASE WHEN type = 'section_header' AND doc_id % 2 = 0 THEN title WHEN type = 'text' THEN body ELSE caption END AS words, p % 11 = 0 AS cut FROM element),
+oe AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY ord) AS chain, lead(id) OVER (PARTITION BY doc_id ORDER BY ord) AS next, lead(raw) OVER (PARTITION BY doc_id ORDER BY ord) AS next_raw,
+  lead(cut) OVER (PARTITION BY doc_id ORDER BY ord) AS next_cut FROM o0),
+ol AS (SELECT doc_id, ord, id AS src, next AS dst, 'same_section' AS type, 0.6 AS confidence FROM oe WHERE NOT next_cut
+  UNION ALL SELECT doc_id, ord, id, next, 'caption_of', CASE WHEN q % 2 = 0 THEN 1.0 END FROM oe WHERE raw IN ('caption', 'text') AND next_raw IN ('figure', 'table') AND p % 2 = 0
+  UNION ALL SELECT doc_id, ord, id, next, 'references', 0.5 FROM oe WHERE raw = 'text' AND p % 7 = 0 AND next IS NOT NULL
+  UNION ALL SELECT doc_id, ord, id, concat(id, 'x'), 'references', 0.5 FROM oe WHERE p % 7 = 1)"""
+
+
+def _converted(spark, sf_dir):
+    names = ("doc_id", "id", "ord", "raw", "words", "page")
+    base = elements(spark, sf_dir)
+    rows = lambda sql: spark.sql(f"WITH {_OLD.replace('FROM element', 'FROM {element}')} {sql}", element=base)
+    old = rows(f"SELECT {', '.join(names)} FROM oe").withColumnsRenamed({"raw": "type", "words": "text"})
+    return build.convert_graph(old, rows("SELECT * FROM ol"), reclassify=False)
+
+
+_SECTIONS = f"""d AS (SELECT oe.*, raw = 'section_header' AS header, bool_or(raw = 'section_header') OVER (PARTITION BY doc_id) AS headed, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS pos FROM oe),
+s0 AS (SELECT *, CASE WHEN headed THEN sum(header::INT) OVER (PARTITION BY doc_id ORDER BY pos) ELSE min(pos) OVER (PARTITION BY doc_id, chain) END AS section FROM d),
+s1 AS (SELECT doc_id, section, CASE WHEN count(*) >= 8 OR row_number() OVER (PARTITION BY doc_id ORDER BY section) = 1 THEN section END AS own FROM s0 GROUP BY doc_id, section),
+s2 AS (SELECT doc_id, section, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section) AS kept FROM s1),
+s3 AS (SELECT s0.*, kept, dense_rank() OVER (PARTITION BY s0.doc_id ORDER BY kept) - 1 AS number FROM s0 JOIN s2 ON s0.doc_id = s2.doc_id AND s0.section = s2.section),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY pos) AS member, concat(doc_id, '__sec', lpad(CAST(number AS STRING), 3, '0')) AS head FROM s3)"""
+_LOOKS = rf"""length(trim(words)) BETWEEN 3 AND 120 AND regexp_matches(trim(words), '(?i)^\s*(?:(?:[1-9]\d?\.?)+\s+[A-Z]|(?:section|sec\.?|appendix|app\.?)\s+[A-Z\d]|(?:{_ROLE_WORDS}))')"""
+_HEADS = f"""h0 AS (SELECT doc_id, number, head, min_by(CASE WHEN headed AND kept = 0 THEN 'Front Matter' WHEN header THEN nullif(words, '') END, pos) FILTER (section = kept) AS opened,
+  min_by(trim(words), pos) FILTER (member <= 10 AND (header OR {_LOOKS})) AS seen, min_by(words, pos) FILTER (member <= 5 AND raw = 'text' AND words <> '') AS said FROM m GROUP BY doc_id, number, head),
+h1 AS (SELECT *, coalesce(opened, nullif(seen, '')) AS title FROM h0)"""
+
+
+@query(f"""WITH {_OLD}, {_SECTIONS}, {_HEADS},
+cs AS (SELECT DISTINCT src FROM ol WHERE type = 'caption_of')
+SELECT doc_id, id, CASE WHEN raw IN ('section_header', 'text') AND id IN (SELECT src FROM cs) THEN 'caption' WHEN raw = 'section_header' THEN 'text' ELSE raw END AS type, head AS section, NULL AS label FROM m
+UNION ALL SELECT doc_id, head, 'section_header', head, coalesce(substr(title, 1, 80), concat('section_', lpad(CAST(number AS STRING), 3, '0'))) FROM h1""")
+def converted_graph_nodes(spark, sf_dir):
+    """Nodes of the present layout out of an older graph, with the section that contains them."""
+    nodes, edges = _converted(spark, sf_dir)
+    inside = edges.filter("type = 'contains'").select("doc_id", F.col("src").alias("section"), F.col("dst").alias("id"))
+    head = F.col("type") == "section_header"
+    d = nodes.join(inside, ["doc_id", "id"], "left")
+    return d.select("doc_id", "id", "type", F.coalesce("section", "id").alias("section"), F.when(head, F.col("label")).alias("label"))
+
+
+@query(f"""WITH {_OLD}, {_SECTIONS},
+co AS (SELECT * FROM ol WHERE type = 'caption_of'),
+ca AS (SELECT * FROM m WHERE raw = 'caption' AND id NOT IN (SELECT src FROM co)), vi AS (SELECT * FROM m WHERE raw IN ('figure', 'table') AND id NOT IN (SELECT dst FROM co)),
+ne AS (SELECT ca.doc_id, ca.id AS src, vi.id AS dst FROM ca JOIN vi ON ca.doc_id = vi.doc_id AND abs(ca.pos - vi.pos) <= 3 QUALIFY row_number() OVER (PARTITION BY ca.id ORDER BY abs(ca.pos - vi.pos), vi.ord) = 1)
+SELECT doc_id, src, dst, type, coalesce(confidence, 0.7)::DOUBLE AS confidence, true AS bidirectional FROM co UNION ALL SELECT doc_id, src, dst, 'caption_of', 0.7, true FROM ne
+UNION ALL SELECT doc_id, head, id, 'contains', 1.0, true FROM m
+UNION ALL SELECT doc_id, head, next, 'section_next', 1.0, false FROM (SELECT doc_id, head, lead(head) OVER (PARTITION BY doc_id ORDER BY number) AS next FROM m GROUP BY doc_id, head, number) WHERE next IS NOT NULL
+UNION ALL SELECT doc_id, id, then_, 'reading_next', 1.0, true FROM (SELECT doc_id, id, number, lead(id) OVER w AS then_, lead(number) OVER w AS n2 FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE number = n2
+UNION ALL SELECT doc_id, src, dst, 'refer_to', confidence::DOUBLE, false FROM ol WHERE type = 'references' AND dst IN (SELECT id FROM oe)""")
+def converted_graph_edges(spark, sf_dir):
+    """Its edges, but for the references that labels in texts add, which tests hold against a plain version."""
+    _, edges = _converted(spark, sf_dir)
+    return edges.filter("type <> 'refer_to' OR confidence < 0.9")
+
+
 @query("""WITH g AS (SELECT *, sum((p % 4 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM element)
 SELECT doc_id, id, min(id) OVER (PARTITION BY doc_id, k) AS component FROM g""")
 def connected_sections(spark, sf_dir):
@@ -409,16 +467,19 @@ def graph_labels(spark, sf_dir):
     return elements(spark, sf_dir).select("id", name.alias("name"), told.alias("told"))
 
 
-@query("SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'figure') AS n_figures FROM element GROUP BY doc_id")
+@query("""SELECT CAST(doc_id AS STRING) AS doc_id, id, type, CASE type WHEN 'section_header' THEN '§' WHEN 'caption' THEN 'caption' WHEN 'text' THEN concat(rtrim(substr(body, 1, 30)), '…') ELSE substr(id, 1, 25) END AS name,
+ lead(id) OVER (PARTITION BY doc_id ORDER BY ord) AS next FROM element""")
 def graph_pages_written(spark, sf_dir):
-    """Pages of all graphs, written and read again; what they hold is counted in their text."""
+    """Pages of all graphs, written and read again: the nodes that they draw, and the line from each to the next."""
     c = F.col
-    nodes = elements(spark, sf_dir).select("doc_id", "id", "type", F.lit(None).cast("string").alias("label"), F.lit("method").alias("section_role"), c("body").alias("text"))
-    edges = elements(spark, sf_dir).select("doc_id", c("id").alias("src"), c("id").alias("dst"), F.lit("next").alias("type"), F.lit(1.0).alias("confidence"), F.lit(False).alias("bidirectional"), F.lit(None).cast("string").alias("evidence"))
+    d = elements(spark, sf_dir).withColumn("dst", F.lead("id").over(Window.partitionBy("doc_id").orderBy("ord")))
+    nodes = d.select("doc_id", "id", "type", F.lit(None).cast("string").alias("label"), F.lit("method").alias("section_role"), c("body").alias("text"))
+    edges = d.filter("dst IS NOT NULL").select("doc_id", c("id").alias("src"), "dst", F.lit("next").alias("type"), F.lit(1.0).alias("confidence"), F.lit(False).alias("bidirectional"), F.lit(None).cast("string").alias("evidence"))
     path = folder(spark)
     reports.write_pages(reports.graph_pages(nodes, edges), path)
-    back = spark.read.text(path)
-    return back.groupBy(c("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.regexp_count("value", F.lit('"name":'))).cast("long").alias("n"), F.sum(F.regexp_count("value", F.lit('"type":"figure"'))).cast("long").alias("n_figures"))
+    back = reports.read_pages(spark, path)
+    lines = back.select(F.explode("edges").alias("e")).select(c("e.src").alias("id"), c("e.dst").alias("next"))
+    return back.select("doc_id", F.explode("nodes").alias("n")).select("doc_id", "n.id", "n.type", "n.name").join(lines, "id", "left")
 
 
 @query("SELECT CAST(doc_id AS STRING) AS doc_id, id, type, body AS text, page FROM element")

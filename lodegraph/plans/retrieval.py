@@ -11,8 +11,6 @@ from ..schema import WEIGHT_MODES
 from ..session import cut
 from .base import query, source
 
-#: Ids whose queries are one block of a search over all vectors.
-ASK_BLOCK = 3200
 DOT = "list_dot_product(q::DOUBLE[], v::DOUBLE[])"
 #: Candidates of each query in its own document, with scores that both engines round alike.
 SCORED = f"""scored AS (SELECT qid, ask.doc_id, vec.id, vec.id AS ord, label, q_label, modality, vec.type, vec.section_role,
@@ -40,13 +38,8 @@ def cosine_topk(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)
 SELECT qid, id, rank, score FROM r WHERE rank <= 20""")
 def cosine_topk_global(spark, sf_dir):
-    """A stated set of queries against all vectors, which meet blocks of queries."""
-    asked = source(spark, sf_dir, "ask").groupBy(F.floor(F.col("qid") / ASK_BLOCK).alias("block"))
-    asked = asked.agg(F.collect_list(F.struct("qid", "q")).alias("asked"))
-    d = source(spark, sf_dir, "vec").crossJoin(asked.select("asked"))
-    d = d.select("id", "v", F.explode("asked").alias("a")).filter("a.qid <> id")
-    d = d.select("a.qid", "id", F.round(V.dot(F.col("a.q"), F.col("v")), 6).alias("score"))
-    return ranking.top(d, ["qid"], 20, ties="id").select("qid", "id", "rank", "score")
+    """A stated set of queries against all vectors."""
+    return ranking.nearest(source(spark, sf_dir, "ask").select("qid", "q"), source(spark, sf_dir, "vec").select("id", "v"), 20)
 
 
 def _tokens(c: str):

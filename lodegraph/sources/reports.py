@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -53,11 +53,21 @@ def graph_pages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return drawn.join(lines, "doc_id", "left").select("doc_id", F.concat(F.lit(_HEAD), F.replace(data, F.lit("</"), F.lit("<\\/")), F.lit(_TAIL)).alias("html"))
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Pages as text, a folder for each document."""
-    pages.write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_pages(pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """Pages as JSON lines (doc_id, html), in so many folders by a hash of the document, however many documents there are."""
+    d = pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, html, nodes, edges) of pages that were written: what they draw is read out of their text."""
+    d = spark.read.schema("doc_id string, html string").json(path)
+    data = F.from_json(F.substring_index(F.substring_index("html", ";const s=", 1), "const g=", -1), DRAWN)
+    return d.select("doc_id", "html", data.alias("g")).select("doc_id", "html", "g.*")
+
+
+DRAWN = ("struct<nodes: array<struct<id: string, type: string, name: string, title: string>>, "
+         "edges: array<struct<src: string, dst: string, type: string, title: string>>>")
 _HEAD = "<!doctype html><meta charset=utf-8><svg id=g viewBox='-1.2 -1.2 2.4 2.4' style='width:100%;height:95vh'></svg><script>const g="
 _TAIL = (
     ";const s='http://www.w3.org/2000/svg',at={},box=document.getElementById('g');"

@@ -9,8 +9,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.functions import latex, text
-from lodegraph.operators import linking, papers
+from lodegraph.functions import text
+from lodegraph.operators import build, latex, linking, papers
 from lodegraph.sources import datasets, reports
 
 CAPTION = re.compile(r"(?i)^\s*(figure|fig\.?|table|tab\.?)\s*([0-9]+(?:\.[0-9]+)?)[:.]\s*")
@@ -155,17 +155,118 @@ def test_connected_against_plain(spark):
     assert {x.id: x.component for x in out.collect()} == root
 
 
-def test_latex():
+def plain_conversion(elements, links, reclassify):
+    """Sections, names, types and edges of one document, element by element."""
+    head = re.compile(r"(?i)^\s*(?:(?:[1-9]\d?\.?)+\s+[A-Z]|(?:section|sec\.?|appendix|app\.?)\s+[A-Z\d]|(?:" + "|".join(w for _, ws in text.ROLES_LAYOUT for w in ws) + "))")
+    looks = lambda t: 3 <= len(t.strip()) <= 120 and bool(head.match(t.strip()))
+    raw = {e[0]: "section_header" if reclassify and e[1] == "text" and looks(e[2] or "") else e[1] for e in elements}
+    words = {e[0]: e[2] or "" for e in elements}
+    order = sorted(raw, key=lambda i: tuple(map(int, re.findall(r"\d+", i.split("__", 1)[1]))))
+    groups, names = [], []
+    if "section_header" in raw.values():
+        for i in order:
+            if raw[i] == "section_header" or not groups:
+                groups.append([])
+                names.append((words[i] or None) if raw[i] == "section_header" else "Front Matter")
+            groups[-1].append(i)
+    else:
+        near = defaultdict(set)
+        for s, d, kind, _ in links:
+            if kind == "same_section":
+                near[s].add(d)
+                near[d].add(s)
+        seen = set()
+        for i in order:
+            if i not in seen:
+                todo, group = [i], []
+                while todo:
+                    x = todo.pop()
+                    if x not in seen:
+                        seen.add(x)
+                        group.append(x)
+                        todo += near[x]
+                groups.append(group)
+                names.append(None)
+    kept = []
+    for group, name in zip(groups, names, strict=True):
+        if kept and len(group) < 8:
+            kept[-1][0].extend(group)
+        else:
+            kept.append((list(group), name))
+    labels, of = [], {}
+    for n, (group, name) in enumerate(kept):
+        group.sort(key=order.index)
+        found = name or next((words[i].strip() for i in group[:10] if raw[i] == "section_header" or looks(words[i])), None)
+        labels.append(found[:80] if found else f"section_{n:03d}")
+        of |= {i: n for i in group}
+    edges = [(f"d__sec{n:03d}", i, "contains", 1.0) for i, n in of.items()]
+    edges += [(f"d__sec{n:03d}", f"d__sec{n + 1:03d}", "section_next", 1.0) for n in range(len(kept) - 1)]
+    edges += [(a, b, "reading_next", 1.0) for a, b in zip(order, order[1:]) if of[a] == of[b]]
+    old = [x for x in links if x[0] in raw and x[1] in raw]
+    captions = [(s, d, "caption_of", 0.7 if c is None else c) for s, d, kind, c in old if kind == "caption_of"]
+    free = [i for i in raw if raw[i] in ("figure", "table") and i not in {d for _, d, _, _ in captions}]
+    for c in [i for i in raw if raw[i] == "caption" and i not in {s for s, _, _, _ in captions}]:
+        gap = [(abs(order.index(c) - order.index(v)), k, v) for k, v in enumerate(free)]
+        if gap and min(gap)[0] <= 3:
+            captions.append((c, min(gap)[2], "caption_of", 0.7))
+    pattern = re.compile(r"(?i)^\s*(figure|fig\.?|table|tab\.?)\s*(\d+)")
+    name_of = lambda t: (m := pattern.match(t)) and ("figure " if m[1].lower().startswith("fig") else "table ") + m[2]
+    visual = {}
+    for c in [i for i in raw if raw[i] == "caption" and name_of(words[i])]:
+        if mates := [d for s, d, _, _ in captions if s == c and raw[d] in ("figure", "table", "equation")]:
+            visual[name_of(words[c])] = mates[0]
+    for v in [i for i in raw if raw[i] in ("figure", "table", "equation") and name_of(words[i])]:
+        visual.setdefault(name_of(words[v]), v)
+    refers = [(s, d, "refer_to", 0.9 if c is None else c) for s, d, kind, c in old if kind == "references"]
+    have = {(s, d) for s, d, _, _ in refers}
+    for t in [i for i in raw if raw[i] == "text" and len(words[i]) >= 10]:
+        met = set()
+        for m in re.finditer(r"(?i)(?<!\w)(figure|fig\.?|table|tab\.?)\s*(\d+)", words[t]):
+            name = ("figure " if m[1].lower().startswith("fig") else "table ") + m[2]
+            if name not in met and not met.add(name) and name in visual and not re.search(r"\[\d+\]", words[t][max(0, m.start() - 8) : m.start()]) and (t, visual[name]) not in have:
+                have.add((t, visual[name]))
+                refers.append((t, visual[name], "refer_to", 0.9))
+    sources = {s for s, _, kind, _ in links if kind == "caption_of"}
+    kinds = {i: "caption" if i in sources and k in ("text", "section_header") else {"section_header": "text", "image": "figure"}.get(k, k) for i, k in raw.items()}
+    return kinds, labels, sorted(edges + captions + refers)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_convert_graph(spark, seed):
+    r = random.Random(seed)
+    texts = ["1 Introduction", "Related work", "see Figure 1 and [3] Table 2", "as Table 2 [1] shows, and Figure 1 too; Figure 2", "short", "plain words without any sense in them", "", None]
+    rows = []
+    for i in range(90):
+        kind = r.choice(["text"] * 5 + ["figure", "table", "caption", "image", "equation"] + (["section_header"] if seed == 1 else []))
+        rows.append((f"d__p{i // 12:03d}__e{i:04d}", kind, r.choice(texts if seed < 3 else texts[2:]) if kind == "text" else "2 Method" if kind == "section_header" else f"{r.choice(['Figure', 'Table'])} {r.randint(1, 4)}: x"))
+    r.shuffle(rows)
+    ids = [x[0] for x in rows]
+    links = [(r.choice(ids), r.choice([*ids, "gone"]), r.choice(["caption_of", "references"]), r.choice([None, 0.5, 1.0])) for _ in range(25)]
+    ordered = sorted(ids)
+    links += [(a, b, "same_section", 0.6) for a, b in zip(ordered, ordered[1:]) if r.random() < 0.85]
+    e = spark.createDataFrame([("d", i, n, kind, words, 0) for n, (i, kind, words) in enumerate(rows)], "doc_id string, id string, ord int, type string, text string, page int")
+    k = spark.createDataFrame([("d", n, *x) for n, x in enumerate(links)], "doc_id string, ord int, src string, dst string, type string, confidence double")
+    nodes, edges = build.convert_graph(e, k, reclassify=seed != 2)
+    kinds, labels, want = plain_conversion(rows, links, seed != 2)
+    got = nodes.collect()
+    assert {n.id: n.type for n in got if "__sec" not in n.id} == kinds
+    assert [n.label for n in sorted((n for n in got if "__sec" in n.id), key=lambda n: n.id)] == labels and len(labels) > 1
+    assert sorted((x.src, x.dst, x.type, x.confidence) for x in edges.collect()) == want
+
+
+def test_latex(spark):
     long = "words that go on " * 5
     tex = (f"intro {long}\n\nshort\\section{{The \\textbf{{big}} Method}}{long}\n \n{long}\\subsection*{{Deep}} \\begin{{figure*}}x\\caption{{A {{b}} \\cite{{q}}\\emph{{gone}} c}}"
            f"\\label{{f:1}}\\end{{figure*}}{long}\\section{{Conclusion}}\\begin{{table}}\\end{{table}}\\subsection{{S}}\\begin{{figure}} open {long}")
-    got = [(kind, words[:12], label, level, path, role) for _, kind, words, label, level, path, role in latex.walk(tex)]
+    out = latex.elements(spark.createDataFrame([("d", tex), ("e", ""), ("f", None), ("g", "\\section{" + "{x} y " * 5000 + "}")], "doc_id string, tex string"))
+    rows = out.orderBy("doc_id", "place").collect()
+    got = [(r.type, r.text[:12], r.label, r.level, r.section_path, r.section_role) for r in rows if r.doc_id == "d"]
+    assert [r.place for r in rows if r.doc_id == "d"] == list(range(11)) and [(r.doc_id, r.text[:7]) for r in rows if r.doc_id != "d"] == [("g", "x y x y")]
     assert got == [
         ("text", "intro words ", None, None, [1], "other"), ("heading", "the method", None, 1, [1], "method"), ("text", "words that g", None, None, [1, 1], "method"),
         ("text", "words that g", None, None, [1, 2], "method"), ("heading", "deep", None, 2, [1, 1], "method"), ("figure", "a b c", "f:1", None, [1, 1, 1], "method"),
         ("text", "words that g", None, None, [1, 1, 2], "method"), ("heading", "conclusion", None, 1, [2], "conclusion"), ("table", "", None, None, [2, 1], "conclusion"),
         ("heading", "s", None, 2, [2, 1], "conclusion"), ("text", "\\begin{figur", None, None, [2, 1, 1], "conclusion")]
-    assert latex.walk("") == []
 
 
 def test_paper_graph_without_source_and_by_votes(spark):
