@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MASKED_SCORE
+from .arrays import bound
 
 
 def total(a: Column) -> Column:
@@ -57,12 +58,13 @@ def max_sim(query: Column, element: Column, q_valid: Column | None = None, e_val
 
 def mean_pool(tokens: Column, valid: Column, width: int) -> Column:
     """The unit vector of the mean of the valid tokens."""
-    n = F.greatest(total(F.transform(valid, lambda v: v.cast("double"))), F.lit(1.0))
 
-    def at(i: int) -> Column:
-        return total(F.zip_with(tokens, valid, lambda t, v: F.when(v, F.get(t, i).cast("double")).otherwise(F.lit(0.0)))) / n
+    def pooled(t: Column) -> Column:
+        n = F.greatest(total(F.transform(valid, lambda v: v.cast("double"))), F.lit(1.0))
+        at = lambda i: total(F.zip_with(t, valid, lambda x, v: F.when(v, F.get(x, i).cast("double")).otherwise(F.lit(0.0)))) / n
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
 
-    return normalise(F.array(*[at(i) for i in range(width)]))
+    return bound(bound(tokens, pooled), normalise)
 
 
 def sinusoid(value: Column, width: int, base: float = 1000.0) -> Column:

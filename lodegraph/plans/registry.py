@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import datasets, documents, graphs, retrieval, search  # noqa: F401
+from . import datasets, documents, graphs, retrieval, rules, search  # noqa: F401
 from .base import QUERIES, SQL
 
 
