@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, erfc, exp, log, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,29 @@ from .arrays import groups, roots, whole_groups
 from .blocks import in_blocks
 from .common import components, join_spread, stored, with_group, without
 
-#: Projections of a key, tables, and the width of a projection's cells. Two unit vectors at distance d fall into one
-#: cell of one projection with p = 1 - 2 N(-w/d) - 2 d / (sqrt(2 pi) w) (1 - exp(-w^2 / 2 d^2)); for cosine 0.93
-#: (d = 0.374) and w = 2 that is 0.85, and a pair meets in one of 20 tables of 12 with 1 - (1 - p^12)^20 = 0.95, for
-#: cosine 0.97 with 0.998. Unrelated vectors (d = 1.41, p = 0.49) meet with 0.004. More rows want more of both.
-PROJECTIONS, TABLES, WIDTH = 12, 20, 2.0
+#: Projections of a key and tables at least, the width of a projection's cells, the recall of pairs at the least cosine that
+#: tables are chosen for, and the unrelated vectors that one may meet in all tables.
+PROJECTIONS, TABLES, WIDTH, RECALL, STRANGERS = 12, 20, 2.0, 0.95, 64
+
+
+def one_cell(cosine: float, width: float = WIDTH) -> float:
+    """How often two unit vectors fall into one cell of one projection: 1 - 2 N(-w/d) - 2 d / (sqrt(2 pi) w) (1 - exp(-w^2 / 2 d^2)),
+    d being their distance. For cosine 0.93 that is 0.85, for 0 it is 0.49."""
+    r = width / sqrt(2 - 2 * cosine)
+    return 1 - erfc(r / sqrt(2)) - 2 / (sqrt(2 * pi) * r) * (1 - exp(-r * r / 2))
+
+
+def chosen(vectors: int, least: float = 0.93, width: float = WIDTH) -> tuple[int, int]:
+    """(projections, tables) for a label of so many vectors: as many projections as keep a vector from meeting over ``STRANGERS``
+    unrelated ones, and as many tables as then find ``RECALL`` of the pairs at the least cosine. Both grow with the
+    logarithm of the label and a power of it below one, so pairs that meet in vain grow with the vectors and not their square."""
+    near, far = one_cell(least, width), one_cell(0.0, width)
+    projections = PROJECTIONS
+    while True:
+        tables = max(TABLES, ceil(log(1 - RECALL) / log(1 - near**projections)))
+        if vectors * tables * far**projections <= STRANGERS:
+            return projections, tables
+        projections += 1
 
 
 def usable():
@@ -39,14 +59,16 @@ def hash_keys(unit: np.ndarray, seed: int, projections: int, tables: int, width:
 def link_vectors(
     vectors: DataFrame,
     least: float = 0.93,
-    projections: int = PROJECTIONS,
-    tables: int = TABLES,
+    projections: int | None = None,
+    tables: int | None = None,
     width: float = WIDTH,
     seed: int = 11,
     block: int = 512,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
+    ``projections`` and ``tables`` are chosen by the vectors of the largest label where they are not given.
+
     Rows link if their labels are equal and not null, their vectors have one length, at least one table puts both in one
     bucket, and their cosine, in double precision, is ``least`` at least. Equal vectors of one label are one class from
     the start: their rows link with each other and with whatever the class links with, and buckets hold classes. A pair
@@ -65,6 +87,10 @@ def link_vectors(
     good = good.withColumns({"class": F.xxhash64("label", "v", F.lit(3)), "class2": F.xxhash64(F.lit(5), "v", "label")})
     classes = stored(good.groupBy("class", "class2", "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     classes = classes.withColumn("row", F.xxhash64("class", "label", "v"))
+    if projections is None or tables is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+        fitting = chosen(largest, least, width)
+        projections, tables = projections or fitting[0], tables or fitting[1]
 
     def hashed(batches):
         for batch in batches:

@@ -410,3 +410,90 @@ def test_dedup_near_repeated_ids(spark):
     six = [t for i, t in got if i == 6]
     assert len(six) == 1 and six[0] in (c, c + " end")
     assert sorted((r for r in got if r[0] != 6), key=repr) == sorted([(3, a), (5, b), (7, None), (None, c), (None, c), (9, "z")], key=repr)
+
+
+def fullest_by_trial(left, counts):
+    """The greatest sum of pieces that ``left`` can hold, of all combinations."""
+    best = {0}
+    for n, c in counts.items():
+        best = {b + k * n for b in best for k in range(c + 1) if b + k * n <= left}
+    return max(best)
+
+
+def fewest_bins(pieces, capacity):
+    """The least number of bins, by trying every place of every piece."""
+    best = len(pieces)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(pieces):
+            best = len(room)
+            return
+        for k in range(len(room)):
+            if room[k] >= pieces[i] and room[k] not in room[:k]:
+                put(i + 1, [*room[:k], room[k] - pieces[i], *room[k + 1 :]])
+        put(i + 1, [*room, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_every_planned_bin_is_the_fullest():
+    """Each bin, in turn, holds the longest piece that is left and the fullest combination for the rest."""
+    r = random.Random(11)
+    for _ in range(60):
+        capacity = r.choice([10, 17, 40])
+        left = Counter(r.randint(1, capacity) for _ in range(r.randint(1, 25)))
+        for lengths, times in packing.bin_plan(dict(left), capacity):
+            for _ in range(times):
+                longest = max(left)
+                rest = left - Counter([longest])
+                assert lengths[0] == longest and sum(lengths) == longest + fullest_by_trial(capacity - longest, rest)
+                assert not Counter(lengths) - left
+                left -= Counter(lengths)
+        assert not left
+
+
+def test_planned_bins_against_the_fewest():
+    r = random.Random(12)
+    more = 0
+    for _ in range(60):
+        pieces = sorted((r.randint(1, 20) for _ in range(r.randint(1, 9))), reverse=True)
+        planned, fewest = sum(t for _, t in packing.bin_plan(dict(Counter(pieces)), 20)), fewest_bins(pieces, 20)
+        assert fewest <= planned <= fewest + 1
+        more += planned - fewest
+    assert more <= 3
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (4, "one two three"), (4, "one two three"), (4, None), (5, ""), (6, "four " * 90)]
+    out = packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), capacity=16).collect()
+    pieces = Counter(r.doc_id for r in out if r.piece == 0)
+    assert pieces == {None: 2, 4: 3, 5: 1, 6: 1}
+    held = defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append((r.offset, r.length))
+    for x in held.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 16
+
+
+@pytest.mark.parametrize("size", [1000, 300_000])
+def test_recall_of_parameters_chosen_by_size(spark, size):
+    """Each vector has a partner at a cosine of 0.93 or a little more, the hardest pairs there are."""
+    projections, tables = embeddings.chosen(size)
+    assert size * tables * embeddings.one_cell(0.0) ** projections <= embeddings.STRANGERS
+    r = np.random.default_rng(size)
+    v = r.standard_normal((500, 48))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = r.standard_normal(v.shape)
+    w -= (w * v).sum(axis=1, keepdims=True) * v
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = r.uniform(0.931, 0.945, (500, 1))
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(np.concatenate([v, c * v + np.sqrt(1 - c * c) * w]))]
+    out = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), projections=projections, tables=tables)
+    found = out.agg(F.sum("n_links")).first()[0] / 2
+    assert 0.9 * 500 <= found <= 500
+    assert embeddings.chosen(10 * size)[0] > embeddings.chosen(size)[0] or size == 1000
