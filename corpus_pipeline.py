@@ -45,7 +45,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source comes near its target; a document may be taken twice, or not at all. A null source is a source, the last one.
-    Documents without words have no size and are not taken; rows with null or repeated ids are taken each on its own."""
+
+    Documents without words add nothing to a source's size and are taken at its rate; rows with null or repeated ids are
+    taken each on its own.
+    """
     return mix.take(mix.mix_sources(docs)).select(*docs.columns)
 
 
