@@ -114,6 +114,27 @@ def join_spread(df: DataFrame, told: DataFrame, keys: list[str], spread: str) ->
     return d.join(parts, [*keys, "js_part"], "left").drop("js_part")
 
 
+#: Bits of the table that rows are sifted by: 131,072 words of 64 at most, whatever the number of keys.
+SIEVE = 1 << 23
+
+
+def anti_join(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``gone``, a stored table of keys, without a shuffle of most of them.
+
+    Keys of ``gone`` set bits of a table of fixed size, which is told to all tasks. Rows whose bit is not set stay where they are;
+    only the others, those that go and those that share a bit with one of them, are joined. Rows with a null key stay.
+    """
+    at, own = F.pmod(F.xxhash64(key), F.lit(SIEVE)), uuid.uuid4().hex  # names that no column of df has
+    word, bit = F.shiftright(at, 6).cast("int"), at.bitwiseAND(63).cast("int")
+    words = gone.select(word.alias(f"word_{own}"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one"))
+    words = words.groupBy(f"word_{own}").agg(F.bit_or("one").alias(f"bits_{own}"))
+    d = df.withColumn(f"word_{own}", word).join(F.broadcast(words), f"word_{own}", "left")
+    hit = F.call_function("shiftrightunsigned", F.col(f"bits_{own}"), bit).bitwiseAND(1) == 1
+    hit = F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()
+    names = [quoted(c) for c in df.columns]
+    return d.filter(~hit).select(*names).union(d.filter(hit).select(*names).join(gone.select(key), key, "left_anti").select(*names))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): the smallest id reachable from each id in an undirected edge list, for ids that have an edge.
 

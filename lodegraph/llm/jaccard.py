@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from ..session import ship
 from .arrays import groups, release, roots, whole_groups, windows, word_hashes
 from .blocks import in_blocks
-from .common import components, documents, join_spread, stored, with_group, without
+from .common import anti_join, components, documents, join_spread, stored, with_group, without
 
 #: Tokens whose hash lies in the first part of the hash space come first in the global order, by their frequency; the
 #: rest follow by hash. Frequencies are then needed of the first part only. The share is a little above the prefix.
@@ -325,8 +325,9 @@ def dedup_near(docs: DataFrame, **options) -> DataFrame:
     """
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
-        gone = jaccard_groups(docs, **options).filter("NOT kept").select("doc_id").distinct()
-        return without(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+        # Texts of documents that stay are not shuffled.
+        gone = stored(jaccard_groups(docs, **options).filter("NOT kept").select("doc_id").distinct())
+        return anti_join(docs, gone, "doc_id")
     keyed = docs.filter("doc_id IS NOT NULL").withColumn("dn_text", F.coalesce(F.sha2("text", 256), F.lit("")))
     keys = keyed.select("doc_id", "dn_text").distinct().orderBy("doc_id", "dn_text")
     keys = stored(keys.withColumn("dn_id", F.monotonically_increasing_id()))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import arrays, embeddings, jaccard, langid, packing, substrings
+from lodegraph.llm import arrays, common, embeddings, jaccard, langid, packing, substrings
 from lodegraph.llm.common import components, salted_rank
 
 SCHEMA = "doc_id long, text string"
@@ -497,3 +497,16 @@ def test_recall_of_parameters_chosen_by_size(spark, size):
     found = out.agg(F.sum("n_links")).first()[0] / 2
     assert 0.9 * 500 <= found <= 500
     assert embeddings.chosen(10 * size)[0] > embeddings.chosen(size)[0] or size == 1000
+
+
+def test_anti_join(spark, monkeypatch):
+    """With a table of bits that is far too small, and one that is large enough."""
+    df = spark.range(500).select(F.when(F.col("id") % 50 != 3, F.col("id")).alias("k"), F.col("id").alias("x"), F.lit("clash").alias("aj_word"))
+    gone = spark.range(0, 500, 7).select(F.col("id").alias("k"))
+    want = {x for x in range(500) if x % 50 == 3 or x % 7}
+    for bits in (64, 1 << 10, common.SIEVE):
+        monkeypatch.setattr(common, "SIEVE", bits)
+        out = common.anti_join(df, gone, "k")
+        rows = out.collect()
+        assert out.columns == df.columns and sorted(r.x for r in rows) == sorted(want) and {r.aj_word for r in rows} == {"clash"}
+        assert common.anti_join(df, gone.limit(0), "k").count() == 500
