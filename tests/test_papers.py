@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -355,3 +356,36 @@ def test_pages_hold_their_graph(spark):
     data = json.loads(page.split("const g=")[1].split(";const s=")[0])
     assert [n["name"] for n in data["nodes"]] == ["</script> words…", "figure 1"] and data["edges"][0]["title"] == "<b>refer_to</b><br>confidence: 0.90"
     assert page.count("</script>") == 1
+
+
+def test_connected_keeps_ever_fewer_edges(spark, monkeypatch):
+    """Rounds over a long chain in the order of its ids: tables shrink from round to round, and only what the result reads is left."""
+    kept, sizes, paths = papers.kept, [], []
+
+    def counted(df):
+        out, path = kept(df)
+        paths.append(path.removeprefix("file:"))
+        if df.columns == ["doc_id", "src", "dst"]:
+            sizes.append(out.count())
+        return out, path
+
+    monkeypatch.setattr(papers, "kept", counted)
+    n = 1500
+    nodes = spark.range(n).selectExpr("'d' AS doc_id", "lpad(id, 6, '0') AS id")
+    edges = spark.range(n - 1).selectExpr("'d' AS doc_id", "lpad(id, 6, '0') AS src", "lpad(id + 1, 6, '0') AS dst")
+    edges = edges.union(spark.createDataFrame([("d", "000003", "not there"), ("d", "not there", "000001")], edges.schema))
+    out = papers.connected(nodes, edges)
+    assert {r.component for r in out.collect()} == {"000000"} and out.count() == n
+    assert sum(sizes) <= 3 * sizes[0] and sizes[-1] == 0
+    assert sum(Path(p).exists() for p in paths) == 1
+
+
+def test_locate_all_is_locate(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("ab", k=r.randint(1, 3))) for _ in range(300)]
+    plain = " ".join(words)
+    pieces = [plain[a : a + r.randint(1, 60)] + r.choice(["", "c" * 20]) for a in (r.randint(0, 500) for _ in range(400))] + ["", None, "zz"]
+    d = spark.createDataFrame([(plain, pieces), (None, ["a"]), ("a", None)], "t string, x array<string>")
+    each = F.transform("x", lambda x: text.locate(F.col("t"), x, 20, 5).cast("long"))
+    rows = d.select(each.alias("a"), text.locate_all(F.col("t"), F.col("x"), 20, 5).alias("b")).collect()
+    assert rows[0].a == rows[0].b and [x.b for x in rows[1:]] == [[None], []]
