@@ -150,3 +150,34 @@ def test_average_precision_and_samples(spark):
     assert sorted(stats.sample(d, 17, 5, "id").collect()) == sorted(stats.sample(d.repartition(7), 17, 5, "id").collect())
     each = stats.sample_each(d, ["g"], 11, 5, "id").groupBy("g").agg(F.count("*").alias("n"), F.max("place").alias("m")).collect()
     assert {(x.n, x.m) for x in each} == {(11, 11)}
+
+
+def test_search_shuffles_no_pairs(spark, tmp_path, monkeypatch):
+    """Questions that every document answers: of each shard only the best go on, and the results are those of all pairs."""
+    monkeypatch.setattr(lexical, "QUESTIONS", 3)
+    docs = [(i * 40_000, "common " * (1 + i % 5) + f"w{i % 7} w{i % 3}") for i in range(60)]
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(q, t, 1) for q in range(0, 400_000, 40_000) for t in ("common", f"w{q // 40_000 % 7}")], "qid long, term string, tf long")
+    told = []
+    best = lexical.best_of_shards
+
+    def counted(k, own):
+        inner = best(k, own)
+        told.append(list(inner.__code__.co_freevars))
+        return inner
+
+    monkeypatch.setattr(lexical, "best_of_shards", counted)
+    got = {(r.qid, r.rank): (r.id, r.score) for r in lexical.search(index, asked, k=4).collect()}
+    idf, mean = {r.term: r.idf for r in index.lexicon.collect()}, index.totals.first().mean_size
+    want = {}
+    for q in range(0, 400_000, 40_000):
+        rows = []
+        for i, words in docs:
+            terms, total = words.split(), 0.0
+            for t in {"common", f"w{q // 40_000 % 7}"}:
+                tf = terms.count(t)
+                total += idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(terms) / mean))
+            if i != q:
+                rows.append((-round(total, 6), i))
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(rows)[:4])}
+    assert got == want and told
