@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from string import punctuation
@@ -75,37 +76,47 @@ def _cut(words: list[str], ids: list[int], ends: list[int]) -> None:
         _known[w], last = data[4 * last : 4 * end], end
 
 
+def _bytes_as_letters() -> dict[int, str]:
+    """What the vocabulary writes for each byte: printable bytes stand for themselves, others for the letters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _bytes_as_letters()
+
+
 def _learn(words: Iterable[str], name: str) -> None:
     """Encode words into ``_known``.
 
-    Words of ASCII letters are what the vocabulary's model itself takes, bytes and letters being the same, so they skip
-    the steps around it. Other words of letters only end with one word end each, so they are encoded together; marks
-    behind a letter or digit are a word of their own to the vocabulary, and are encoded apart.
+    Lower-case Latin letters (below U+0250 all are their own normal form) are what the vocabulary's model itself takes, once
+    their bytes are written as letters, so they skip the steps around it. Other words of letters only end with one word end each, so
+    they are encoded together; marks behind letters are a word of their own to the vocabulary, and are encoded apart.
     """
-    alone, stem = [], {}
+    tokenize, letters, odd, stems = _model(name).tokenize, [], [], {}
     for w in words:
         s = w if w.isalpha() else w.rstrip(punctuation)
-        if s == w or not s or not s[-1].isalnum():
-            alone.append(w)
+        if not s.isalpha() or not (s.isascii() or s.lower().isalpha()):  # a letter that lowers to a letter and a mark
+            odd.append(w)
+            continue
+        if s is not w:
+            stems[w] = s
+        if s in _known:
+            continue
+        if s.isascii():
+            _known[s] = array("I", [t.id for t in tokenize(s.lower())]).tobytes()
+        elif max(s) < "\u0250" and s.lower() == s:
+            _known[s] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(BYTES))]).tobytes()
         else:
-            stem[w] = s
-    new = {*alone, *stem.values(), *(w[len(s) :] for w, s in stem.items())}.difference(_known)
-    letters = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha())]
-    simple = [w for w in letters if w.isascii()]
-    model, ids, ends = _model(name), [], []
-    for w in simple:
-        ids += [t.id for t in model.tokenize(w.lower())]
-        ends.append(len(ids))
-    _cut(simple, ids, ends)
-    letters = [w for w in letters if not w.isascii()]
+            letters.append(s)
     for at in range(0, len(letters), 2048):
         part = letters[at : at + 2048]
         ids = _tokenizer(name).encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
         _cut(part, ids, (np.flatnonzero(_word_ends(name)[ids]) + 1).tolist())
-    odd = [w for w in new if w not in _known]
+    odd = list({*odd, *(w[len(s) :] for w, s in stems.items())}.difference(_known))
     for w, e in zip(odd, _tokenizer(name).encode_batch_fast(odd, add_special_tokens=False), strict=True):
         _known[w] = np.array(e.ids, "<u4").tobytes()
-    for w, s in stem.items():
+    for w, s in stems.items():
         _known[w] = _known[s] + _known[w[len(s) :]]
 
 
@@ -149,9 +160,11 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 ids = token_ids(text or "", tokenizer) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (i, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int64))
+                    row = (i, k, at // 4, len(part) // 4, zlib.crc32(part))
                     for column, x in zip(rows, row, strict=False):
                         column.append(x)
+                    if keep_ids:
+                        rows[-1].append(np.frombuffer(part, "<u4").astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
         _known.clear()  # the worker goes on to other steps
         release()
