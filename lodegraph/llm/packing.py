@@ -22,7 +22,7 @@ from .common import documents, salted_rank, stored, without
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBER = 300_000
+REMEMBER = 100_000
 _known: dict[str, bytes] = {}
 _known_of = ""
 # What a vocabulary does to a text if the ids of its words, encoded apart, are those of the text.
@@ -120,15 +120,16 @@ def _learn(words: Iterable[str], name: str) -> None:
         _known[w] = _known[s] + _known[w[len(s) :]]
 
 
-def token_ids(text: str, name: str) -> bytes:
+def token_ids(text: str, name: str, wise: bool | None = None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
     A vocabulary that is ``word_wise`` lower-cases, drops white space and never joins across it, so a text's ids are its
     words' ids one after the other, and each word is encoded once. Texts with separators that are white space to Python
-    only, and all texts of other vocabularies, are encoded whole.
+    only, and all texts of other vocabularies, are encoded whole. ``wise`` is what ``word_wise`` says, where that is known: to find
+    it takes the vocabulary as JSON, which each worker need not hold.
     """
     global _known_of
-    if not word_wise(name) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if not (word_wise(name) if wise is None else wise) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return np.array(_tokenizer(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     if _known_of != name:
         _known.clear()
@@ -148,7 +149,7 @@ def token_ids(text: str, name: str) -> bytes:
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id 0, cut every ``capacity``."""
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, wise = docs.schema["doc_id"].dataType.simpleString(), word_wise(tokenizer)
 
     def cut(batches):
         for batch in batches:
@@ -157,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
             schema = pa.schema(fields + [pa.field("ids", pa.list_(pa.int64()))] * keep_ids)
             rows = [[] for _ in schema]
             for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = token_ids(text or "", tokenizer) + b"\0\0\0\0"
+                ids = token_ids(text or "", tokenizer, wise) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (i, k, at // 4, len(part) // 4, zlib.crc32(part))
