@@ -29,7 +29,7 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
                                            F.when(F.col("edges").isNotNull(), F.transform("edges", lambda y: y["x"])).alias("edges"))
     graph = F.struct("doc_id", F.lit("v2.1").alias("schema_version"), "nodes", "edges")
     d = d.sort(F.col("doc_id").cast("string"))  # ranges are found by the ids; graphs become text behind it
-    d.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), graph)).alias("value")).write.mode("overwrite").text(path)
+    d.select(F.to_json(F.create_map(F.col("doc_id").cast("string"), graph)).alias("value")).write.mode("overwrite").text(path, compression="gzip")  # a file is what a task sorts
 
 
 def graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -54,9 +54,9 @@ def graph_pages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str, buckets: int = 64) -> None:
-    """Pages as JSON lines (doc_id, html), in so many folders by a hash of the document, however many documents there are."""
+    """Pages as JSON lines (doc_id, html), compressed, in so many folders by a hash of the document, however many documents there are."""
     d = pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path, compression="gzip")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
