@@ -181,3 +181,22 @@ def test_search_shuffles_no_pairs(spark, tmp_path, monkeypatch):
                 rows.append((-round(total, 6), i))
         want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(rows)[:4])}
     assert got == want and told
+
+
+def test_terms_are_counted_where_their_document_is(spark, tmp_path, monkeypatch):
+    """Nothing is shuffled to count a document's terms, and blocks of any size make the same lists."""
+    odd = ["a_b C-c c", "İstanbul ΟΔΟΣ Kelvin", "\x0btab\x1cx\x0b\x0cx", "end", "end", "", None, "ß　ẞ, 日本。日本", "'--'", "\x7fdel~del", "end next"]
+    docs = spark.createDataFrame([(i * 50_000 - 90_000, t) for i, t in enumerate(odd)] + [(None, "lost")], "id long, text string").repartition(3)
+    words = docs.filter("id IS NOT NULL").select("id", F.regexp_extract_all(F.lower("text"), F.lit(lexical.TERM), F.lit(0)).alias("w")).collect()
+    want = sorted((r.id, w, n, len(r.w)) for r in words for w, n in Counter(r.w or []).items())
+    found = lexical.counted(docs)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    lists = []
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(lexical, "LISTED", size)
+        index = lexical.build_index(docs, f"{tmp_path}/{size}")
+        lists.append(sorted((r.term, r.shard, [tuple(x) for x in r.list], r.df, r.cf) for r in index.postings.collect()))
+    assert lists[0] == lists[1] == lists[2]
+    assert sorted((i, t, n, z) for t, _, x, _, _ in lists[0] for i, n, z in x) == want
+    assert all(x == sorted(x) and {i // lexical.SHARD for i, _, _ in x} == {s} and (d, c) == (len(x), sum(n for _, n, _ in x)) for _, s, x, d, c in lists[0])
