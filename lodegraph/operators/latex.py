@@ -28,28 +28,28 @@ def elements(tex: DataFrame) -> DataFrame:
     place in the section behind them for what is no heading; roles are those of top-level headings. Null has no element.
     """
     d = tex.select("doc_id", F.posexplode(F.arrays_zip(F.split("tex", MARK).alias("gap"), F.regexp_extract_all("tex", F.lit(MARK), F.lit(0)).alias("mark"))).alias("i", "z"))
-    one_line = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), " ")
-    null = F.lit(None)
-    prose = d.select("doc_id", "i", F.posexplode(F.split("z.gap", r"\n\s*\n")).alias("j", "part")).withColumn("text", one_line(F.col("part")))
-    prose = prose.filter(F.length("text") >= LEAST).select("doc_id", "i", "j", F.lit("text").alias("type"), "text", null.cast("string").alias("label"), null.cast("int").alias("level"), null.cast("string").alias("role"))
-    mark = F.col("z.mark")
+    piece = lambda part, mark: F.struct(part.cast("string").alias("part"), mark.cast("string").alias("mark"))
+    parts = F.transform(F.split("z.gap", r"\n\s*\n"), lambda x: piece(x, F.lit(None)))
+    d = d.select("doc_id", "i", F.posexplode(F.concat(parts, F.array(piece(F.lit(None), F.col("z.mark"))))).alias("j", "x"))
+    # White space is one space each; runs that are that already are not touched.
+    d = d.select("doc_id", (F.col("i").cast("long") * (1 << 32) + F.col("j")).alias("ord"), F.col("x.mark").alias("mark"),
+                 F.trim(F.regexp_replace("x.part", r" \s+|[^\S ]\s*", " ")).alias("said")).filter(f"mark IS NOT NULL OR length(said) >= {LEAST}")
+    mark = F.col("mark")
     found = lambda p, g: F.nullif(F.regexp_extract(mark, p, g), F.lit(""))
-    head, title, kind = found(HEADING, 1), F.regexp_extract(mark, HEADING, 2), found("^" + FLOAT, 1)
-    level = F.coalesce(*[F.when(head == name, depth) for name, depth in LEVELS.items()])
-    caption = F.regexp_extract(mark, rf"(?s)\\caption{ARGUMENT}", 1)
-    marks = d.filter(mark.isNotNull()).select(
-        "doc_id", "i", F.lit(1 << 30).alias("j"), F.coalesce(kind, F.lit("heading")).alias("type"),
-        text.normal_caption(F.when(kind.isNotNull(), caption).otherwise(title), formatting=True).alias("text"),
-        F.when(kind.isNotNull(), found(LABEL, 1)).alias("label"), F.when(kind.isNull(), level).alias("level"),
-        F.when(kind.isNull() & (level == 1), text.role(title, text.ROLES_LATEX, normalise=False)).alias("role"))
-    whole = Window.partitionBy("doc_id").orderBy("i", "j")
-    rows = prose.union(marks).withColumn("ord", F.row_number().over(whole) - 1)
-    rows = sections.sessions(rows, F.col("level").isNotNull())
-    paths = sections.paths(rows.filter("level IS NOT NULL").select("doc_id", "section", "ord", "level"), depth=len(LEVELS))
-    rows = rows.join(paths.select("doc_id", "section", "path"), ["doc_id", "section"], "left")
-    role = F.coalesce(F.last("role", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit("other"))
-    rows = sections.place_in_section(rows.withColumn("section_role", role))
-    place = F.col("place") - F.when(F.col("section") > 0, 1).otherwise(0)
-    path = F.coalesce("path", F.array().cast("array<int>"))
-    path = F.when(F.col("level").isNotNull(), path).otherwise(F.concat(path, F.array(place.cast("int"))))
-    return rows.select("doc_id", F.col("ord").alias("place"), "type", "text", "label", "level", path.alias("section_path"), "section_role")
+    d = d.withColumns({"kind": found("^" + FLOAT, 1), "prose": mark.isNull()})
+    d = d.withColumns({"head": F.when(F.col("kind").isNull(), found(HEADING, 1)), "inner": F.when(F.col("kind").isNull(), F.regexp_extract(mark, HEADING, 2)).otherwise(F.regexp_extract(mark, rf"(?s)\\caption{ARGUMENT}", 1))})
+    d = d.withColumn("level", F.coalesce(*[F.when(F.col("head") == name, depth) for name, depth in LEVELS.items()]))
+    rows = d.select(
+        "doc_id", "ord", F.when(F.col("prose"), "text").otherwise(F.coalesce("kind", F.lit("heading"))).alias("type"),
+        F.when(F.col("prose"), F.col("said")).otherwise(text.normal_caption(F.col("inner"), formatting=True)).alias("text"),
+        F.when(F.col("kind").isNotNull(), found(LABEL, 1)).alias("label"), "level",
+        F.when(F.col("level") == 1, text.role(F.col("inner"), text.ROLES_LATEX, normalise=False)).alias("role"))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = sections.paths(rows.withColumn("number", F.row_number().over(w)), depth=len(LEVELS))
+    header = F.col("level").isNotNull()
+    above = lambda c: F.last(F.when(header, F.col(c)), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"section_role": F.coalesce(F.last("role", ignorenulls=True).over(upto), F.lit("other")), "at": F.coalesce(above("number"), F.lit(0)),
+                             "path": F.coalesce(above("path"), F.array().cast("array<int>"))})
+    path = F.when(header, F.col("path")).otherwise(F.concat("path", F.array(F.col("number") - F.col("at"))))
+    return rows.select("doc_id", (F.col("number") - 1).alias("place"), "type", "text", "label", "level", path.alias("section_path"), "section_role")

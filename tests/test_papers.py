@@ -450,3 +450,34 @@ def test_files_on_the_way_are_compressed(spark, tmp_path):
         assert there and all(x.endswith(".gz") for x in there)
     assert [x.id for x in reports.read_pages(spark, str(tmp_path / "pages")).selectExpr("inline(nodes)").collect()] == ["a"]
     assert files.graph_lines(spark, str(tmp_path / "graphs"))[0].first().id == "a"
+
+
+def test_latex_is_gone_through_once(spark):
+    """Sources are cut in one place, all windows have one order, and paths are those of counters kept by hand."""
+    r = random.Random(5)
+    names = list(latex.LEVELS)
+    docs, want = [], {}
+    for doc in range(6):
+        parts, count, seen, rows, place = [f"Preface of {doc}, which goes on for more than fifty characters in all.\n \n short"] if doc % 2 else [], [0] * 5, False, [], 0
+        rows += [("text", [1])] if doc % 2 else []
+        for i in range(40):
+            if r.random() < 0.4:
+                level = r.randint(1, 5)
+                parts.append("\\" + names[level - 1] + "{Results " + str(i) + "}")
+                count = [*count[: level - 1], count[level - 1] + 1, *[0] * (5 - level)]
+                seen, place, top = True, 0, [c for c in count if c]
+                rows.append(("heading", top))
+            else:
+                parts.append(f"Paragraph  {i}\tof\n{doc} goes on  for more than fifty characters in all.")
+                place += 1
+                rows.append(("text", [*(top if seen else []), place + (0 if seen else doc % 2)]))
+        docs.append((doc, "\n\n".join(parts)))
+        want[doc] = rows
+    out = latex.elements(spark.createDataFrame([*docs, (99, None)], "doc_id long, tex string"))
+    got = {}
+    for x in sorted(out.collect(), key=lambda x: (x.doc_id, x.place)):
+        got.setdefault(x.doc_id, []).append((x.type, list(x.section_path)))
+        assert x.place == len(got[x.doc_id]) - 1 and not re.search(r"\s\s|[^\S ]", x.text)
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Generate") == 2
