@@ -13,8 +13,9 @@ FLAT = ("doc_id string, eid string, type string, text string, ocr_text string, v
         "image_b64 string")
 PAGE = ("doc_id string, page int, elements array<struct<eid: string, type: string, text: string, bbox_img: array<double>, "
         "bbox_pdf: array<double>>>")
-PAPERS = ("map<string, struct<all_figures: map<string, struct<caption: string, content_type: string>>, "
-          "qa: array<struct<question: string, answer: string, reference: variant>>>>")
+FIGURES = "all_figures: map<string, struct<caption: string, content_type: string>>"
+ASKED = "qa: array<struct<question: string, answer: string, reference: variant>>"
+PAPERS = f"map<string, struct<{FIGURES}, {ASKED}>>"
 CONTENT = ("array<struct<type: string, text_level: int, text: string, page_idx: int, image_caption: array<string>, "
            "table_caption: array<string>>>")
 PAGE_GRAPH = ("map<string, struct<nodes: array<string>, edges: array<struct<src: string, dst: string, type: string, "
@@ -64,17 +65,17 @@ def whole_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json"
     return d.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("value")).filter("value IS NOT NULL")
 
 
-def papers(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+def papers(spark: SparkSession, path: str, glob: str = "*.json", figures: bool = True) -> DataFrame:
     """(doc_id, all_figures, qa) of files with one object {paper: {all_figures: {file: {caption, content_type}}, qa: [..]}} each.
 
     Objects become maps of any width, in the order of the file. A question refers to a figure only by a string; a
-    reference of another kind, such as a list, is none.
+    reference of another kind, such as a list, is none. Without ``figures`` these are passed over, for readers of questions.
     """
-    d = whole_json(spark, path, PAPERS, glob).select(F.explode("value").alias("doc_id", "p"))
-    figures = F.transform(F.map_entries("p.all_figures"), lambda e: F.struct(e["key"].alias("file"), e["value"]["caption"].alias("caption"), e["value"]["content_type"].alias("content_type")))
+    d = whole_json(spark, path, PAPERS if figures else f"map<string, struct<{ASKED}>>", glob).select(F.explode("value").alias("doc_id", "p"))
+    files = lambda: F.transform(F.map_entries("p.all_figures"), lambda e: F.struct(e["key"].alias("file"), e["value"]["caption"].alias("caption"), e["value"]["content_type"].alias("content_type")))
     one = lambda r: F.when(F.schema_of_variant(r) == "STRING", F.variant_get(r, "$", "string"))
     asked = F.transform("p.qa", lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"), one(q["reference"]).alias("reference")))
-    return d.select("doc_id", figures.alias("all_figures"), asked.alias("qa"))
+    return d.select("doc_id", *([files().alias("all_figures")] if figures else []), asked.alias("qa"))
 
 
 def paper_figures(papers: DataFrame) -> DataFrame:
